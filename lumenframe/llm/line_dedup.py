@@ -36,34 +36,35 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
 
-def _with_kept(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs, with __lines and __kept; matched by id and text, so repeated rows stay repeated."""
+def _with_dropped(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs and __dropped, matched by id and text, so repeated rows stay repeated."""
     keyed = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64("text")})
     lost = lost.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
-    both = keyed.join(lost, ["__id", "__hash"], "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
-    kept = F.when(F.col("__dropped").isNull(), F.col("__lines")).otherwise(F.transform(places, lambda i: F.get("__lines", i)))
-    return both.withColumn("__lines", lines).withColumn("__kept", kept)
+    return keyed.join(lost, ["__id", "__hash"], "left")
+
+
+def _kept_text() -> Column:
+    """The lines that stay. The outer transform binds the split lines, so that they are split once and not once a line."""
+    rest = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
+    kept = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.transform(rest(lines), lambda i: F.get(lines, i)))
+    return F.when(F.col("__dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.get(kept, F.lit(0)), "\n"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of every row."""
     docs = docs.select("doc_id", "text")
-    out = _with_kept(docs, dropped_positions(docs, min_chars))
-    return out.select(
+    return _with_dropped(docs, dropped_positions(docs, min_chars)).select(
         "doc_id",
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-        F.array_join("__kept", "\n").alias("kept_text"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        _kept_text().alias("kept_text"),
     )
 
 
 def clean(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the remaining lines as text and n_chars counted anew; no row goes."""
-    out = _with_kept(docs, dropped_positions(docs.select("doc_id", "text"), min_chars))
-    text = F.array_join("__kept", "\n")
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    out = _with_dropped(docs, dropped_positions(docs.select("doc_id", "text"), min_chars)).withColumn("__kept", _kept_text())
+    new = {"text": F.col("__kept")} | ({"n_chars": F.length("__kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])
 
 
