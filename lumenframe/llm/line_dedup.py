@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import written
+
 MIN_CHARS = 10
 #: The white space of a key's ends, and the letters that are folded.
 SPACE = " \t\n\x0b\x0c\r"
@@ -31,6 +33,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
     keys = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "line")).select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     keys = keys.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("lines"), F.col("key")).alias("h2"))
+    keys = written(docs.sparkSession, keys, "line-keys")  # texts are cut and hashed once, for both uses
     common = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     lost = keys.join(common, ["h1", "h2"]).where("doc_id > first_id")
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
