@@ -2,7 +2,7 @@
 
 Confirmed toxic texts are the positives, texts drawn from the whole corpus are
 unlabelled, and the class prior is estimated from all confirmed rows.  A text is
-the set of its words and of their first three to six letters (languages that
+the set of its words and of their first four to six letters (languages that
 compound put the telling stem first).  Features found in toxic texts far more often
 than in the corpus enter the model; a text's score depends on which of them occur
 anywhere in it, not on its length, so one passage in a long text is enough.
@@ -32,7 +32,7 @@ MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
 MAX_FEATURES = 2_048
 BUCKETS = 1 << 22
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 #: Twice the log-likelihood ratio that a feature must reach; by chance alone 24 is passed once in a million times.
 LEAST_GAIN = 24.0
@@ -100,21 +100,27 @@ def _text_features(words: _Words, text: str) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
-def _select(p: nnpu.SparseRows, u: nnpu.SparseRows) -> np.ndarray:
+def _counts(rows: list[bytes]) -> np.ndarray:
+    """Rows that hold each bucket."""
+    out = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(rows), 1000):
+        out += np.bincount(np.frombuffer(b"".join(rows[i : i + 1000]), np.int32), minlength=BUCKETS)
+    return out
+
+
+def _select(p: list[bytes], u: list[bytes]) -> np.ndarray:
     """Features whose share among positives exceeds that of the corpus by more than chance explains."""
-    n_p, n_u = len(p.lengths), len(u.lengths)
+    n_p, n_u = len(p), len(u)
     if not n_p or not n_u:
         return np.zeros(0, np.int64)
-    seen, in_p = np.unique(p.indices, return_counts=True)
-    all_u, count_u = np.unique(u.indices, return_counts=True)
-    at = np.searchsorted(all_u, seen)
-    at = np.minimum(at, max(0, len(all_u) - 1))
-    in_u = np.where(all_u[at] == seen, count_u[at], 0) if len(all_u) else np.zeros(len(seen))
-    expected = n_p * (in_u + 0.5) / (n_u + 1)
+    in_p, in_u = _counts(p), _counts(u)
+    seen = np.flatnonzero(in_p >= 4)
+    in_p = in_p[seen]
+    expected = n_p * (in_u[seen] + 0.5) / (n_u + 1)
     share = np.minimum(expected / n_p, 1 - 1e-9)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (in_p * np.log(in_p / expected) + np.where(in_p < n_p, (n_p - in_p) * np.log((n_p - in_p) / (n_p * (1 - share))), 0))
-    good = (in_p >= 4) & (in_p > 2 * expected) & (gain > LEAST_GAIN)
+    good = (in_p > 2 * expected) & (gain > LEAST_GAIN)
     best = np.lexsort((seen[good], -gain[good]))[:MAX_FEATURES]
     return np.sort(seen[good][best])
 
@@ -123,22 +129,19 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_positiv
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words(word_features)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "positive": b.positive, "unlabelled": b.unlabelled, "features": [_text_features(words, t or "") for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "positive": b.positive, "unlabelled": b.unlabelled, "features": [_text_features(words, t or "").tobytes() for t in b.text]})
 
     rows = pu_sample.sample(docs, labels, column, max_positive, max_unlabelled)
-    got = rows.mapInPandas(describe, "doc_id long, positive int, unlabelled int, features array<int>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
-    p, u = (nnpu.SparseRows.of([np.asarray(f) for f in got.features[got[c] == 1]]) for c in ("positive", "unlabelled"))
+    got = sorted(rows.mapInPandas(describe, "doc_id long, positive int, unlabelled int, features binary").collect(), key=lambda r: r["doc_id"])
+    p, u = ([bytes(r["features"]) for r in got if r[c]] for c in ("positive", "unlabelled"))
     chosen = _select(p, u)
-    prior = pu_sample.class_prior(labels, column)
 
-    def narrowed(rows: nnpu.SparseRows) -> nnpu.SparseRows:
-        at = np.minimum(np.searchsorted(chosen, rows.indices), max(0, len(chosen) - 1))
-        hit = chosen[at] == rows.indices if len(chosen) else np.zeros(len(rows.indices), bool)
-        owner = np.repeat(np.arange(len(rows.lengths)), rows.lengths)[hit]
-        return nnpu.SparseRows(at[hit], np.bincount(owner, minlength=len(rows.lengths)))
+    def narrowed(rows: list[bytes]) -> nnpu.SparseRows:
+        own = [np.frombuffer(r, np.int32) for r in rows]
+        at = [np.searchsorted(chosen, r) for r in own]
+        return nnpu.SparseRows.of([a[(a < len(chosen)) & (chosen[np.minimum(a, len(chosen) - 1)] == r)] if len(chosen) else a[:0] for a, r in zip(at, own, strict=True)])
 
-    return ToxicityModel(chosen, nnpu.fit(narrowed(p), narrowed(u), len(chosen), prior, l2=1e-3))
+    return ToxicityModel(chosen, nnpu.fit(narrowed(p), narrowed(u), len(chosen), pu_sample.class_prior(labels, column), l2=1e-3))
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
