@@ -54,7 +54,7 @@ TAGS = {t: i for i, t in enumerate("p li h1 h2 h3 h4 div article main section na
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+")
-N_FEATURES = 25
+N_FEATURES = 26
 
 
 class Page:
@@ -79,9 +79,9 @@ class Page:
 
 @lru_cache(maxsize=20_000)
 def _flags(attributes: str, tag: str) -> int:
-    """1: a token of boilerplate; 2: of main text; 4: has tokens; 8: a tag of boilerplate; 16: a tag of main text; 32: form."""
+    """1: a token of boilerplate; 2: of main text; 4: has tokens; 8: a tag of boilerplate; 16: a tag of main text; 32: form; 64: header."""
     out = 8 if tag in ("nav", "footer", "aside", "form", "dialog", "menu", "search") else 16 if tag in ("article", "main") else 0
-    out |= 32 * (tag in ("form", "fieldset"))
+    out |= 32 * (tag in ("form", "fieldset")) | 64 * (tag in ("header", "hgroup"))
     if attributes:
         for m in _ATTR.finditer(attributes):
             value = m[1] or m[2] or m[3] or ""
@@ -210,7 +210,7 @@ def features(page: Page) -> np.ndarray:
         chars_safe / words_safe, np.log1p(size), np.log1p(longest), total_chars / whole, before / whole, (before + total_chars) / whole,
         depth, number, count[up], number / np.maximum(count[up], 1), code, code[up], (flags & 1) * 1.0, (flags & 2) * 0.5,
         (inherited & 1) * 1.0, (inherited & 2) * 0.5, ((flags | inherited) & 8) / 8.0, ((flags | inherited) & 16) / 16.0, ((flags | inherited) & 32) / 32.0,
-        total_chars / np.maximum(total_chars[up], 1),
+        total_chars / np.maximum(total_chars[up], 1), ((flags | inherited) & 64) / 64.0,
     )
     for k, c in enumerate(columns):
         out[:, k] = c

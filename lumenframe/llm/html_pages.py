@@ -102,6 +102,8 @@ class _Maker:
     def page(self) -> str:
         title = self.phrase(2, 9) + self.pick("", ".")
         body = [f"<h1>{self.keep(title)}</h1>"] if self.chance(0.9) else []
+        if body and self.chance(0.15):
+            body = [f"<header>{body[0]}</header>"]
         body += [self.block() for _ in range(int(self.rng.geometric(0.12)) + (0 if body else 1))]
         for kind in ("ad", "share", "notice", "form"):
             if self.chance(0.15):

@@ -14,8 +14,8 @@ task holds a large node and no row is made for a pair: a task returns, for each
 member, its number of links and the least document it hangs together with there.  A
 pair that meets in several nodes is counted in the first tree where its prefixes agree.
 
-Texts without words, and rows without an id, are linked to nothing.  Rows that repeat
-an id and its text count as copies; the classes of different texts of one id merge.  Columns other than doc_id and text aren't read.
+Texts without words (null, empty, blank) are copies of each other; rows without an id
+aren't in the result.  Rows that repeat an id and its text count as copies; the classes of different texts of one id merge.  Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def prefixes(sets: list[np.ndarray], depth: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, set_hash, n_shingles, prefixes of every row with an id; nulls for texts without words."""
+    """doc_id, set_hash, n_shingles, prefixes of every row with an id; no prefixes for texts without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
                 sets = [shingles(t, hashes) for t in texts[s:e]]
                 full = [x for x in sets if len(x)]
                 keys = iter(prefixes(full, depth).view(np.int64) if full else [])
-                yield pd.DataFrame({"doc_id": ids[s:e], "set_hash": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], "n_shingles": [len(x) for x in sets], "prefixes": [next(keys) if len(x) else None for x in sets]})
+                yield pd.DataFrame({"doc_id": ids[s:e], "set_hash": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n_shingles": [len(x) for x in sets], "prefixes": [next(keys) if len(x) else None for x in sets]})
 
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id long, set_hash binary, n_shingles long, prefixes array<long>")
 
@@ -185,7 +185,7 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tar
     """
     exact = Fraction(threshold).limit_denominator(10_000)
     sig = written(spark, signatures(docs, prefix_depth(threshold, target)), "signatures")
-    copies = sig.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes"))
+    copies = sig.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes"))
     copies = written(spark, copies, "copies")
     in_nodes = copies.select("rep", "n_shingles", F.posexplode("prefixes").alias("tree", "prefix"))
     nodes = in_nodes.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("who2")).where("members > 1")
@@ -230,7 +230,7 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tar
     classes = roots(spark, linked.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     per_rep = linked.groupBy("rep").agg(F.sum("links").alias("links")).join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     per_set = copies.select("set_hash", "rep", "copies").join(per_rep, "rep", "left").select("set_hash", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sig.select("doc_id", "set_hash").join(per_set, "set_hash", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sig.select("doc_id", "set_hash").join(per_set, "set_hash").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:

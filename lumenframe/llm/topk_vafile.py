@@ -13,7 +13,7 @@ broadcast never grows with the table.  Several waves are each written before the
 Vectors that are null or hold nulls or non-finite components, and rows without an id,
 take no part.  A query's candidates are the vectors of its length with another id; of
 rows that repeat a query's id, the least vector is the query.  Ties go to smaller ids;
-repeated candidates count each.  Other columns aren't read.
+repeated candidates count each.  A score outside a long is given as its nearest end.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def _wave(spark: SparkSession, vectors: DataFrame, queries: list, grid: dict, k:
                 for d, own, own_ids, q in groups:
                     if d == x.shape[1]:
                         _scan(ids, x, own, own_ids, q, grid.get(d, (np.zeros(0), np.zeros(0))), best)
-        rows = [(int(q_ids[i]), v, s) for i in range(len(q_ids)) for s, v in zip(best.scores[i], best.ids[i], strict=True)]
+        rows = [(int(q_ids[i]), v, max(-(1 << 63), min(s, (1 << 63) - 1))) for i in range(len(q_ids)) for s, v in zip(best.scores[i], best.ids[i], strict=True)]
         yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     found = vectors.mapInPandas(run, "query_id long, vec_id long, score long")
