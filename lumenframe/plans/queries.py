@@ -397,3 +397,68 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FLAG = f"WITH t AS (SELECT key, grp, i, x, y - (regr_slope(y, i) OVER (PARTITION BY key) * i + regr_intercept(y, i) OVER (PARTITION BY key)) AS y FROM pts), s AS (SELECT key, i, v AS y FROM ({_savgol_sql().replace('FROM pts', 'FROM t').replace('round(', '(').replace(', 6) + 0.0', ')')})), z AS (SELECT t.key, grp, t.i, x, (s.y - avg(s.y) OVER p) / stddev_pop(s.y) OVER p AS y FROM t JOIN s USING (key, i) WINDOW p AS (PARTITION BY t.key)) SELECT grp, CAST(i - 5 AS INTEGER) AS i, min(x) AS x, round(avg(y), 6) + 0.0 AS y FROM z WHERE x BETWEEN 400 AND 1400 GROUP BY grp, i"
 query("flagship", _FLAG)(flagship)
+
+
+# -- kernels and models: no SQL, tested by their properties
+
+from lumenframe.kernels import baseline as _baseline  # noqa: E402
+from lumenframe.kernels import smooth as _smooth  # noqa: E402
+from lumenframe.operators import decompose, learning, tests_of_groups  # noqa: E402
+from lumenframe.plans.pipeline import Step, apply, with_baselines  # noqa: E402
+from lumenframe.streaming import scoring  # noqa: E402
+
+#: Windows that suit the 64 points of the test spectra.
+_SMALL = {"half_window": 5, "max_half_window": 12, "min_half_window": 2}
+
+
+def _baseline_query(name: str) -> Query:
+    import inspect
+
+    known = inspect.signature(_baseline.METHODS[name]).parameters
+    params = {k: v for k, v in _SMALL.items() if k in known}
+    return lambda s, d: to_points(with_baselines(spectra(s, d), name, **params), "baseline", "corrected").select("key", "i", "baseline", "corrected")
+
+
+def _slug(name: str) -> str:
+    return name.lower().replace(" ", "_").replace("-", "_")
+
+
+for _name in _baseline.METHODS:
+    query(f"baseline_{_slug(_name)}")(_baseline_query(_name))
+for _name in _smooth.SMOOTHERS:
+    query(f"smooth_{_slug(_name)}")(lambda s, d, n=_name: to_points(apply(spectra(s, d), [Step("smooth", n, {"trials": 5} if n in _smooth.SEEDED else {})])).select("key", "i", "y"))
+
+
+@query("norm_emsc")
+def norm_emsc(spark, sf_dir):
+    one = spectra(spark, sf_dir)
+    mean = aggregates.group_average(to_points(one), by=()).orderBy("i").select("y").collect()  # one value for each place of the axis
+    return to_points(apply(one, [Step("normalize", "EMSC", {"reference": [r["y"] for r in mean]})])).select("key", "i", "y")
+
+
+query("despike")(lambda s, d: decompose.despiked(spectra(s, d), 300.0, 60.0).select("key", "y", "peaks"))
+query("guess_lines")(lambda s, d: decompose.guess_lines(spectra(s, d), [800.0, 1200.0], fwhm=80.0))
+query("line_template")(lambda s, d: decompose.template(decompose.guess_lines(spectra(s, d), [800.0, 1200.0], fwhm=80.0), 40.0))
+query("fit_params")(lambda s, d: decompose.fit_batch(spectra(s, d), [500.0, 700.0, 900.0, 1300.0], "Gaussian", 80.0, [800.0]))
+query("fit_statistics")(lambda s, d: aggregates.fit_averages(decompose.fits(spectra(s, d), [500.0, 900.0, 1300.0], "Pseudo Voigt", 80.0)))
+query("fit_band")(lambda s, d: to_points(decompose.fits(spectra(s, d), [500.0, 900.0], "Gaussian", 80.0), "curve", "top", "bottom"))
+query("decomposed_dataset")(lambda s, d: decompose.dataset(decompose.fit_batch(spectra(s, d), [500.0, 900.0, 1300.0], "Lorentzian", 80.0)))
+query("normality_test")(lambda s, d: tests_of_groups.normality(features(s, d)))
+query("mann_whitney_p")(lambda s, d: tests_of_groups.mann_whitney(features(s, d), 1, 2))
+query("anova_p")(lambda s, d: tests_of_groups.anova(features(s, d)))
+query("top_features")(lambda s, d: tests_of_groups.top_features(features(s, d)))
+query("hotelling_test")(lambda s, d: tests_of_groups.hotelling(s, spectra(s, d), 1, 2))
+query("permutation_test")(lambda s, d: tests_of_groups.permutation(spectra(s, d), 1, 2, 500))
+
+
+def learnt(spark, sf_dir):
+    return learning.dataset(spectra(spark, sf_dir), (0, 1, 2))
+
+
+for _name in learning.CLASSIFIERS:
+    query(f"classify_{_slug(_name)}")(lambda s, d, n=_name: learning.train_and_predict(learnt(s, d), n))
+query("classifier_metrics")(lambda s, d: learning.metrics(learning.train_and_predict(learnt(s, d), "LDA")))
+query("principal_components")(lambda s, d: learning.principal_components(learnt(s, d))[0])
+query("linear_contributions")(lambda s, d: learning.linear_contributions(learnt(s, d), learning.discriminant(learnt(s, d))))
+query("windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(lambda s, d: scoring.windowed(table(s, d, "events")).select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total")))
+query("pipeline_chain")(lambda s, d: to_points(apply(spectra(s, d), [Step("cut", params={"start": 340.0, "end": 1500.0}), Step("baseline", "ExModPoly", {"poly_order": 4}), Step("smooth", "Whittaker", {"lam": 2.0}), Step("normalize", "SNV")])).select("key", "i", "x", "y"))
