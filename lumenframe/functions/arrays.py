@@ -316,3 +316,26 @@ def _frame(y: Column, half: int, of) -> Column:
 def opening(y: Column, half: int) -> Column:
     """Top-hat's baseline: erosion, then dilation."""
     return _bound(erode(y, half), lambda e: enlarge(e, half))
+
+
+def deviation(y: Column) -> Column:
+    return moments(y)["std"]
+
+
+def fluorescence_start(x: Column, y: Column, factor: int = 1, from_x: float = 100.0) -> Column:
+    """From the axis value nearest from_x: after the first gradient over the gradients' deviation, the place
+    where a run of `factor` falling gradients is complete (its first place, for a factor of 1); null if none is."""
+    g = gradient(y)
+
+    def found(parts):
+        start = nearest(x, from_x)
+        steep = F.array_min(F.filter(F.transform(parts, lambda v, i: F.when((i >= start) & (v > deviation(parts)), i)), lambda i: i.isNotNull()))
+        falls = lambda i: F.forall(F.sequence(i - (factor - 1), i), lambda j: F.coalesce(F.get(parts, j) < 0, F.lit(False)))
+        return F.array_min(F.filter(F.transform(parts, lambda v, i: F.when((i > steep) & (i - (factor - 1) > steep) & falls(i), i)), lambda i: i.isNotNull()))
+
+    return _bound(g, found)
+
+
+def moved_amplitude(x: Column, y: Column, low: Column, high: Column) -> Column:
+    """The highest value whose place lies in [low, high]."""
+    return F.array_max(F.transform(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] >= low) & (p["x"] <= high)), lambda p: p["y"]))

@@ -54,3 +54,14 @@ def fit_averages(fits: DataFrame) -> DataFrame:
     """Fit statistics by spectrum and over all (key null), without failed fits."""
     good = fits.where((F.col("chisqr") > 1e-250) & (F.col("bic") > float("-inf")))
     return good.rollup("key").agg(*(F.avg(c).alias(c) for c in ("chisqr", "redchi", "aic", "bic", "r2")))
+
+
+def common_line_count(counts: DataFrame, *by: str) -> DataFrame:
+    """The most frequent number of lines (the least of equally frequent ones)."""
+    n = counts.groupBy(*by, "n_lines").agg(F.count("*").alias("times"))
+    return n.groupBy(*by).agg(F.min_by("n_lines", F.struct(-F.col("times"), F.col("n_lines"))).alias("n_lines"))
+
+
+def cluster_centres(values: DataFrame, *by: str) -> DataFrame:
+    """Median and deviation (divisor n) of each cluster."""
+    return values.groupBy(*by).agg(F.percentile("value", 0.5).alias("centre"), F.stddev_pop("value").alias("spread"), F.count("*").alias("n"))

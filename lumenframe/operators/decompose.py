@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import labels
 from lumenframe.kernels import peaks
+from lumenframe.plans.pipeline import spread
 
 PARAMS = "key long, grp int, line int, param string, value double, stderr double, min_value double, max_value double"
 
@@ -28,7 +29,7 @@ def guess_lines(spectra: DataFrame, borders: Sequence[float] = (), shape: str =
                     rows += [(key, grp, k, v) for v in found]
             yield pd.DataFrame(rows, columns=["key", "grp", "interval", "x0"])
 
-    return spectra.select("key", "grp", "x", "y").where("size(y) > 0").mapInPandas(run, "key long, grp int, interval int, x0 double")
+    return spread(spectra.select("key", "grp", "x", "y").where("size(y) > 0")).mapInPandas(run, "key long, grp int, interval int, x0 double")
 
 
 def template(guessed: DataFrame, hwhm: float, most: int = 500, seed: int = 0) -> DataFrame:
@@ -80,7 +81,7 @@ def fits(spectra: DataFrame, x0: Sequence[float], shape: str = "Gaussian", fwhm:
             yield pd.DataFrame(rows, columns=["key", "grp", "interval", "params", "chisqr", "redchi", "aic", "bic", "r2", "x", "y", "curve", "top", "bottom"])
 
     item = "struct<line:int,param:string,value:double,stderr:double,min_value:double,max_value:double>"
-    return spectra.select("key", "grp", "x", "y").where("size(y) > 0").mapInPandas(run, f"key long, grp int, interval int, params array<{item}>, chisqr double, redchi double, aic double, bic double, r2 double, x array<double>, y array<double>, curve array<double>, top array<double>, bottom array<double>")
+    return spread(spectra.select("key", "grp", "x", "y").where("size(y) > 0")).mapInPandas(run, f"key long, grp int, interval int, params array<{item}>, chisqr double, redchi double, aic double, bic double, r2 double, x array<double>, y array<double>, curve array<double>, top array<double>, bottom array<double>")
 
 
 def dataset(params: DataFrame, value: str = "a") -> DataFrame:
@@ -97,4 +98,4 @@ def despiked(spectra: DataFrame, laser: float, fwhm: float, maxima: int = 3) ->
             done = [peaks.despike(np.asarray(x, float), np.asarray(y, float), laser, fwhm, maxima) for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.assign(y=[d[0] for d in done], peaks=[d[1] or None for d in done])
 
-    return spectra.select("key", "grp", "x", "y").where("size(y) > 0").mapInPandas(run, "key long, grp int, x array<double>, y array<double>, peaks array<double>")
+    return spread(spectra.select("key", "grp", "x", "y").where("size(y) > 0")).mapInPandas(run, "key long, grp int, x array<double>, y array<double>, peaks array<double>")

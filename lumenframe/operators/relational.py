@@ -84,3 +84,34 @@ def pivot_features(points: DataFrame, names: Sequence[int]) -> DataFrame:
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
     return df.unpivot(list(ids), list(values), "feature", "value")
+
+
+def interval_of(df: DataFrame, value: str, intervals: DataFrame) -> DataFrame:
+    """Range join of values with a small table (start, stop, interval): start <= value < stop, the first that fits."""
+    hit = df.join(dimension(intervals), (F.col(value) >= F.col("start")) & (F.col(value) < F.col("stop")))
+    return hit.groupBy(*df.columns).agg(F.min("interval").alias("interval"))
+
+
+def parameter_bounds(lines: DataFrame) -> DataFrame:
+    """Bounds of the parameters of lines (key, line, a, x0, dx): height to twice, place within dx, width to half and twice; values pulled inside."""
+    item = lambda n, v, lo, hi: F.struct(F.lit(n).alias("param"), F.least(F.greatest(v, lo), hi).alias("value"), lo.alias("min_value"), hi.alias("max_value"))
+    a, x0, dx = F.col("a"), F.col("x0"), F.greatest(F.col("dx"), F.lit(1e-6))
+    rows = F.array(item("a", a, F.lit(0.0), 2 * F.abs(a)), item("x0", x0, x0 - dx, x0 + dx), item("dx", dx, dx / 2, 2 * dx))
+    return lines.select("key", "line", F.explode(rows).alias("p")).select("key", "line", "p.*")
+
+
+def changed_parameters(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Parameter names that a change of line type adds or removes."""
+    added = new.exceptAll(old).withColumn("change", F.lit("added"))
+    return added.unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
+
+
+def active_features(features: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Features with their flag: active unless they are in the ignored table."""
+    marks = ignored.select("feature").distinct().withColumn("__off", F.lit(True))
+    return features.join(marks, "feature", "left").withColumn("active", F.col("__off").isNull()).drop("__off")
+
+
+def regroup(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """New groups for the keys that have one, wherever a table holds keys."""
+    return df.join(changes.select("key", F.col("grp").alias("__grp")), "key", "left").withColumn("grp", F.coalesce("__grp", "grp")).drop("__grp")

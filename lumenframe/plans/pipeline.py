@@ -61,6 +61,14 @@ def is_kernel(step: Step) -> bool:
     return step.kind in ("baseline", "despike") and step.name != "Linear" or step.name in smooth.SMOOTHERS or step.name == "EMSC"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out evenly if the input has fewer partitions than there are cores (small files); otherwise as it is."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def run_kernels(spectra: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """Consecutive kernels in one pass. Empty and null spectra stay as they are."""
     kernels = [_kernel(s) for s in steps]
@@ -76,7 +84,7 @@ def run_kernels(spectra: DataFrame, steps: Sequence[Step]) -> DataFrame:
                 out.append(y)
             yield b.assign(y=out)
 
-    return spectra.select("key", "grp", "x", "y").mapInPandas(run, SPECTRA)
+    return spread(spectra.select("key", "grp", "x", "y")).mapInPandas(run, SPECTRA)
 
 
 def _expression(step: Step, df: DataFrame) -> DataFrame:
@@ -134,4 +142,4 @@ def with_baselines(spectra: DataFrame, name: str, **params) -> DataFrame:
             z = [f(np.asarray(x, float), np.asarray(y, float), **params) if len(y) else np.zeros(0) for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.assign(baseline=z, corrected=[np.asarray(y) - v for y, v in zip(b["y"], z, strict=True)])
 
-    return spectra.select("key", "grp", "x", "y").where("x is not null and y is not null").mapInPandas(run, SPECTRA + ", baseline array<double>, corrected array<double>")
+    return spread(spectra.select("key", "grp", "x", "y").where("x is not null and y is not null")).mapInPandas(run, SPECTRA + ", baseline array<double>, corrected array<double>")

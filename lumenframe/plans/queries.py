@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 from lumenframe.functions import arrays as A
 from lumenframe.functions import labels as L
 from lumenframe.functions import shapes as S
-from lumenframe.operators import aggregates, relational, statistics
+from lumenframe.kernels import baseline as _baseline
+from lumenframe.kernels import smooth as _smooth
+from lumenframe.operators import aggregates, decompose, learning, relational, statistics, tests_of_groups
+from lumenframe.plans.pipeline import Step, apply, with_baselines
 from lumenframe.schema import spectra, table, to_points
+from lumenframe.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -399,21 +404,108 @@ _FLAG = f"WITH t AS (SELECT key, grp, i, x, y - (regr_slope(y, i) OVER (PARTITIO
 query("flagship", _FLAG)(flagship)
 
 
-# -- kernels and models: no SQL, tested by their properties
+# -- ranges, lines and parameters
+
+
+@query("fluorescence_start", f"""
+WITH g AS (SELECT key, i, x, CASE WHEN lag(y) OVER ({W}) IS NULL THEN lead(y) OVER ({W}) - y WHEN lead(y) OVER ({W}) IS NULL THEN y - lag(y) OVER ({W}) ELSE (lead(y) OVER ({W}) - lag(y) OVER ({W})) / 2 END AS g FROM pts),
+s AS (SELECT key, min(i) AS steep FROM (SELECT *, stddev_pop(g) OVER (PARTITION BY key) AS d, arg_min(i, (abs(x - 400.0), i)) OVER (PARTITION BY key) AS st FROM g) WHERE i >= st AND g > d GROUP BY key),
+f AS (SELECT g.key, g.i, g.g < 0 AND lag(g.g) OVER (PARTITION BY g.key ORDER BY g.i) < 0 AS run, steep FROM g JOIN s USING (key))
+SELECT key, min(i) AS place FROM f WHERE run AND i - 1 > steep GROUP BY key""")
+def fluorescence_start(spark, sf_dir):
+    return spectra(spark, sf_dir).select("key", A.fluorescence_start(F.col("x"), F.col("y"), 2, 400.0).alias("place")).where("place is not null")
+
+
+@query("auto_trim_range", f"WITH m AS (SELECT key, min(i) AS a, max(i) AS b FROM (SELECT key, i, y < lag(y) OVER ({W}) AND y < lead(y) OVER ({W}) AS low FROM pts) WHERE low GROUP BY key) SELECT max(a) AS left_i, round(quantile_cont(b, 0.0095), 4) AS right_i FROM m")
+def auto_trim_range(spark, sf_dir):
+    m = A.minima(F.col("y"))
+    ends = spectra(spark, sf_dir).select(F.array_min(m).alias("a"), F.array_max(m).alias("b"))
+    return ends.agg(F.max("a").alias("left_i"), F.round(F.percentile("b", 0.0095), 4).alias("right_i"))
+
+
+@query("line_counts_mode", f"WITH c AS (SELECT grp, key, count(*) AS n FROM (SELECT key, grp, y > lag(y) OVER ({W}) AND y > lead(y) OVER ({W}) AS top FROM pts) WHERE top GROUP BY ALL), t AS (SELECT grp, n, count(*) AS times FROM c GROUP BY ALL) SELECT grp, arg_min(n, (-times, n)) AS n_lines FROM t GROUP BY grp")
+def line_counts_mode(spark, sf_dir):
+    tops = A.minima(F.transform("y", lambda v: -v))
+    return aggregates.common_line_count(spectra(spark, sf_dir).select("grp", F.size(tops).cast("long").alias("n_lines")), "grp")
+
+
+@query("cluster_centres", "SELECT o_custkey, round(median(o_totalprice), 6) AS centre, round(stddev_pop(o_totalprice), 4) AS spread, count(*) AS n FROM orders GROUP BY o_custkey")
+def cluster_centres(spark, sf_dir):
+    got = aggregates.cluster_centres(table(spark, sf_dir, "orders").withColumnRenamed("o_totalprice", "value"), "o_custkey")
+    return got.select("o_custkey", F.round("centre", 6).alias("centre"), F.round("spread", 4).alias("spread"), "n")
+
+
+@query("curve_sum", "SELECT key, i, round(sum(y * f), 6) + 0.0 AS y FROM pts, (VALUES (1.0::DOUBLE), (0.5::DOUBLE)) c(f) GROUP BY key, i")
+def curve_sum(spark, sf_dir):
+    curves = points(spark, sf_dir).select("key", "i", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(v).alias("visible")) for f, v in ((1.0, True), (0.5, True), (9.0, False))])).alias("c"), "y")
+    return aggregates.curve_sum(curves.select("key", "i", "c.visible", (F.col("y") * F.col("c.f")).alias("y"))).select("key", "i", r6(F.col("y"), "y"))
+
+
+@query("fit_averages", "WITH f AS (SELECT l_orderkey AS key, l_quantity AS chisqr, l_discount AS bic FROM lineitem WHERE l_quantity > 1e-250) SELECT coalesce(key, -1) AS key, round(avg(chisqr), 6) AS chisqr, round(avg(bic), 4) AS bic FROM f GROUP BY ROLLUP (key)")
+def fit_averages(spark, sf_dir):
+    fits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("chisqr"), F.col("l_discount").alias("bic"), *(F.lit(0.0).alias(c) for c in ("redchi", "aic", "r2")))
+    return aggregates.fit_averages(fits).select(F.coalesce("key", F.lit(-1)).alias("key"), F.round("chisqr", 6).alias("chisqr"), F.round("bic", 4).alias("bic"))
+
+
+@query("amplitude_bounds", "SELECT key, line, round(max(y), 6) + 0.0 AS a FROM pts, (VALUES (0, 460.0, 540.0), (1, 820.0, 980.0)) l(line, lo, hi) WHERE x BETWEEN lo AND hi GROUP BY key, line")
+def amplitude_bounds(spark, sf_dir):
+    lines = F.array(*[F.struct(F.lit(k).alias("line"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for k, a, b in ((0, 460.0, 540.0), (1, 820.0, 980.0))])
+    rows = spectra(spark, sf_dir).select("key", "x", "y", F.explode(lines).alias("l"))
+    return rows.select("key", "l.line", r6(A.moved_amplitude(F.col("x"), F.col("y"), F.col("l.lo"), F.col("l.hi")), "a"))
+
+
+@query("parameter_bounds", "WITH l AS (SELECT l_orderkey AS key, l_linenumber AS line, l_quantity AS a, l_extendedprice AS x0, greatest(l_tax, 1e-6) AS dx FROM lineitem) SELECT key, line, 'a' AS param, a AS value, 0.0 AS min_value, 2 * a AS max_value FROM l UNION ALL SELECT key, line, 'x0', x0, x0 - dx, x0 + dx FROM l UNION ALL SELECT key, line, 'dx', dx, dx / 2, 2 * dx FROM l")
+def parameter_bounds(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("x0"), F.col("l_tax").alias("dx"))
+    return relational.parameter_bounds(lines)
 
-from lumenframe.kernels import baseline as _baseline  # noqa: E402
-from lumenframe.kernels import smooth as _smooth  # noqa: E402
-from lumenframe.operators import decompose, learning, tests_of_groups  # noqa: E402
-from lumenframe.plans.pipeline import Step, apply, with_baselines  # noqa: E402
-from lumenframe.streaming import scoring  # noqa: E402
+
+@query("interval_join", "SELECT o_orderkey, min(k) AS interval FROM orders, (VALUES (0.0, 90000.0, 0), (80000.0, 150000.0, 1), (150000.0, 300000.0, 2)) t(a, b, k) WHERE o_totalprice >= a AND o_totalprice < b GROUP BY o_orderkey")
+def interval_join(spark, sf_dir):
+    intervals = spark.createDataFrame([(0.0, 90_000.0, 0), (80_000.0, 150_000.0, 1), (150_000.0, 300_000.0, 2)], "start double, stop double, interval int")
+    return relational.interval_of(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", intervals).select("o_orderkey", "interval")
+
+
+@query("changed_parameters", "SELECT 'l_ratio' AS param, 'added' AS change UNION ALL SELECT 'gamma', 'removed'")
+def changed_parameters(spark, sf_dir):
+    of = lambda *n: spark.createDataFrame([(v,) for v in n], "param string")
+    return relational.changed_parameters(of("a", "x0", "dx", "gamma"), of("a", "x0", "dx", "l_ratio"))
+
+
+@query("active_features", "SELECT n_name AS feature, n_regionkey <> 1 AS active FROM nation")
+def active_features(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("feature"), "n_regionkey")
+    return relational.active_features(nation.select("feature"), nation.where("n_regionkey = 1"))
+
+
+@query("regroup_cascade", "SELECT vec_id AS key, CASE WHEN vec_id % 3 = 0 THEN 9 ELSE label END AS grp FROM embeddings")
+def regroup_cascade(spark, sf_dir):
+    one = spectra(spark, sf_dir).select("key", "grp")
+    return relational.regroup(one, one.where("key % 3 = 0").select("key", F.lit(9).alias("grp")))
+
+
+@query("scalar_extremes", "SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi, round(avg(s_acctbal), 6) AS mean FROM supplier")
+def scalar_extremes(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"), F.round(F.avg("s_acctbal"), 6).alias("mean"))
+
+
+@query("despike_scope", "SELECT vec_id AS key FROM embeddings WHERE label = 3")
+def despike_scope(spark, sf_dir):
+    return decompose.despiked(spectra(spark, sf_dir).where("grp = 3"), 300.0, 60.0).select("key")
+
+
+@query("log_loss", "SELECT l_linestatus, round(-avg(ln(greatest(least(l_discount * 5 + 0.3, 1 - 1e-15), 1e-15))), 6) AS log_loss FROM lineitem GROUP BY l_linestatus")
+def log_loss(spark, sf_dir):
+    return statistics.log_loss(table(spark, sf_dir, "lineitem"), F.col("l_discount") * 5 + 0.3, "l_linestatus").select("l_linestatus", F.round("log_loss", 6).alias("log_loss"))
+
+
+# -- kernels and models: no SQL, tested by their properties
 
 #: Windows that suit the 64 points of the test spectra.
 _SMALL = {"half_window": 5, "max_half_window": 12, "min_half_window": 2}
 
 
 def _baseline_query(name: str) -> Query:
-    import inspect
-
     known = inspect.signature(_baseline.METHODS[name]).parameters
     params = {k: v for k, v in _SMALL.items() if k in known}
     return lambda s, d: to_points(with_baselines(spectra(s, d), name, **params), "baseline", "corrected").select("key", "i", "baseline", "corrected")

@@ -13,7 +13,7 @@ def read(spark: SparkSession, path: str, known: DataFrame | None = None) -> Data
 
     Files are read whole, one row each, so the order of lines needs no shuffle.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     files = files.select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("filename"), "value")
     files = files.where(F.lower("filename").rlike(r"\.(txt|asc)$"))
     if known is not None:
