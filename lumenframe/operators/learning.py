@@ -165,3 +165,25 @@ def linear_contributions(df: DataFrame, model: Discriminant) -> DataFrame:
     long = x.select("key", F.posexplode("x").alias("i", "v")).join(F.broadcast(mean), "i")
     each = long.select("key", F.col("i").alias("feature"), F.explode(F.sequence(F.lit(0), F.lit(len(model.classes) - 1))).alias("class"), "v", "m")
     return each.select("key", "feature", "class", (F.get(F.get(names, F.col("class")), F.col("feature")) * (F.col("v") - F.col("m"))).alias("contribution"))
+
+
+def predict_all(df: DataFrame, names: Sequence[str], seed: int = 0) -> DataFrame:
+    """key, model, prediction, probability of several classifiers, one below the other."""
+    out = None
+    for name in names:
+        one = train_and_predict(df, name, seed=seed).select("key", F.lit(name).alias("model"), "prediction", "probability")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def learning_curve(df: DataFrame, shares: Sequence[float] = (0.25, 0.5, 1.0), seed: int = 0) -> DataFrame:
+    """Test accuracy of the discriminant by the share of training rows; shares are nested by a seeded hash."""
+    split = statistics.stratified_split(df, "label", "key", 20.0, seed)
+    u = F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(1000)) / 1000
+    out = None
+    for share in shares:
+        model = discriminant(split.where(~F.col("is_test") & (u < share)))
+        scored = apply_discriminant(split.where("is_test"), model)
+        one = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"), F.count("*").alias("n")).select(F.lit(float(share)).alias("share"), "accuracy", "n")
+        out = one if out is None else out.unionByName(one)
+    return out

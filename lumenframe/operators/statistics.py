@@ -94,3 +94,8 @@ def binary_scores(df: DataFrame, positive, label: str = "label", predicted: str
 def log_loss(df: DataFrame, probability_of_label: Column, *by: str) -> DataFrame:
     p = F.greatest(F.least(probability_of_label, F.lit(1 - 1e-15)), F.lit(1e-15))
     return df.groupBy(*by).agg((-F.avg(F.log(p))).alias("log_loss"))
+
+
+def det_points(df: DataFrame, label: Column, score: str) -> DataFrame:
+    """(score, fpr, fnr) at each distinct score: detection error trade-off."""
+    return roc_points(df, label, score).select("score", "fpr", (1 - F.col("tpr")).alias("fnr"))

@@ -441,10 +441,10 @@ def curve_sum(spark, sf_dir):
     return aggregates.curve_sum(curves.select("key", "i", "c.visible", (F.col("y") * F.col("c.f")).alias("y"))).select("key", "i", r6(F.col("y"), "y"))
 
 
-@query("fit_averages", "WITH f AS (SELECT l_orderkey AS key, l_quantity AS chisqr, l_discount AS bic FROM lineitem WHERE l_quantity > 1e-250) SELECT coalesce(key, -1) AS key, round(avg(chisqr), 6) AS chisqr, round(avg(bic), 4) AS bic FROM f GROUP BY ROLLUP (key)")
+@query("fit_averages", "WITH f AS (SELECT l_orderkey AS key, l_quantity AS chisqr, l_discount AS bic FROM lineitem WHERE l_quantity > 1e-250) SELECT coalesce(key, -1) AS key, round(avg(chisqr), 6) AS chisqr, round(avg(bic), 9) AS bic FROM f GROUP BY ROLLUP (key)")
 def fit_averages(spark, sf_dir):
     fits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("chisqr"), F.col("l_discount").alias("bic"), *(F.lit(0.0).alias(c) for c in ("redchi", "aic", "r2")))
-    return aggregates.fit_averages(fits).select(F.coalesce("key", F.lit(-1)).alias("key"), F.round("chisqr", 6).alias("chisqr"), F.round("bic", 4).alias("bic"))
+    return aggregates.fit_averages(fits).select(F.coalesce("key", F.lit(-1)).alias("key"), F.round("chisqr", 6).alias("chisqr"), F.round("bic", 9).alias("bic"))
 
 
 @query("amplitude_bounds", "SELECT key, line, round(max(y), 6) + 0.0 AS a FROM pts, (VALUES (0, 460.0, 540.0), (1, 820.0, 980.0)) l(line, lo, hi) WHERE x BETWEEN lo AND hi GROUP BY key, line")
@@ -554,3 +554,8 @@ query("principal_components")(lambda s, d: learning.principal_components(learnt(
 query("linear_contributions")(lambda s, d: learning.linear_contributions(learnt(s, d), learning.discriminant(learnt(s, d))))
 query("windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(lambda s, d: scoring.windowed(table(s, d, "events")).select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total")))
 query("pipeline_chain")(lambda s, d: to_points(apply(spectra(s, d), [Step("cut", params={"start": 340.0, "end": 1500.0}), Step("baseline", "ExModPoly", {"poly_order": 4}), Step("smooth", "Whittaker", {"lam": 2.0}), Step("normalize", "SNV")])).select("key", "i", "x", "y"))
+query("det_points", "WITH c AS (SELECT l_quantity AS score, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1) SELECT score, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(1 - sum(p) OVER w / sum(p) OVER (), 6) + 0.0 AS fnr FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")(
+    lambda s, d: statistics.det_points(table(s, d, "lineitem"), F.col("l_returnflag") == "R", "l_quantity").select("score", F.round("fpr", 6).alias("fpr"), r6(F.col("fnr"), "fnr"))
+)
+query("predict_all")(lambda s, d: learning.predict_all(learnt(s, d), ("LDA", "Decision Tree")))
+query("learning_curve")(lambda s, d: learning.learning_curve(learnt(s, d)))
