@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators import statistics
+from lumenframe.operators.relational import hash_numbered
 
 CLASSIFIERS = ("LDA", "Logistic regression", "SVC", "Decision Tree", "Random Forest", "XGBoost")
 
@@ -145,14 +146,13 @@ def search(df: DataFrame, name: str, grid: dict[str, Sequence], folds: int = 3,
 
 def permutation_importance(df: DataFrame, model, features: Sequence[int], seed: int = 0) -> DataFrame:
     """Fall of accuracy when a feature's values are dealt anew among the rows (by a seeded hash order)."""
-    n = statistics.Window.orderBy("h")
     x = df.select("key", "label", vector_to_array("features").alias("x"))
     scored = lambda d: model.transform(d).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc"))
     out = scored(df).select(F.lit(-1).alias("feature"), "acc")
     for f in features:
-        a = x.withColumn("h", F.xxhash64("key", F.lit(seed))).withColumn("n", F.row_number().over(n))
-        b = x.select(F.get("x", F.lit(f)).alias("v"), F.xxhash64("key", F.lit(seed + 1)).alias("h")).withColumn("n", F.row_number().over(n)).select("n", "v")
-        dealt = a.join(b, "n").withColumn("features", array_to_vector(F.transform("x", lambda u, i, f=f: F.when(i == f, F.col("v")).otherwise(u))))
+        a = hash_numbered(x, "key", seed).drop("hash_rows")
+        b = hash_numbered(x.select("key", F.get("x", F.lit(f)).alias("v")), "key", seed + 1).select("hash_no", "v")
+        dealt = a.join(b, "hash_no").withColumn("features", array_to_vector(F.transform("x", lambda u, i, f=f: F.when(i == f, F.col("v")).otherwise(u))))
         out = out.unionByName(scored(dealt).select(F.lit(f).alias("feature"), "acc"))
     return out
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges into which running_totals cuts an axis, and buckets into which hash_numbered deals the rows of a group.
+RANGES, HASH_BUCKETS = 256, 1024
 #: A dimension is broadcast up to this many rows, counted first; beyond it the join shuffles.
 DIMENSION_ROWS = 100_000
 
@@ -52,6 +55,48 @@ def numbered(df: DataFrame, *order: Column | str, within: Sequence[str] = ()) ->
     return df.withColumn("n", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], within: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """df with cum_<c> of each summed column, over rows up to and including this one in an order of distinct numbers.
+
+    Two levels: the axis is cut at quantiles into RANGES ranges at most, whose totals are added up
+    first, so no task holds more than a group's rows of one range. Rows without an order have no place
+    and go. Ties keep an arbitrary order; aggregate them before.
+    """
+    df = df.where(F.col(order).isNotNull())
+    cuts = sorted(set(df.select(F.col(order).cast("double").alias("v")).where(~F.isnan("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    finite = [c for c in cuts if abs(c) < float("inf")]
+    ranges = Bucketizer(splits=[float("-inf"), *finite, float("inf")], inputCol="__v", outputCol="__range", handleInvalid="keep") if finite else None
+    cut = df.withColumn("__v", F.col(order).cast("double"))
+    cut = ranges.transform(cut).drop("__v") if ranges else cut.withColumn("__range", F.lit(0.0)).drop("__v")
+    direction = F.desc if descending else F.asc
+    place = [*within, "__range"]
+    totals = cut.groupBy(*place).agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
+    before = Window.partitionBy(*within).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*place, *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums))
+    inside = Window.partitionBy(*place).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in place]
+    summed = cut.select("*", *(F.sum(c).over(inside).alias(f"__s_{c}") for c in sums)).alias("d").join(offsets.alias("o"), same)
+    return summed.select(*(F.col(f"d.{c}") for c in df.columns), *((F.col(f"__s_{c}") + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in sums))
+
+
+def hash_numbered(df: DataFrame, key: str, seed: int = 0, within: Sequence[str] = ()) -> DataFrame:
+    """df with hash_no, the rows' numbers from 1 in a seeded hash order of a key, and hash_rows, their count, within groups.
+
+    The hash deals each group into HASH_BUCKETS buckets that are numbered apart and moved by what lies
+    before them, so a group of a third of all rows is no one task's. The same for any partitioning.
+    """
+    dealt = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("__b", F.pmod(F.shiftright("__h", 32), F.lit(HASH_BUCKETS)))
+    place = [*within, "__b"]
+    group = Window.partitionBy(*within)
+    counts = dealt.groupBy(*place).agg(F.count("*").alias("__c"))
+    before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*place, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"), F.sum("__c").over(group).alias("hash_rows"))
+    inside = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(*place).orderBy("__h", key)))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in place]
+    joined = inside.alias("d").join(offsets.alias("o"), same)
+    return joined.select(*(F.col(f"d.{c}") for c in df.columns), (F.col("__n") + F.col("__o")).alias("hash_no"), "hash_rows")
+
+
 def top(df: DataFrame, n: int, order: Column, tie: str, within: Sequence[str]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(order, tie))).where(F.col("rank") <= n)
 

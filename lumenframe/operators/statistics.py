@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.relational import hash_numbered, running_totals
+
 
 def anova_f(long: DataFrame) -> DataFrame:
     """F of (feature, grp, value) by grouped moments: one pass, partial sums."""
@@ -14,20 +16,18 @@ def anova_f(long: DataFrame) -> DataFrame:
     return total.select("feature", (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"), ((between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"))
 
 
-def mean_ranks(long: DataFrame, *by: str) -> DataFrame:
-    """rank: from 1, ties get their mean."""
-    w = Window.partitionBy(*by).orderBy("value")
-    ties = Window.partitionBy(*by, "value")
-    return long.withColumn("rank", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+def mean_ranks(counts: DataFrame, *by: str) -> DataFrame:
+    """rank of each distinct value (columns value and n, its rows): from 1, ties get their mean."""
+    ranked = running_totals(counts, "value", ["n"], by)
+    return ranked.withColumn("rank", F.col("cum_n") - (F.col("n") - 1) / 2).drop("cum_n")
 
 
 def mann_whitney_u(long: DataFrame, first: int, second: int) -> DataFrame:
-    """U of the first group against the second, by feature, and the sum t^3 - t over ties."""
-    ranked = mean_ranks(long.where(F.col("grp").isin(first, second)), "feature")
-    own = F.col("grp") == first
-    sums = ranked.groupBy("feature").agg(F.count(F.when(own, 1)).alias("n1"), F.count(F.when(~own, 1)).alias("n2"), F.sum(F.when(own, F.col("rank"))).alias("r1"))
-    ties = ranked.groupBy("feature", "value").agg(F.count("*").alias("t")).groupBy("feature").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    return sums.join(ties, "feature").select("feature", "n1", "n2", "ties", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
+    """U of the first group against the second, by feature, and the sum t^3 - t over ties; null values take no part."""
+    own = F.count(F.when(F.col("grp") == first, 1)).alias("own")
+    counts = long.where(F.col("grp").isin(first, second) & F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"), own)
+    sums = mean_ranks(counts, "feature").groupBy("feature").agg(F.sum("own").alias("n1"), F.sum(F.col("n") - F.col("own")).alias("n2"), F.sum(F.col("rank") * F.col("own")).alias("r1"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
+    return sums.select("feature", "n1", "n2", "ties", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
 
 
 def clusters_on_a_line(df: DataFrame, value: str, eps: float, *by: str) -> DataFrame:
@@ -47,9 +47,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, key: str, test_percent: float, seed: int = 0) -> DataFrame:
     """is_test for the rows of least seeded hash of each class: the same for any partitioning."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("is_test", F.row_number().over(order) <= F.round(n * test_percent / 100))
+    placed = hash_numbered(df, key, seed, [label])
+    return placed.withColumn("is_test", F.col("hash_no") <= F.round(F.col("hash_rows") * test_percent / 100)).drop("hash_no", "hash_rows")
 
 
 def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -57,24 +56,29 @@ def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted")
 
 
 def roc_auc(df: DataFrame, label: Column, score: str, *by: str) -> DataFrame:
-    """Area under the curve by the rank sum; ties count half."""
-    ranked = mean_ranks(df.withColumn("value", F.col(score)).withColumn("__p", label.cast("int")), *by)
-    p, n = F.sum("__p"), F.sum(1 - F.col("__p"))
-    return ranked.groupBy(*by).agg(((F.sum(F.col("rank") * F.col("__p")) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+    """Area under the curve by the rank sum; ties count half. Rows without a score take no part."""
+    scored = df.where(F.col(score).isNotNull())
+    counts = scored.groupBy(*by, F.col(score).alias("value")).agg(F.sum(label.cast("long")).alias("p"), F.count("*").alias("n"))
+    p, n = F.sum("p"), F.sum(F.col("n") - F.col("p"))
+    return mean_ranks(counts, *by).groupBy(*by).agg(((F.sum(F.col("rank") * F.col("p")) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+
+
+def _cumulative(df: DataFrame, label: Column, score: str) -> DataFrame:
+    """score, cum_p, cum_n at each distinct score from the highest, and the totals all_p, all_n."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(label.cast("long")).alias("p"), F.sum((~label).cast("long")).alias("n"))
+    whole = counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # one row
+    return running_totals(counts, "score", ["p", "n"], descending=True).crossJoin(F.broadcast(whole))
 
 
 def roc_points(df: DataFrame, label: Column, score: str) -> DataFrame:
     """(score, tpr, fpr) at each distinct score, from the highest."""
-    counts = df.groupBy(F.col(score).alias("score")).agg(F.sum(label.cast("long")).alias("p"), F.sum((~label).cast("long")).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    return counts.select("score", (F.sum("p").over(w) / F.sum("p").over(whole)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(whole)).alias("fpr"))
+    return _cumulative(df, label, score).select("score", (F.col("cum_p") / F.col("all_p")).alias("tpr"), (F.col("cum_n") / F.col("all_n")).alias("fpr"))
 
 
 def precision_recall_points(df: DataFrame, label: Column, score: str) -> DataFrame:
-    counts = df.groupBy(F.col(score).alias("score")).agg(F.sum(label.cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("score", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision"), (F.sum("p").over(w) / F.sum("p").over(Window.partitionBy())).alias("recall"))
+    """(score, precision, recall) at each distinct score, from the highest."""
+    precision = F.col("cum_p") / (F.col("cum_p") + F.col("cum_n"))
+    return _cumulative(df, label, score).select("score", precision.alias("precision"), (F.col("cum_p") / F.col("all_p")).alias("recall"))
 
 
 def calibration(df: DataFrame, label: Column, score: str, bins: int = 10) -> DataFrame:

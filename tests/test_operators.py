@@ -192,3 +192,19 @@ def test_batch_fits(spark):
     got = {(r.line, r.param): r.value for r in decompose.fit_batch(df, [605.0, 990.0], "Gaussian", 60.0, [800.0]).collect()}
     assert got[0, "x0"] == pytest.approx(600, abs=0.5) and got[1, "a"] == pytest.approx(80, abs=0.5)
     assert decompose.dataset(decompose.fit_batch(df, [605.0, 990.0], "Gaussian", 60.0)).first().features[1] == pytest.approx(80, abs=0.5)
+
+
+def test_running_totals_and_numbers_equal_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from lumenframe.operators import relational
+
+    df = spark.range(3000).select((F.col("id") % 7 == 0).alias("g"), (F.xxhash64("id") / 1e15).alias("v"), (F.col("id") % 5).alias("n"))
+    w = Window.partitionBy("g").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.g, r.v, r.c) for r in df.withColumn("c", F.sum("n").over(w)).collect()}
+    assert {(r.g, r.v, r.cum_n) for r in relational.running_totals(df, "v", ["n"], ["g"], descending=True).collect()} == want
+    few = spark.createDataFrame([(1.0, 2), (float("nan"), 3), (None, 9), (float("-inf"), 1)], "v double, n int")
+    assert [r.cum_n for r in relational.running_totals(few, "v", ["n"]).orderBy("v").collect()] == [1, 3, 6]
+    assert relational.running_totals(few.where("false"), "v", ["n"]).count() == 0
+    got = relational.hash_numbered(df.withColumn("k", F.monotonically_increasing_id()), "k", 3, ["g"]).groupBy("g").agg(F.countDistinct("hash_no").alias("d"), F.max("hash_no").alias("m"), F.max("hash_rows").alias("r"), F.min("hash_no").alias("o")).collect()
+    assert len(got) == 2 and all(r.d == r.m == r.r and r.o == 1 for r in got)
