@@ -152,7 +152,7 @@ def permutation_importance(df: DataFrame, model, features: Sequence[int], seed:
     for f in features:
         a = hash_numbered(x, "key", seed).drop("hash_rows")
         b = hash_numbered(x.select("key", F.get("x", F.lit(f)).alias("v")), "key", seed + 1).select("hash_no", "v")
-        dealt = a.join(b, "hash_no").withColumn("features", array_to_vector(F.transform("x", lambda u, i, f=f: F.when(i == f, F.col("v")).otherwise(u))))
+        dealt = a.join(b, "hash_no").withColumn("features", array_to_vector(F.transform("x", lambda u, i: F.when(i == F.lit(f), F.col("v")).otherwise(u))))
         out = out.unionByName(scored(dealt).select(F.lit(f).alias("feature"), "acc"))
     return out
 

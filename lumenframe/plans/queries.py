@@ -13,7 +13,7 @@ from lumenframe.functions import labels as L
 from lumenframe.functions import shapes as S
 from lumenframe.kernels import baseline as _baseline
 from lumenframe.kernels import smooth as _smooth
-from lumenframe.operators import aggregates, decompose, learning, relational, statistics, tests_of_groups
+from lumenframe.operators import aggregates, decompose, explain, learning, relational, statistics, tests_of_groups
 from lumenframe.plans.pipeline import Step, apply, with_baselines
 from lumenframe.schema import spectra, table, to_points
 from lumenframe.streaming import scoring
@@ -559,3 +559,17 @@ query("det_points", "WITH c AS (SELECT l_quantity AS score, count(*) FILTER (l_r
 )
 query("predict_all")(lambda s, d: learning.predict_all(learnt(s, d), ("LDA", "Decision Tree")))
 query("learning_curve")(lambda s, d: learning.learning_curve(learnt(s, d)))
+
+
+def fitted(name: str, df: DataFrame, **params):
+    return learning.estimator(name, **params).fit(df)
+
+
+for _name in ("Decision Tree", "Random Forest", "XGBoost"):
+    query(f"shap_{_slug(_name)}")(lambda s, d, n=_name: explain.tree_contributions(learnt(s, d), fitted(n, learnt(s, d))))
+query("shap_top_features")(lambda s, d: explain.mean_contributions(explain.tree_contributions(learnt(s, d), fitted("Random Forest", learnt(s, d))), 10))
+query("partial_dependence")(lambda s, d: explain.partial_dependence(learnt(s, d), fitted("Random Forest", learnt(s, d)), [3]))
+query("partial_dependence_2d")(lambda s, d: explain.partial_dependence(learnt(s, d), fitted("Random Forest", learnt(s, d)), [3, 7], 5))
+query("decision_areas_lda")(lambda s, d: explain.decision_areas(learnt(s, d), "LDA"))
+query("decision_areas_tree")(lambda s, d: explain.decision_areas(learnt(s, d), "Decision Tree"))
+query("permutation_importance")(lambda s, d: learning.permutation_importance(learnt(s, d), fitted("Decision Tree", learnt(s, d)), [0, 1, 2]))

@@ -208,3 +208,47 @@ def test_running_totals_and_numbers_equal_plain_windows(spark):
     assert relational.running_totals(few.where("false"), "v", ["n"]).count() == 0
     got = relational.hash_numbered(df.withColumn("k", F.monotonically_increasing_id()), "k", 3, ["g"]).groupBy("g").agg(F.countDistinct("hash_no").alias("d"), F.max("hash_no").alias("m"), F.max("hash_rows").alias("r"), F.min("hash_no").alias("o")).collect()
     assert len(got) == 2 and all(r.d == r.m == r.r and r.o == 1 for r in got)
+
+
+def _by_hand(x, own, n_features):
+    """Shapley values over all coalitions of the leaves' game."""
+    from itertools import combinations
+    from math import factorial
+
+    def game(known):
+        total = 0
+        for value, feats, lo, hi, share in own:
+            total = total + value * np.prod([float(lo[i] < x[f] <= hi[i]) if f in known else share[i] for i, f in enumerate(feats)])
+        return total
+
+    out = []
+    for f in range(n_features):
+        rest = [g for g in range(n_features) if g != f]
+        out.append(sum(factorial(k) * factorial(n_features - k - 1) / factorial(n_features) * (game({*c, f}) - game(set(c))) for k in range(n_features) for c in combinations(rest, k)))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("name", ["Decision Tree", "Random Forest", "XGBoost"])
+def test_tree_contributions_equal_all_coalitions(spark, name):
+    from pyspark.ml.functions import array_to_vector
+
+    from lumenframe.operators import explain
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    rows = [(i, float(y[i]), [float(v) for v in x[i]], 1.0) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "key long, label double, f array<double>, weight double").select("key", "label", array_to_vector("f").alias("features"), "weight")
+    small = {"Decision Tree": {"maxDepth": 4}, "Random Forest": {"numTrees": 3, "maxDepth": 3}, "XGBoost": {"maxIter": 2, "maxDepth": 3}}[name]
+    model = learning.estimator(name, **small).fit(df)
+    own = explain.leaves(model)
+    base, phi = explain.shapley(x, own)
+    for i in range(5):
+        assert np.allclose(phi[i], _by_hand(x[i], own, 4))
+    got = explain.tree_contributions(df, model).groupBy("key", "class").agg(F.sum("contribution").alias("s"), F.first("base").alias("b")).collect()
+    total = {(r["key"], r["class"]): r.s + r.b for r in got}
+    if name == "XGBoost":
+        want = {(r.key, k): float(r.rawPrediction[1]) for k, m in enumerate(model.models) for r in m.transform(df).collect()}
+    else:
+        want = {(r.key, k): float(p) for r in model.transform(df).collect() for k, p in enumerate(r.probability)}
+    assert total.keys() == want.keys() and all(total[k] == pytest.approx(want[k]) for k in want)

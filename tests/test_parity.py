@@ -11,7 +11,7 @@ from lumenframe.plans.queries import QUERIES, SQL
 
 SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"classify_svc", "classify_xgboost", "smooth_ceemdan", "baseline_goldindec", "fit_statistics", "fit_params"}
+SLOW = {"classify_svc", "classify_xgboost", "smooth_ceemdan", "baseline_goldindec", "fit_statistics", "fit_params", "shap_xgboost"}
 
 
 @pytest.fixture(scope="module")
