@@ -155,9 +155,10 @@ def model(x: np.ndarray, shapes: list[str]) -> Callable:
     return f
 
 
-def fit(x: np.ndarray, y: np.ndarray, shapes: list[str], start, low, high, max_iter: int = 100) -> Fit:
+def fit(x: np.ndarray, y: np.ndarray, shapes: list[str], start, low, high, max_iter: int = 100, solver: Callable = least_squares) -> Fit:
+    """solver: called as least_squares is, without its weight and tol."""
     f = model(x, shapes)
-    p, jac = least_squares(f, np.asarray(start, float), np.asarray(low, float), np.asarray(high, float), y, max_iter=max_iter)
+    p, jac = solver(f, np.asarray(start, float), np.asarray(low, float), np.asarray(high, float), y, max_iter=max_iter)
     curve = f(p)
     n, k = len(y), len(p)
     chi = max(float(((y - curve) ** 2).sum()), 1e-250 * n)

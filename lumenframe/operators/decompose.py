@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import labels
-from lumenframe.kernels import peaks
+from lumenframe.kernels import optimizers, peaks
 from lumenframe.plans.pipeline import spread
 
 PARAMS = "key long, grp int, line int, param string, value double, stderr double, min_value double, max_value double"
@@ -50,14 +51,20 @@ def template(guessed: DataFrame, hwhm: float, most: int = 500, seed: int = 0) ->
     return places.withColumn("legend", labels.legend(F.col("x0")))
 
 
-def fit_batch(spectra: DataFrame, x0: Sequence[float], shape: str = "Gaussian", fwhm: float = 40.0, borders: Sequence[float] = ()) -> DataFrame:
+def fit_batch(spectra: DataFrame, x0: Sequence[float], shape: str = "Gaussian", fwhm: float = 40.0, borders: Sequence[float] = (), method: str = "least_squares") -> DataFrame:
     """Parameters of the template's lines fitted to every spectrum, interval by interval."""
-    return fits(spectra, x0, shape, fwhm, borders).select("key", "grp", F.explode("params").alias("p")).select("key", "grp", "p.*")
+    return fits(spectra, x0, shape, fwhm, borders, method).select("key", "grp", F.explode("params").alias("p")).select("key", "grp", "p.*")
 
 
-def fits(spectra: DataFrame, x0: Sequence[float], shape: str = "Gaussian", fwhm: float = 40.0, borders: Sequence[float] = ()) -> DataFrame:
-    """One row a spectrum and interval: params, statistics, curve and its three-sigma band. Failed fits give no row."""
+def fits(spectra: DataFrame, x0: Sequence[float], shape: str = "Gaussian", fwhm: float = 40.0, borders: Sequence[float] = (), method: str = "least_squares") -> DataFrame:
+    """One row a spectrum and interval: params, statistics, curve and its three-sigma band. Failed fits give no row.
+
+    method: a name of optimizers.METHODS.
+    """
     names = peaks.names(shape)
+    if method not in optimizers.METHODS:
+        raise ValueError(f"no fit method {method}; there are {', '.join(optimizers.METHODS)}")
+    solver = peaks.least_squares if method in ("least_squares", "leastsq") else partial(optimizers.minimise, method)
 
     def one(key, grp, x, y):
         for k, part in enumerate(peaks.split_by_borders(x, list(borders))):
@@ -68,7 +75,7 @@ def fits(spectra: DataFrame, x0: Sequence[float], shape: str = "Gaussian", fwhm:
             bounds = [peaks.line_bounds(shape, v, max(float(ys[np.abs(xs - v) <= fwhm].max(initial=0.0)) / 2, 1e-9), fwhm, max(float(ys[np.abs(xs - v) <= fwhm].max(initial=0.0)), 1e-9)) for _, v in lines]
             start, low, high = (np.concatenate([b[j] for b in bounds]) for j in range(3))
             try:
-                r = peaks.fit(xs, ys, [shape] * len(lines), start, low, high)
+                r = peaks.fit(xs, ys, [shape] * len(lines), start, low, high, solver=solver)
             except (ValueError, np.linalg.LinAlgError):
                 continue
             top, bottom = peaks.band(r)

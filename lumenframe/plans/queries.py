@@ -12,6 +12,7 @@ from lumenframe.functions import arrays as A
 from lumenframe.functions import labels as L
 from lumenframe.functions import shapes as S
 from lumenframe.kernels import baseline as _baseline
+from lumenframe.kernels import optimizers as _optimizers
 from lumenframe.kernels import smooth as _smooth
 from lumenframe.operators import aggregates, decompose, explain, learning, relational, statistics, tests_of_groups
 from lumenframe.plans.pipeline import Step, apply, with_baselines
@@ -573,3 +574,5 @@ query("partial_dependence_2d")(lambda s, d: explain.partial_dependence(learnt(s,
 query("decision_areas_lda")(lambda s, d: explain.decision_areas(learnt(s, d), "LDA"))
 query("decision_areas_tree")(lambda s, d: explain.decision_areas(learnt(s, d), "Decision Tree"))
 query("permutation_importance")(lambda s, d: learning.permutation_importance(learnt(s, d), fitted("Decision Tree", learnt(s, d)), [0, 1, 2]))
+for _name in _optimizers.METHODS:
+    query(f"fit_method_{_slug(_name)}")(lambda s, d, n=_name: decompose.fit_batch(spectra(s, d), [500.0, 900.0], "Gaussian", 80.0, [700.0], n).select("key", "grp", "line", "param", F.round("value", 3).alias("value")))

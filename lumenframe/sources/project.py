@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: Stages that a production project leaves out.
 RAW = frozenset({"input", "converted", "cut", "baseline", "smoothed", "normalized", "trimmed"})
@@ -21,3 +23,18 @@ def save(spark: SparkSession, path: str, stages: dict[str, DataFrame], settings:
 def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     told = json.loads(spark.read.text(f"{path}/settings").first()[0])
     return {name: spark.read.parquet(f"{path}/{name}") for name in told["stages"]}, told["settings"]
+
+
+def export(path: str, tables: dict[str, DataFrame]) -> list[str]:
+    """One CSV folder with a header for each table that has rows (in place of a workbook's sheets); returns their names.
+
+    Arrays, maps and structs are written as JSON.
+    """
+    told = []
+    for name, df in tables.items():
+        if df.isEmpty():
+            continue
+        flat = df.select(*(F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F.col(c) for c in df.columns))
+        flat.write.mode("overwrite").option("header", "true").csv(f"{path}/{name}")
+        told.append(name)
+    return told

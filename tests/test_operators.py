@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays as A
 from lumenframe.functions import labels
-from lumenframe.kernels import baseline, linalg, peaks, smooth, special
+from lumenframe.kernels import baseline, linalg, optimizers, peaks, smooth, special
 from lumenframe.operators import aggregates, decompose, learning, statistics
 from lumenframe.plans.pipeline import Step, apply, plan
 from lumenframe.schema import SPECTRA, to_points, to_spectra
@@ -252,3 +252,30 @@ def test_tree_contributions_equal_all_coalitions(spark, name):
     else:
         want = {(r.key, k): float(p) for r in model.transform(df).collect() for k, p in enumerate(r.probability)}
     assert total.keys() == want.keys() and all(total[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("method", optimizers.METHODS)
+def test_fit_methods_find_the_lines(method):
+    x, shapes = np.linspace(0, 100, 120), ["Gaussian", "Lorentzian"]
+    curve, true = peaks.model(x, shapes), np.array([3.0, 30, 6, 2, 62, 9])
+    y = curve(true) + np.random.default_rng(1).normal(0, 0.01, len(x))
+    low, high, start = np.array([0, 20, 2, 0, 50, 2.0]), np.array([6, 40, 15, 6, 75, 20.0]), np.array([1.5, 26, 10, 1.0, 66, 5])
+    p, jac = optimizers.minimise(method, curve, start, low, high, y)
+    assert np.allclose(p, true, rtol=0.01) and jac.shape == (120, 6)
+    high[0] = 2.5  # the best height lies outside: the fit ends on the bound
+    p, _ = optimizers.minimise(method, curve, start, low, high, y)
+    best, _ = optimizers.minimise("least_squares", curve, start, low, high, y)
+    assert (p >= low).all() and (p <= high).all() and p[0] == pytest.approx(2.5, abs=0.01)
+    assert ((y - curve(p)) ** 2).sum() <= 1.05 * ((y - curve(best)) ** 2).sum()
+
+
+def test_an_unknown_fit_method_is_refused(spark):
+    with pytest.raises(ValueError, match="no fit method"):
+        decompose.fits(None, [1.0], method="other")
+
+
+def test_export_writes_a_folder_for_each_table_with_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.5, 2.0], "a")], "key long, y array<double>, name string")
+    assert project.export(str(tmp_path), {"some": df, "none": df.where("false")}) == ["some"]
+    got = spark.read.option("header", "true").csv(f"{tmp_path}/some").first()
+    assert (got.key, got.y, got["name"]) == ("1", "[1.5,2.0]", "a") and not (tmp_path / "none").exists()
