@@ -151,3 +151,21 @@ def decision_areas(df: DataFrame, name: str, steps: int = 50, seed: int = 0) ->
     else:
         said = learning.estimator(name, seed).fit(train).transform(grid)
     return cells.drop("label").join(said.select("key", "prediction"), "key").select("pc1", "pc2", "prediction")
+
+
+def importances(spark, model) -> DataFrame:
+    """feature, importance: mean fall of impurity by feature, as the fitted trees hold it (one value for each feature)."""
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())], "feature int, importance double")
+
+
+def mean_effects(df: DataFrame, model: learning.Discriminant) -> DataFrame:
+    """class, feature, effect: a linear score's coefficient times the mean of the feature over all rows."""
+    means = df.select(F.posexplode(vector_to_array("features")).alias("feature", "v")).groupBy("feature").agg(F.avg("v").alias("mean"))
+    weights = F.array(*[F.struct(F.lit(int(c)).alias("class"), F.array(*map(F.lit, map(float, row))).alias("w")) for c, row in zip(model.classes, model.w, strict=True)])
+    each = means.select("feature", "mean", F.explode(weights).alias("c"))
+    return each.select(F.col("c.class").alias("class"), "feature", (F.get("c.w", F.col("feature")) * F.col("mean")).alias("effect"))
+
+
+def tree_lines(spark, model) -> DataFrame:
+    """line, text: a fitted tree's rules, one line for each node."""
+    return spark.createDataFrame([(i, t) for i, t in enumerate(model.toDebugString.rstrip().split("\n"))], "line int, text string")

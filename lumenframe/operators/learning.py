@@ -144,6 +144,14 @@ def search(df: DataFrame, name: str, grid: dict[str, Sequence], folds: int = 3,
     return CrossValidator(estimator=est, estimatorParamMaps=builder.build(), evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, foldCol="fold", parallelism=parallelism).fit(df.withColumn("fold", fold))
 
 
+def search_table(spark, df: DataFrame, name: str, grid: dict[str, Sequence], folds: int = 3, seed: int = 0) -> DataFrame:
+    """params, metric (mean F1 over the folds), is_best of every point of a grid; as many rows as the grid has points."""
+    found = search(df, name, grid, folds, seed)
+    points = [", ".join(sorted(f"{p.name}={v}" for p, v in m.items())) for m in found.getEstimatorParamMaps()]
+    best = int(np.argmax(found.avgMetrics))
+    return spark.createDataFrame([(p, float(v), i == best) for i, (p, v) in enumerate(zip(points, found.avgMetrics, strict=True))], "params string, metric double, is_best boolean")
+
+
 def permutation_importance(df: DataFrame, model, features: Sequence[int], seed: int = 0) -> DataFrame:
     """Fall of accuracy when a feature's values are dealt anew among the rows (by a seeded hash order)."""
     x = df.select("key", "label", vector_to_array("features").alias("x"))

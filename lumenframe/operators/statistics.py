@@ -103,3 +103,16 @@ def log_loss(df: DataFrame, probability_of_label: Column, *by: str) -> DataFrame
 def det_points(df: DataFrame, label: Column, score: str) -> DataFrame:
     """(score, fpr, fnr) at each distinct score: detection error trade-off."""
     return roc_points(df, label, score).select("score", "fpr", (1 - F.col("tpr")).alias("fnr"))
+
+
+def misclassified(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    return df.where(F.col(label) != F.col(predicted))
+
+
+def class_report(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """label, precision, recall, f1, support of every class that has rows, from the confusion counts; a class never predicted has precision 0."""
+    cells = confusion(df, label, predicted).select(F.col(label).alias("label"), F.col(predicted).alias("said"), "n")
+    own = cells.groupBy("label").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("said"), F.col("n")).otherwise(0)).alias("tp"))
+    said = cells.groupBy(F.col("said").alias("label")).agg(F.sum("n").alias("times"))
+    both = own.join(said, "label", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return both.select("label", F.coalesce(F.col("tp") / F.nullif(F.col("times"), F.lit(0)), F.lit(0.0)).alias("precision"), (F.col("tp") / F.col("support")).alias("recall"), (2 * F.col("tp") / (F.col("times") + F.col("support"))).alias("f1"), "support")

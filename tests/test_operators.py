@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays as A
 from lumenframe.functions import labels
-from lumenframe.kernels import baseline, linalg, optimizers, peaks, smooth, special
+from lumenframe.kernels import baseline, linalg, optimizers, peaks, signal, smooth, special
 from lumenframe.operators import aggregates, decompose, learning, statistics
 from lumenframe.plans.pipeline import Step, apply, plan
 from lumenframe.schema import SPECTRA, to_points, to_spectra
@@ -279,3 +279,28 @@ def test_export_writes_a_folder_for_each_table_with_rows(spark, tmp_path):
     assert project.export(str(tmp_path), {"some": df, "none": df.where("false")}) == ["some"]
     got = spark.read.option("header", "true").csv(f"{tmp_path}/some").first()
     assert (got.key, got.y, got["name"]) == ("1", "[1.5,2.0]", "a") and not (tmp_path / "none").exists()
+
+
+def test_peaks_by_height_distance_and_width():
+    y = np.array([0, 1, 0, 3, 3, 3, 0, 2, 0, 0.0])
+    assert signal.local_maxima(y).tolist() == [1, 4, 7]
+    assert signal.find_peaks(y, height=(1.5, 9)).tolist() == [4, 7]
+    assert signal.find_peaks(y, distance=4).tolist() == [4]
+    assert signal.width_of(np.array([0, 2, 4, 2, 0.0]), 2) == pytest.approx(2)
+    assert signal.find_peaks(y, width=(0, 1.5)).tolist() == [1, 7]
+    assert not len(signal.find_peaks(np.ones(5))) and not len(signal.find_peaks(np.zeros(0)))
+
+
+def test_amplitudes_of_a_wave_and_of_an_uneven_axis():
+    x = np.arange(64.0)
+    f, a = signal.amplitudes(x, np.cos(2 * np.pi * 4 * x / 64))
+    assert f[a.argmax()] == pytest.approx(4 / 64) and a.max() == pytest.approx(0.5)
+    uneven = np.sort(np.random.default_rng(42).uniform(0, 63, 64))
+    assert np.isfinite(signal.amplitudes(uneven, uneven)[1]).all() and len(signal.amplitudes(np.zeros(0), np.zeros(0))[1]) == 0
+
+
+def test_class_report_counts_a_class_never_predicted(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 0), (1, 0)], "label int, predicted int")
+    got = {r.label: (round(r.precision, 6), r.recall, round(r.f1, 6), r.support) for r in statistics.class_report(rows).collect()}
+    assert got == {0: (0.666667, 1.0, 0.8, 2), 1: (0.0, 0.0, 0.0, 1)}
+    assert statistics.misclassified(rows).count() == 1

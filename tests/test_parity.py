@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from lumenframe.plans import view_queries  # noqa: F401  adds its queries
 from lumenframe.plans.queries import QUERIES, SQL
 
 SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
