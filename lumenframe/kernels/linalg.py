@@ -73,6 +73,22 @@ def polynomial(x: np.ndarray, y: np.ndarray, order: int, w: np.ndarray | None =
     return v @ np.linalg.lstsq(v * s[:, None], y * s, rcond=None)[0]
 
 
+@lru_cache(maxsize=64)
+def _window_projection(length: int, order: int) -> np.ndarray:
+    q, _ = np.linalg.qr(np.vander(np.linspace(-1, 1, length), order + 1, increasing=True))
+    return q @ q.T
+
+
+def savgol(y: np.ndarray, length: int, order: int) -> np.ndarray:
+    """Values of the polynomials fitted to each window of odd length; the ends take those of the first and last window."""
+    hat, half = _window_projection(length, order), length // 2
+    out = np.empty(len(y))
+    out[half : len(y) - half] = np.lib.stride_tricks.sliding_window_view(y, length) @ hat[half]
+    out[:half] = hat[:half] @ y[:length]
+    out[len(y) - half :] = hat[half + 1 :] @ y[-length:]
+    return out
+
+
 def running(y: np.ndarray, half: int, how) -> np.ndarray:
     """A statistic of neighbours within half places; the ends repeat."""
     if half < 1:

@@ -304,3 +304,20 @@ def test_class_report_counts_a_class_never_predicted(spark):
     got = {r.label: (round(r.precision, 6), r.recall, round(r.f1, 6), r.support) for r in statistics.class_report(rows).collect()}
     assert got == {0: (0.666667, 1.0, 0.8, 2), 1: (0.0, 0.0, 0.0, 1)}
     assert statistics.misclassified(rows).count() == 1
+
+
+def test_savgol_kernel_equals_the_expression_and_mlesg_keeps_edge_cases(spark):
+    y = np.random.default_rng(42).normal(size=30)
+    got = spark.range(1).select(A.savgol(arr(*y), 9, 3).alias("v")).first().v
+    assert np.allclose(got, linalg.savgol(y, 9, 3))
+    flat, few = np.ones(50), np.arange(5.0)
+    assert (smooth.mlesg(np.arange(50.0), flat) == flat).all() and (smooth.mlesg(few, few) == few).all()
+
+
+def test_mlesg_keeps_peaks_and_flattens_what_lies_between():
+    clean = np.exp(-(((X - 900) / 60) ** 2))
+    y = clean + 0.02 * np.random.default_rng(42).normal(size=len(X))
+    out = smooth.mlesg(X, y, distance=60.0)
+    between = np.abs(X - 900) > 250
+    assert np.std(out[between]) < 0.6 * np.std(y[between])
+    assert abs(out[np.abs(X - 900).argmin()] - 1) < 0.06
