@@ -5,8 +5,11 @@ are shuffled.  Pieces are dealt by hash into groups of about GROUP pieces, and e
 group is packed by itself: best fit by decreasing length first, then local search.
 The search takes the emptiest bin and moves a document out of it, or exchanges one
 for one or two for one with another underfull bin, whenever that raises the sum of
-squared fills; it goes on until the bin is empty or no exchange helps.  A group whose
-free room is less than one bin can't lose another bin and is done.
+squared fills; it goes on until the bin is empty or no exchange helps.  Every underfull
+bin is a partner: all of them are looked up at once, by what each can give back, and
+the exchange that raises the sum most is made.  Changed bins are queued again, and the
+sweeps end when one finds no exchange.  A group whose free room is less than one bin
+can't lose another bin and is done.
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ from lumenframe.llm.common import written
 
 ROOM = 2048
 GROUP = 8192
-#: Exchanges tried with other bins for one emptiest bin before the next is taken.
-PARTNERS = 256
 
 
 class Tokens:
@@ -119,34 +120,99 @@ def _exchange(donor: list[int], other: list[int], free: int, gap: int, lengths:
     return found
 
 
+class _Receivers:
+    """What every underfull bin can give back, indexed for one donor's gifts at a time.
+
+    An entry is a bin and the size it gives back: nothing, an item, or (against one item
+    of the donor only) a pair.  Entries of changed bins are left behind at a full dummy.
+    """
+
+    def __init__(self, bins: list[list[int]], fill: np.ndarray, lengths: list[int], room: int):
+        self.bins, self.lengths, self.room = bins, lengths, room
+        self.fill = np.append(fill, room)  # the last one is the dummy
+        self.spans: dict[int, tuple[int, int, int, int]] = {}
+        self._build()
+
+    def _own(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([self.lengths[i] for i in self.bins[j]], np.int64)
+        x, y = np.triu_indices(len(sizes), 1)
+        return np.unique(np.append(sizes, 0)), np.unique(sizes[x] + sizes[y])
+
+    def _build(self) -> None:
+        self.at, self.size, self.ends = [], [], []
+        open_bins = np.flatnonzero((self.fill[:-1] > 0) & (self.fill[:-1] < self.room)).tolist()
+        own = {j: self._own(j) for j in open_bins}
+        for kind in (0, 1):
+            counts = [len(own[j][kind]) for j in open_bins]
+            self.at.append(np.repeat(np.array(open_bins, np.int64), counts))
+            self.size.append(np.concatenate([own[j][kind] for j in open_bins] or [np.zeros(0, np.int64)]))
+            self.ends.append(dict(zip(open_bins, np.cumsum(counts).tolist(), strict=True)))
+        self.spans = {j: tuple(self.ends[kind][j] - (len(own[j][kind]) if first else 0) for kind in (0, 1) for first in (1, 0)) for j in open_bins}
+        self.live = sum(len(s) for s in self.size)
+
+    def changed(self, j: int) -> None:
+        """Index bin j anew; a full or empty bin takes part no more."""
+        dummy, span = len(self.fill) - 1, self.spans.pop(j, None)
+        if span:
+            self.at[0][span[0] : span[1]] = dummy
+            self.at[1][span[2] : span[3]] = dummy
+        if 0 < self.fill[j] < self.room:
+            span = ()
+            for kind, sizes in enumerate(self._own(j)):
+                span += (len(self.size[kind]), len(self.size[kind]) + len(sizes))
+                self.at[kind] = np.append(self.at[kind], np.full(len(sizes), j))
+                self.size[kind] = np.append(self.size[kind], sizes)
+            self.spans[j] = span
+        if sum(len(s) for s in self.size) > 2 * self.live + 1024:
+            self._build()
+
+    def best(self, k: int) -> int:
+        """The bin whose exchange with donor k raises the sum of squared fills most; -1 if none does."""
+        f = int(self.fill[k])
+        singles, pairs = self._own(k)
+        found, most = -1, 0
+        self.fill[k] = self.room  # no exchange with itself
+        for kind, gifts in ((0, np.union1d(singles, pairs)), (1, singles)):
+            size = self.size[kind]
+            fill = self.fill[self.at[kind]]
+            # the most that is given and still fits, less what comes back
+            d = gifts[np.searchsorted(gifts, size + self.room - fill, side="right") - 1] - size
+            gain = np.where(d > 0, d * (fill - f + d), 0)
+            if len(gain) and gain[i := int(gain.argmax())] > most:
+                found, most = int(self.at[kind][i]), int(gain[i])
+        self.fill[k] = f
+        return found
+
+
 def local_search(bins: list[list[int]], lengths: list[int], room: int = ROOM) -> list[list[int]]:
     bins = [list(b) for b in bins if b]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    alive = len(bins)
-    least = -(-sum(fill) // room)
-    queue = [(f, k) for k, f in enumerate(fill) if f < room]
-    heapq.heapify(queue)
-    while alive > least and queue:
-        f, k = heapq.heappop(queue)
-        if f != fill[k] or not bins[k]:
-            continue
-        others = sorted((j for j in range(len(bins)) if j != k and bins[j] and fill[j] < room), key=lambda j: (fill[j], j), reverse=True)
-        moved = True
-        while moved and bins[k]:
-            moved = False
-            for j in others[:PARTNERS]:
-                if fill[j] >= room or not bins[k]:
-                    continue
-                step = _exchange(bins[k], bins[j], room - fill[j], fill[j] - fill[k], lengths)
-                if step:
-                    out, back = step
-                    bins[k] = [i for i in bins[k] if i not in out] + back
-                    bins[j] = [i for i in bins[j] if i not in back] + out
-                    d = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                    fill[k], fill[j] = fill[k] - d, fill[j] + d
-                    moved = True
-        if not bins[k]:
-            alive -= 1
+    all_fills = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    alive, least = len(bins), -(-int(all_fills.sum()) // room)
+    if alive <= least:
+        return bins
+    near = _Receivers(bins, all_fills, lengths, room)
+    fill, changed = near.fill, True
+    while changed and alive > least:
+        changed = False
+        queue = [(int(f), k) for k, f in enumerate(fill[:-1]) if 0 < f < room]
+        heapq.heapify(queue)
+        while alive > least and queue:
+            f, k = heapq.heappop(queue)
+            if f != fill[k] or not bins[k]:
+                continue
+            while bins[k] and (j := near.best(k)) >= 0:
+                out, back = _exchange(bins[k], bins[j], int(room - fill[j]), int(fill[j] - fill[k]), lengths)
+                bins[k] = [i for i in bins[k] if i not in out] + back
+                bins[j] = [i for i in bins[j] if i not in back] + out
+                d = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                fill[k], fill[j] = fill[k] - d, fill[j] + d
+                near.changed(k)
+                near.changed(j)
+                changed = True
+                if fill[j] < room:
+                    heapq.heappush(queue, (int(fill[j]), j))
+            if not bins[k]:
+                alive -= 1
     return [b for b in bins if b]
 
 

@@ -235,6 +235,21 @@ def test_local_search_empties_bins():
     assert all(sum(lengths[i] for i in b) <= 10 for b in done)
 
 
+def test_local_search_reaches_bins_behind_many_fuller_ones():
+    lengths = [9] * 300 + [2, 2, 6]
+    done = packing.local_search([*([i] for i in range(300)), [300, 301], [302]], lengths, 10)
+    assert len(done) == 301 and sorted(i for b in done for i in b) == list(range(303))
+
+
+def test_local_search_ends_where_no_exchange_helps():
+    rng = random.Random(3)
+    lengths = [rng.randint(500, 1100) for _ in range(700)]
+    done = packing.pack(lengths)
+    fill = [sum(lengths[i] for i in b) for b in done]
+    assert sorted(i for b in done for i in b) == list(range(700)) and max(fill) <= packing.ROOM
+    assert len(done) > -(-sum(lengths) // packing.ROOM) and not any(packing._exchange(done[k], done[j], packing.ROOM - fill[j], fill[j] - fill[k], lengths) for k in range(len(done)) for j in range(len(done)) if j != k)
+
+
 def test_exchanges_of_one_and_two():
     lengths = [2, 2, 3, 6]
     out, back = packing._exchange([0, 1], [2, 3], 1, 5, lengths)
