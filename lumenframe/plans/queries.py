@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -544,12 +544,13 @@ query("hotelling_test")(lambda s, d: tests_of_groups.hotelling(s, spectra(s, d),
 query("permutation_test")(lambda s, d: tests_of_groups.permutation(spectra(s, d), 1, 2, 500))
 
 
-def learnt(spark, sf_dir):
-    return learning.dataset(spectra(spark, sf_dir), (0, 1, 2))
+def learnt(spark, sf_dir, classes: Sequence[int] = ()):
+    return learning.dataset(spectra(spark, sf_dir), classes)
 
 
 for _name in learning.CLASSIFIERS:
     query(f"classify_{_slug(_name)}")(lambda s, d, n=_name: learning.train_and_predict(learnt(s, d), n))
+query("classify_lda_of_classes")(lambda s, d: learning.train_and_predict(learnt(s, d, (0, 1, 2)), "LDA"))
 query("classifier_metrics")(lambda s, d: learning.metrics(learning.train_and_predict(learnt(s, d), "LDA")))
 query("principal_components")(lambda s, d: learning.principal_components(learnt(s, d))[0])
 query("linear_contributions")(lambda s, d: learning.linear_contributions(learnt(s, d), learning.discriminant(learnt(s, d))))

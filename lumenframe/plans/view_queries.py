@@ -121,5 +121,5 @@ def production_predict(spark, sf_dir):
     """New spectra go through the frozen steps and axis of training, then to its model."""
     steps = [Step("cut", params={"start": 340.0, "end": 1500.0}), Step("smooth", "Savitzky-Golay filter", {"window": 5, "order": 2}), Step("normalize", "SNV")]
     ready = apply(spectra(spark, sf_dir), steps)
-    model = learning.discriminant(learning.dataset(ready.where("key % 5 <> 0"), (0, 1, 2)))
-    return learning.apply_discriminant(learning.dataset(ready.where("key % 5 = 0"), (0, 1, 2)), model).select("key", "label", "prediction")
+    model = learning.discriminant(learning.dataset(ready.where("key % 5 <> 0")))
+    return learning.apply_discriminant(learning.dataset(ready.where("key % 5 = 0")), model).select("key", "label", "prediction")

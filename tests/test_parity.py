@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from lumenframe.plans import view_queries  # noqa: F401  adds its queries
-from lumenframe.plans.queries import QUERIES, SQL
+from lumenframe.plans.queries import QUERIES, SQL, learnt
 
 SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +42,11 @@ OTHERS = {n for n in QUERIES if n not in SQL and n not in SLOW and (not n.starts
 @pytest.mark.parametrize("name", sorted(OTHERS))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).limit(20).count() > 0
+
+
+def test_models_learn_from_every_row(spark, con):
+    rows, classes, new = con.sql("SELECT count(*), count(DISTINCT label), count(*) FILTER (vec_id % 5 = 0) FROM embeddings").fetchall()[0]
+    data = learnt(spark, SF)
+    assert (data.count(), data.select("label").distinct().count()) == (rows, classes)
+    assert QUERIES["classify_lda"](spark, SF).count() == rows and QUERIES["production_predict"](spark, SF).count() == new
+    assert {r.label for r in QUERIES["classify_lda_of_classes"](spark, SF).select("label").distinct().collect()} == {0, 1, 2}
