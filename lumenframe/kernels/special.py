@@ -8,6 +8,7 @@ from math import erfc, exp, inf, lgamma, log, log1p, pi, sqrt
 import numpy as np
 
 erf = np.vectorize(_erf, otypes=[float])
+erfc_all = np.vectorize(erfc, otypes=[float])
 loggamma_real = np.vectorize(lgamma, otypes=[float])
 
 
@@ -99,29 +100,47 @@ def mann_whitney_p(u: float, n1: int, n2: int, ties: float) -> float:
     return min(1.0, 2 * normal_sf((big - n1 * n2 / 2 - 0.5) / s)) if s else 1.0
 
 
+def normal_scores(rank: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Expected places of the ranks 1 to n among n normal values (Blom): the steps of normal_ppf for all at once."""
+    p = (np.asarray(rank, float) - 0.375) / (np.asarray(n, float) + 0.25)
+    z = np.zeros_like(p)
+    for _ in range(60 if p.size else 0):
+        step = (1 - 0.5 * erfc_all(z / sqrt(2)) - p) * sqrt(2 * pi) * np.exp(np.minimum(z * z / 2, 60))
+        z -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-12:
+            break
+    return z
+
+
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     """(W, p) by Royston's approximation (AS R94)."""
     x = np.sort(np.asarray(x, float))
     n = len(x)
-    if n < 3 or x[0] == x[-1]:
+    if n < 3:
+        return 1.0, 1.0
+    m, d = normal_scores(np.arange(1, n + 1), n), x - x.mean()
+    return shapiro_wilk_of_sums(n, float(m @ d), float(m @ m), float(d @ d), (d[0], d[1], d[-2], d[-1]))
+
+
+def shapiro_wilk_of_sums(n: int, mx: float, mm: float, xx: float, ends: tuple[float, float, float, float]) -> tuple[float, float]:
+    """The same from sums: normal scores by centred values, their squares, squares of the values, and the two values at each end."""
+    if n < 3 or ends[0] == ends[3]:
         return 1.0, 1.0
-    m = np.array([normal_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    c, u = m / sqrt((m * m).sum()), 1 / sqrt(n)
-    a = c.copy()
+    c, m, u = {}, {}, 1 / sqrt(n)
+    for back in (1, 2):
+        m[back] = normal_ppf((n + 1 - back - 0.375) / (n + 0.25))
+        c[back] = m[back] / sqrt(mm)
     if n == 3:
-        a = np.array([-sqrt(0.5), 0, sqrt(0.5)])
+        ax = sqrt(0.5) * (ends[3] - ends[0])
     else:
         # Royston's polynomials.
-        a[-1] = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, c[-1]], u)
-        k = 1
+        a = {1: np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, c[1]], u)}
         if n > 5:
-            a[-2] = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, c[-2]], u)
-            k = 2
-        phi = ((m * m).sum() - 2 * (m[-k:] ** 2).sum()) / (1 - 2 * (a[-k:] ** 2).sum())
-        a[k:-k] = m[k:-k] / sqrt(phi)
-        a[:k] = -a[-k:][::-1]
-    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
-    w = min(w, 1.0)
+            a[2] = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, c[2]], u)
+        phi = (mm - 2 * sum(m[k] ** 2 for k in a)) / (1 - 2 * sum(v**2 for v in a.values()))
+        spread = {1: ends[3] - ends[0], 2: ends[2] - ends[1]}
+        ax = (mx - sum(m[k] * spread[k] for k in a)) / sqrt(phi) + sum(v * spread[k] for k, v in a.items())
+    w = min(float(ax**2 / xx), 1.0)
     if n == 3:
         return w, max(0.0, min(1.0, 6 / pi * (np.arcsin(sqrt(w)) - np.arcsin(sqrt(0.75)))))
     y = log(max(1 - w, 1e-300))

@@ -11,21 +11,43 @@ from pyspark.sql import functions as F
 
 from lumenframe.kernels import special
 from lumenframe.operators import statistics
+from lumenframe.operators.relational import running_totals
 
-#: Values of a feature that the normality test takes at most (its approximation holds to 5000).
+#: Values up to which the p of the normality test holds.
 NORMALITY_ROWS = 5_000
 
 
 def normality(long: DataFrame) -> DataFrame:
-    """Shapiro-Wilk of each feature, over the 5000 values of least hash at most."""
-    few = statistics.Window.partitionBy("feature").orderBy(F.xxhash64("key"), "key")
-    some = long.withColumn("n", F.row_number().over(few)).where(F.col("n") <= NORMALITY_ROWS)
+    """Shapiro-Wilk of each feature over all its values; p_valid: not more than the 5000 that its p holds for.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        w, p = special.shapiro_wilk(g["value"].dropna().to_numpy())
-        return pd.DataFrame({"feature": [g["feature"].iloc[0]], "w": [w], "p": [p]})
+    W needs sums over the values with their ranks only. Equal values go as one: they share the mean of
+    their weights, by the ranks before them. Null and NaN values take no part.
+    """
+    counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("feature", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    moments = counts.groupBy("feature").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    ranked = running_totals(counts, "value", ["n"], ["feature"]).join(moments, "feature")
 
-    return some.select("feature", "value").groupBy("feature").applyInPandas(run, "feature int, w double, p double")
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n, d = b["n"].to_numpy(), (b["value"] - b["mean"]).to_numpy()
+            first = b["cum_n"].to_numpy() - n
+            ranks = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(1, n.sum() + 1) if len(b) else np.zeros(0)
+            m = special.normal_scores(ranks, np.repeat(b["total"].to_numpy(), n))
+            at = np.repeat(np.arange(len(b)), n)
+            yield pd.DataFrame({"feature": b["feature"], "total": b["total"], "mx": np.bincount(at, m, len(b)) * d, "mm": np.bincount(at, m * m, len(b)), "xx": n * d * d, "first": first, "last": b["cum_n"], "d": d})
+
+    each = ranked.select("feature", "value", "n", "cum_n", "total", "mean").mapInPandas(scores, "feature int, total long, mx double, mm double, xx double, first long, last long, d double")
+    holds = lambda rank: F.max(F.when((F.col("first") < rank) & (F.col("last") >= rank), F.col("d")))
+    ends = [holds(F.lit(1)), holds(F.lit(2)), holds(F.col("total") - 1), holds(F.col("total"))]
+    sums = each.groupBy("feature").agg(F.max("total").alias("n"), *(F.sum(c).alias(c) for c in ("mx", "mm", "xx")), *(e.alias(f"e{i}") for i, e in enumerate(ends)))
+    sums = long.select("feature").distinct().join(sums, "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))  # a feature without values keeps its row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [special.shapiro_wilk_of_sums(int(r.n), r.mx, r.mm, r.xx, (r.e0, r.e1, r.e2, r.e3)) for r in b.itertuples()]
+            yield pd.DataFrame({"feature": b["feature"], "w": [w for w, _ in found], "p": [p for _, p in found], "p_valid": b["n"] <= NORMALITY_ROWS})
+
+    return sums.mapInPandas(run, "feature int, w double, p double, p_valid boolean")
 
 
 def mann_whitney(long: DataFrame, first: int, second: int) -> DataFrame:

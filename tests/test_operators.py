@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import arrays as A
 from lumenframe.functions import labels
 from lumenframe.kernels import baseline, linalg, optimizers, peaks, signal, smooth, special
-from lumenframe.operators import aggregates, decompose, learning, statistics
+from lumenframe.operators import aggregates, decompose, learning, statistics, tests_of_groups
 from lumenframe.plans.pipeline import Step, apply, plan
 from lumenframe.schema import SPECTRA, to_points, to_spectra
 from lumenframe.sources import project, spectra_text
@@ -321,3 +321,13 @@ def test_mlesg_keeps_peaks_and_flattens_what_lies_between():
     between = np.abs(X - 900) > 250
     assert np.std(out[between]) < 0.6 * np.std(y[between])
     assert abs(out[np.abs(X - 900).argmin()] - 1) < 0.06
+
+
+def test_normality_takes_every_value(spark):
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(size=3000), *rng.normal(size=3000).round(1), 40.0]
+    rows = [(k, 0, float(v)) for k, v in enumerate(values)] + [(k, 1, float(v)) for k, v in enumerate(values[:60])] + [(0, 2, None)]
+    got = {r.feature: r for r in tests_of_groups.normality(spark.createDataFrame(rows, "key long, feature int, value double")).collect()}
+    for feature, own in ((0, values), (1, values[:60])):
+        assert np.allclose((got[feature].w, got[feature].p), special.shapiro_wilk(np.array(own)), rtol=1e-6, atol=1e-12)
+    assert got[0].w < 0.9 and not got[0].p_valid and got[1].p_valid and (got[2].w, got[2].p) == (1.0, 1.0)
