@@ -267,6 +267,25 @@ def cluster_places(groups: list[np.ndarray], hwhm: float, seed: int) -> list[flo
     return sorted(float(np.median(c)) for c in fullest)
 
 
+def cluster_counts(places: np.ndarray, counts: np.ndarray, hwhm: float, wanted: int, seed: int) -> list[float]:
+    """The same for places that are counted already: the most frequent place goes first, equal ones in a seeded order."""
+    mixed = np.random.default_rng(seed).permutation(len(places))
+    clusters: list[list[int]] = []
+    centres: list[float] = []
+    for i in np.lexsort((mixed, -counts)):
+        d = np.abs(np.array(centres) - places[i])
+        k = int(np.argmin(d)) if len(d) and d.min() <= hwhm else len(clusters)
+        if k == len(clusters):
+            clusters.append([])
+            centres.append(0.0)
+        clusters[k].append(int(i))
+        own = np.array(sorted(clusters[k], key=lambda j: places[j]))
+        below = np.cumsum(counts[own])
+        centres[k] = float(np.mean([places[own[np.searchsorted(below, r, side="right")]] for r in ((below[-1] - 1) // 2, below[-1] // 2)]))
+    fullest = sorted(range(len(clusters)), key=lambda k: counts[clusters[k]].sum(), reverse=True)[:wanted]
+    return sorted(centres[k] for k in fullest)
+
+
 def _spike(x, p):
     """Asymmetric pseudo-Voigt on a line: height, place, two half widths, Lorentz share, slope, offset."""
     a, x0, left, right, share, slope, offset = p

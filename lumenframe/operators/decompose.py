@@ -14,6 +14,8 @@ from lumenframe.functions import labels
 from lumenframe.kernels import optimizers, peaks
 from lumenframe.plans.pipeline import spread
 
+#: Places counted as one for a template, as parts of the half width that clusters have.
+BINS = 50
 PARAMS = "key long, grp int, line int, param string, value double, stderr double, min_value double, max_value double"
 
 
@@ -33,21 +35,26 @@ def guess_lines(spectra: DataFrame, borders: Sequence[float] = (), shape: str =
     return spread(spectra.select("key", "grp", "x", "y").where("size(y) > 0")).mapInPandas(run, "key long, grp int, interval int, x0 double")
 
 
-def template(guessed: DataFrame, hwhm: float, most: int = 500, seed: int = 0) -> DataFrame:
-    """Common line places of each interval, numbered along the axis.
+def template(guessed: DataFrame, hwhm: float, seed: int = 0) -> DataFrame:
+    """Common line places of each interval, numbered along the axis, from the lines of all spectra.
 
-    Order-dependent, so an interval's clusters are made in one task, from the `most`
-    spectra of least seeded hash (a documented bound on a template, not on the fits).
+    Lines are counted by places of hwhm / BINS width, and spectra by their number of lines, before an
+    interval's clusters are made; so the task of an interval holds its places, not its spectra.
+    A centre is off the median of its lines by one such width at most.
     """
-    chosen = guessed.select("key").distinct().orderBy(F.xxhash64("key", F.lit(seed))).limit(most)
-    rows = guessed.join(F.broadcast(chosen), "key")
+    own = guessed.groupBy("interval", "key").agg(F.collect_list("x0").alias("x0s"))
+    lines = F.size("x0s").cast("long")
+    marks = F.transform("x0s", lambda v: F.struct(F.lit(False).alias("is_number"), F.floor(v * BINS / hwhm).alias("at"), v.alias("x0")))
+    number = F.array(F.struct(F.lit(True).alias("is_number"), lines.alias("at"), lines.cast("double").alias("x0")))
+    counts = own.select("interval", F.explode(F.concat(number, marks)).alias("m")).groupBy("interval", "m.is_number", "m.at").agg(F.count("*").alias("n"), F.avg("m.x0").alias("x0"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        groups = [own.x0.to_numpy() for _, own in g.sort_values(["key", "x0"]).groupby("key")]
         k = int(g["interval"].iloc[0])
-        return pd.DataFrame({"interval": k, "x0": peaks.cluster_places(groups, hwhm, seed + k)})
+        numbers, places = (g[g["is_number"] == is_number].sort_values("at") for is_number in (True, False))
+        wanted = int(numbers["at"].iloc[int(numbers["n"].argmax())])
+        return pd.DataFrame({"interval": k, "x0": peaks.cluster_counts(places["x0"].to_numpy().round(6), places["n"].to_numpy(), hwhm, wanted, seed + k)})
 
-    places = rows.groupBy("interval").applyInPandas(run, "interval int, x0 double")
+    places = counts.groupBy("interval").applyInPandas(run, "interval int, x0 double")
     return places.withColumn("legend", labels.legend(F.col("x0")))
 
 

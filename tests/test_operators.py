@@ -331,3 +331,12 @@ def test_normality_takes_every_value(spark):
     for feature, own in ((0, values), (1, values[:60])):
         assert np.allclose((got[feature].w, got[feature].p), special.shapiro_wilk(np.array(own)), rtol=1e-6, atol=1e-12)
     assert got[0].w < 0.9 and not got[0].p_valid and got[1].p_valid and (got[2].w, got[2].p) == (1.0, 1.0)
+
+
+def test_template_takes_the_lines_of_all_spectra(spark):
+    keys = spark.range(1101).withColumnRenamed("id", "key")
+    early = [r.key for r in keys.orderBy(F.xxhash64("key", F.lit(0))).limit(500).collect()]
+    rows = [(k, 0, 500.0 + k % 3) for k in range(1101)] + [(k, 0, 900.0) for k in set(range(1101)) - set(early)]
+    got = decompose.template(spark.createDataFrame(rows, "key long, interval int, x0 double"), 40.0).collect()
+    assert sorted(r.x0 for r in got) == [501.0, 900.0]
+    assert peaks.cluster_counts(np.array([99.0, 100, 102, 200, 300]), np.array([1, 5, 2, 9, 1]), 10, 2, 1) == [100.0, 200.0]
