@@ -15,6 +15,8 @@ from lumenframe.operators.relational import running_totals
 
 #: Values up to which the p of the normality test holds.
 NORMALITY_ROWS = 5_000
+#: Rows relabelled at a time: with 10,000 rounds some 20 MB.
+PICKED_ROWS = 256
 
 
 def normality(long: DataFrame) -> DataFrame:
@@ -118,9 +120,7 @@ def permutation(arrays: DataFrame, first: int, second: int, rounds: int = 10_000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = count = None
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (b.iloc[i : i + PICKED_ROWS] for b in batches for i in range(0, len(b), PICKED_ROWS)):
             m = np.stack(list(b["y"])).astype(float)
             pick = np.stack([np.random.default_rng([seed, int(k) & 0xFFFFFFFF]).random(rounds) < share for k in b["key"]])
             pick = np.column_stack([b["own"].to_numpy(bool), pick]).astype(float)

@@ -519,7 +519,7 @@ def _slug(name: str) -> str:
 for _name in _baseline.METHODS:
     query(f"baseline_{_slug(_name)}")(_baseline_query(_name))
 for _name in _smooth.SMOOTHERS:
-    query(f"smooth_{_slug(_name)}")(lambda s, d, n=_name: to_points(apply(spectra(s, d), [Step("smooth", n, {"trials": 5} if n in _smooth.SEEDED else {})])).select("key", "i", "y"))
+    query(f"smooth_{_slug(_name)}")(lambda s, d, n=_name: to_points(apply(spectra(s, d), [Step("smooth", n)])).select("key", "i", "y"))
 
 
 @query("norm_emsc")
@@ -541,7 +541,7 @@ query("mann_whitney_p")(lambda s, d: tests_of_groups.mann_whitney(features(s, d)
 query("anova_p")(lambda s, d: tests_of_groups.anova(features(s, d)))
 query("top_features")(lambda s, d: tests_of_groups.top_features(features(s, d)))
 query("hotelling_test")(lambda s, d: tests_of_groups.hotelling(s, spectra(s, d), 1, 2))
-query("permutation_test")(lambda s, d: tests_of_groups.permutation(spectra(s, d), 1, 2, 500))
+query("permutation_test")(lambda s, d: tests_of_groups.permutation(spectra(s, d), 1, 2))
 
 
 def learnt(spark, sf_dir, classes: Sequence[int] = ()):
@@ -559,7 +559,7 @@ query("pipeline_chain")(lambda s, d: to_points(apply(spectra(s, d), [Step("cut",
 query("det_points", "WITH c AS (SELECT l_quantity AS score, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1) SELECT score, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(1 - sum(p) OVER w / sum(p) OVER (), 6) + 0.0 AS fnr FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")(
     lambda s, d: statistics.det_points(table(s, d, "lineitem"), F.col("l_returnflag") == "R", "l_quantity").select("score", F.round("fpr", 6).alias("fpr"), r6(F.col("fnr"), "fnr"))
 )
-query("predict_all")(lambda s, d: learning.predict_all(learnt(s, d), ("LDA", "Decision Tree")))
+query("predict_all")(lambda s, d: learning.predict_all(learnt(s, d), learning.CLASSIFIERS))
 query("learning_curve")(lambda s, d: learning.learning_curve(learnt(s, d)))
 
 
@@ -574,6 +574,14 @@ query("partial_dependence")(lambda s, d: explain.partial_dependence(learnt(s, d)
 query("partial_dependence_2d")(lambda s, d: explain.partial_dependence(learnt(s, d), fitted("Random Forest", learnt(s, d)), [3, 7], 5))
 query("decision_areas_lda")(lambda s, d: explain.decision_areas(learnt(s, d), "LDA"))
 query("decision_areas_tree")(lambda s, d: explain.decision_areas(learnt(s, d), "Decision Tree"))
-query("permutation_importance")(lambda s, d: learning.permutation_importance(learnt(s, d), fitted("Decision Tree", learnt(s, d)), [0, 1, 2]))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf_dir):
+    data = learnt(spark, sf_dir)
+    model = fitted("Decision Tree", data)
+    return learning.permutation_importance(data, model, range(model.numFeatures))
+
+
 for _name in _optimizers.METHODS:
     query(f"fit_method_{_slug(_name)}")(lambda s, d, n=_name: decompose.fit_batch(spectra(s, d), [500.0, 900.0], "Gaussian", 80.0, [700.0], n).select("key", "grp", "line", "param", F.round("value", 3).alias("value")))

@@ -7,6 +7,8 @@ import os
 import duckdb
 import pytest
 
+from lumenframe.operators import learning, tests_of_groups
+from lumenframe.plans import queries as plans
 from lumenframe.plans import view_queries  # noqa: F401  adds its queries
 from lumenframe.plans.queries import QUERIES, SQL, learnt
 
@@ -50,3 +52,17 @@ def test_models_learn_from_every_row(spark, con):
     assert (data.count(), data.select("label").distinct().count()) == (rows, classes)
     assert QUERIES["classify_lda"](spark, SF).count() == rows and QUERIES["production_predict"](spark, SF).count() == new
     assert {r.label for r in QUERIES["classify_lda_of_classes"](spark, SF).select("label").distinct().collect()} == {0, 1, 2}
+
+
+def test_queries_leave_the_operators_their_own_settings(spark, monkeypatch):
+    monkeypatch.setattr(learning, "predict_all", lambda df, names, seed=0: tuple(names))
+    monkeypatch.setattr(learning, "permutation_importance", lambda df, model, features, seed=0: list(features))
+    monkeypatch.setattr(tests_of_groups, "permutation", lambda arrays, first, second, rounds=10_000, seed=0: rounds)
+    assert QUERIES["predict_all"](spark, SF) == learning.CLASSIFIERS
+    assert QUERIES["permutation_importance"](spark, SF) == list(range(64))
+    assert QUERIES["permutation_test"](spark, SF) == 10_000
+    steps, apply = [], plans.apply
+    monkeypatch.setattr(plans, "apply", lambda df, own: steps.extend(own) or apply(df, own))
+    for name in ("smooth_eemd", "smooth_ceemdan"):
+        QUERIES[name](spark, SF)
+    assert [s.params.get("trials", 20) for s in steps] == [20, 20]
