@@ -1,11 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, cut to bands, with exact verification.
 
 A document is the set of its shingles (runs of five words, 64-bit hashes; a text of
 one to four words is one shingle).  Documents of equal sets are copies and go on as
-one representative that carries their number.  Each of TREES prefix tries orders the
-representatives by a signature of up to MAX_DEPTH minhashes.  The prefix on which two
-must agree is shortened from MAX_DEPTH until a pair at the threshold shares a prefix
-in some tree with the target probability (prefix_depth).
+one representative that carries their number.  Each of the TREES trees of the forest is cut at one
+depth for all (prefix_depth): the longest, of MAX_DEPTH at most, at which a pair at the
+threshold shares a prefix in some tree with the target probability.  So the trees are
+bands: deeper levels aren't made, and a node is a group of equal prefixes.
 
 Members of a trie node that holds two or more are verified exactly, by counting common
 shingles.  Nodes with the same members in several trees are verified once.  A large
