@@ -19,11 +19,12 @@ from hashlib import sha256
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lumenframe.llm.common import slices
+from lumenframe.llm.common import beside, slices
 
 #: Fixed value: how byte-level tokenizers of this kind cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -235,23 +236,22 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     that each machine has.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str]) -> dict:
         bpe = load(tokenizer_path)
-        for b in batches:
-            ids = bpe.encode([t or "" for t in b.text])
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha256(x).hexdigest() for x in ids], "decoded_sha256": [sha256(bpe.decode(x)).hexdigest() for x in ids]})
+        ids = bpe.encode(texts)
+        return {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha256(x).hexdigest() for x in ids], "decoded_sha256": [sha256(bpe.decode(x)).hexdigest() for x in ids]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return beside(docs, ["doc_id"], "text", work, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids and the decoded text of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for b in batches:
-            ids = bpe.encode([t or "" for t in b.text])
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": [np.frombuffer(x, "<u4").astype("int64") for x in ids], "decoded": [bpe.decode(x).decode() for x in ids]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<long>, decoded string")
+            ids = bpe.encode([t or "" for t in b.column(1).to_pylist()])
+            arrays = [b.column(0), pa.array([np.frombuffer(x, "<u4").astype("int64") for x in ids], pa.list_(pa.int64())), pa.array([bpe.decode(x).decode() for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<long>, decoded string")

@@ -3,22 +3,49 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from tempfile import gettempdir
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests, one machine).
-LOCAL_SHARED_DIR = "/tmp/checkpoints/lumenframe"
+_TYPES = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string())}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets one only if the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a checkpoint folder set before.
+
+    Where neither is named, a local folder serves a session of one machine; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or LOCAL_SHARED_DIR)
-    return named or LOCAL_SHARED_DIR
+    own = sc._jsc.sc().getCheckpointDir()
+    if not named and own.isDefined():
+        return str(own.get())
+    if not named:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"{gettempdir()}/lumenframe-checkpoints"
+    if own.isEmpty():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def beside(rows: DataFrame, keys: list[str], column: str, work: Callable[[list[str]], dict], added: dict[str, str]) -> DataFrame:
+    """The key columns of every row as they are, beside what work makes of a batch of texts: one value a row for each added column.
+
+    Null texts are empty.  Keys never leave Arrow: pandas would turn whole numbers beside a null into floats.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = work([t or "" for t in b.column(len(keys)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array(made[c], _TYPES[t][1]) for c, t in added.items())], names=[*keys, *added])
+
+    chosen = rows.select(*keys, column)
+    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[: len(keys)], *(T.StructField(c, _TYPES[t][0]) for c, t in added.items())]))
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -20,15 +20,15 @@ aren't read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from lumenframe.llm.common import beside
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("head script style noscript template iframe object svg math canvas select textarea datalist audio video map".split())
@@ -326,11 +326,8 @@ def extract(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     forest = forest or model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for s in range(0, len(b), 128):
-                some = b[s : s + 128]
-                texts = extract_texts([h or "" for h in some.html], forest)
-                yield pd.DataFrame({"page_id": some.page_id, "url": some.url, "text": texts, "n_chars": [len(t) for t in texts]})
+    def work(htmls: list[str]) -> dict:
+        texts = [t for s in range(0, len(htmls), 128) for t in extract_texts(htmls[s : s + 128], forest)]
+        return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return beside(pages, ["page_id", "url"], "html", work, {"text": "string", "n_chars": "long"})

@@ -21,7 +21,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,17 +224,20 @@ def pack(lengths: list[int], room: int = ROOM) -> list[list[int]]:
 def pieces(docs: DataFrame, tokenizer_path: str, room: int = ROOM) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = load(tokenizer_path)
         for b in batches:
-            out = []
-            for doc_id, text in zip(b.doc_id, b.text, strict=True):
+            rows, out = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(tokens.ids(text or ""), np.array([0], "<u4"))
-                out += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), room))]
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+                own = cut(len(ids), room)
+                rows += [i] * len(own)
+                out += [(k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(own)]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *made], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, room: int = ROOM, group: int = GROUP) -> DataFrame:
@@ -241,25 +245,25 @@ def packed(docs: DataFrame, tokenizer_path: str, room: int = ROOM, group: int =
 
     A null text is empty, and an empty document is its end token alone.  Rows with
     null or repeated ids are packed each by itself.  Equal lengths are packed in the
-    order of their ids.  Other columns aren't read.  The rows of pieces (no texts) are
+    order of their ids.  Other columns aren't read.  An empty table gives none.  The rows of pieces (no texts) are
     written first, so texts are read and tokenised once and the number of groups comes
     from the number of pieces, however long documents are.
     """
     cut_up = written(docs.sparkSession, pieces(docs, tokenizer_path, room), "pieces")
     n_groups = max(1, round(cut_up.count() / group))
-    dealt = cut_up.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)).cast("int"))
+    # the row's number in the written table deals rows that repeat each other over the groups, too
+    dealt = cut_up.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_groups)).cast("int"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
-        lengths = g.length.tolist()
-        sequence, offset = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+    def run(g: pa.Table) -> pa.Table:
+        g = g.take(pc.sort_indices(g, [(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "start", "length")], null_placement="at_start"))
+        lengths = g["length"].to_pylist()
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for k, members in enumerate(pack(lengths, room)):
             at = 0
             for i in members:
                 sequence[i], offset[i] = k, at
                 at += lengths[i]
-        g["sequence_id"] = (np.int64(g.grp.iloc[0]) << np.int64(32)) + sequence
-        g["offset"] = offset
-        return g.drop(columns="grp")
+        first = np.int64(g["grp"][0].as_py()) << np.int64(32)
+        return g.drop_columns("grp").append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("grp").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("grp").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

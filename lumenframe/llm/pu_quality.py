@@ -9,23 +9,25 @@ thing that leaves the driver.
 
 Null texts count as empty.  Rows with a null id are scored too.  Repeated rows give
 repeated results.  Empty tables give empty results; without trusted rows every
-score is the prior (0.5 if there is none).  Other columns aren't read.
+score is the prior (0.5 if there is none).  Other columns aren't read; keep() hands
+them on, whatever their names, types and nulls.
 """
 
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import nnpu, pu_sample
-from lumenframe.llm.common import held_out
+from lumenframe.llm.common import beside, held_out
 
 #: Bounds of the sample that the model is fitted on.
 MAX_POSITIVE = 12_000
@@ -105,13 +107,15 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_posit
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of every row."""
+    return scored(docs, model.scores, threshold)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = model.scores([t or "" for t in b.text])
-            yield pd.DataFrame({"doc_id": b.doc_id, "score": s, "predicted": (s >= threshold).astype("int32")})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+def scored(docs: DataFrame, scores: Callable[[list[str]], np.ndarray], threshold: float) -> DataFrame:
+    def work(texts: list[str]) -> dict:
+        s = scores(texts)
+        return {"score": s, "predicted": (s >= threshold).astype("int32")}
+
+    return beside(docs, ["doc_id"], "text", work, {"score": "double", "predicted": "int"})
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -125,11 +129,12 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return filtered(docs, model.scores, lambda s: s >= THRESHOLD)
 
 
-def filtered(docs: DataFrame, scores, accept) -> DataFrame:
-    """Rows whose scores are accepted, in one pass over the rows and without a join."""
+def filtered(docs: DataFrame, scores: Callable[[list[str]], np.ndarray], accept: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows whose scores are accepted, in one pass over the rows and without a join; no value of theirs is changed."""
+    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b[accept(scores([t or "" for t in b.text]))]
+            yield b.filter(pa.array(accept(scores([t or "" for t in b.column(at).to_pylist()])), pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import nnpu, pu_sample
 from lumenframe.llm.common import held_out
-from lumenframe.llm.pu_quality import filtered
+from lumenframe.llm.pu_quality import filtered, scored
 
 #: Bounds of the sample that the model is fitted on, and of its features.
 MAX_POSITIVE = 4_000
@@ -146,13 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_positiv
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of every row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = model.scores([t or "" for t in b.text])
-            yield pd.DataFrame({"doc_id": b.doc_id, "score": s, "predicted": (s >= threshold).astype("int32")})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return scored(docs, model.scores, threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +124,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -135,8 +137,8 @@ def with_neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     no task sees more than its range.  What the driver holds is one id per range.
     Repeated rows are neighbours of each other; a sole row is its own neighbour.
     """
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ends = np.unique(np.array(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [], np.float64))
 
     @F.pandas_udf(T.IntegerType())
@@ -155,17 +157,17 @@ def with_neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     rows = ranged.withColumn("tail", F.lit(0)).unionByName(tails)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
             out = []
-            for doc_id, text, tail in zip(b["doc_id"], b["text"], b["tail"], strict=True):
+            for doc_id, text, tail in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 mark = fingerprint(text)
                 if last is not None:
                     edited = edited_text(last[1], text)
                     edited_mark = last[2] if edited == last[1] else fingerprint(edited)
                     out.append((last[0], len(last[1]), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(last[2]), str(edited_mark), likeness(last[2], edited_mark), likeness(last[2], mark)))
-                last = None if tail else (None if pd.isna(doc_id) else int(doc_id), text, mark)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+                last = None if tail else (doc_id, text, mark)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(ARROW), ARROW.types, strict=True)], schema=ARROW)
 
-    return rows.repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col("tail"), F.col("doc_id").asc_nulls_first(), F.col("text")).select("doc_id", "text", "tail").mapInPandas(run, SCHEMA)
+    return rows.repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col("tail"), F.col("doc_id").asc_nulls_first(), F.col("text")).select("doc_id", "text", "tail").mapInArrow(run, SCHEMA)
