@@ -130,8 +130,8 @@ def test_join_equals_brute_force(spark, docs, none):
     assert sorted(map(tuple, jaccard_forest.join(spark, docs).collect())) == brute_join(odd_rows())
     rows = [(i, t) for i, t in enumerate([*near_copies(60, 7), *near_copies(3, 8), *(prose(100 + i, 50) for i in range(40))])]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (2048, 16):  # one block, and pairs of blocks
-        got = sorted(map(tuple, jaccard_forest.join(spark, frame, block_docs=block).collect()))
+    for block, small in ((2048, 256), (16, 256), (16, 4)):  # one block; pairs of blocks; and prefixes that differ
+        got = sorted(map(tuple, jaccard_forest.join(spark, frame, block_docs=block, small_node=small).collect()))
         assert got == brute_join(rows)
     assert jaccard_forest.join(spark, none).count() == 0
     kept = {r.doc_id for r in jaccard_forest.keep_one(spark, frame).collect()}
@@ -141,8 +141,75 @@ def test_join_equals_brute_force(spark, docs, none):
 def test_prefixes_shorten_until_the_target_is_met():
     deep, shallow = jaccard_forest.prefix_depth(0.8, 0.9), jaccard_forest.prefix_depth(0.8, 0.9999)
     assert deep > shallow >= 1
-    d = jaccard_forest.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** jaccard_forest.TREES >= jaccard_forest.TARGET
+    base = jaccard_forest.prefix_depth()
+    recall = lambda ds: 1 - np.prod([1 - 0.8**d for d in ds])
+    assert recall([base] * jaccard_forest.TREES) >= jaccard_forest.TARGET > recall([base + 1] * jaccard_forest.TREES)
+    rng = random.Random(4)
+    for _ in range(50):
+        trees = rng.sample(range(jaccard_forest.TREES), rng.randrange(0, jaccard_forest.TREES + 1))
+        sizes = {t: {base + k: 5000 // (k + 1) ** rng.randrange(0, 4) for k in range(4)} for t in trees}
+        depths = jaccard_forest.shortened(sizes, base)
+        assert recall(depths) >= jaccard_forest.TARGET and all(depths[t] == base for t in range(jaccard_forest.TREES) if t not in trees)
+        if trees:
+            assert max(depths) > base
+            longest = [t for t in trees if depths[t] < jaccard_forest.LEVELS]  # no prefix was shortened more than the target needs
+            assert recall([d + (t == longest[-1]) for t, d in enumerate(depths)]) < recall(depths) if longest else True
+
+
+def test_depths_vary_by_node(spark):
+    rows = [(i, t) for i, t in enumerate([*near_copies(60, 7), *(prose(100 + i, 50) for i in range(40))])]
+    sig = jaccard_forest.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    step = 2 * jaccard_forest.LEVELS
+    trees = spark.createDataFrame([(r.doc_id, 0, t, r.paths[t * step : (t + 1) * step]) for r in sig for t in range(jaccard_forest.TREES)], "rep long, set_key long, tree int, path binary")
+    got = {r.rep: r.depths for r in jaccard_forest.prefix_lengths(spark, trees, 4, 0.8, 0.999, 8).collect()}
+    assert set(got) <= set(range(60)) and len(got) > 40 and len({d for ds in got.values() for d in ds}) > 1
+
+
+def pairwise_links(texts, threshold=0.8):
+    """Pairs at or over the threshold, by counting the common shingles of all pairs of texts."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        n = min(5, len(w))
+        sets.append({" ".join(w[j : j + n]) for j in range(len(w) - n + 1)} if w else set())
+    held, pairs = {}, set()
+    for i, s in enumerate(sets):
+        common = {}
+        for g in s:
+            for j in held.setdefault(g, []):
+                common[j] = common.get(j, 0) + 1
+            held[g].append(i)
+        pairs |= {(j, i) for j, c in common.items() if c >= threshold * (len(s) + len(sets[j]) - c)}
+    return sets, pairs
+
+
+def test_recall_on_six_thousand_documents(spark):
+    """Links of all similarities from the threshold up, most of them near it, against all pairs."""
+    rng, texts = random.Random(11), []
+    for g in range(1500):
+        base = prose(10_000 + g, rng.randrange(60, 160)).split()
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randrange(1, max(2, len(w) // 45) + 2)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets, pairs = pairwise_links(texts)
+    near = sum(len(sets[i] & sets[j]) < 0.85 * len(sets[i] | sets[j]) for i, j in pairs)
+    assert near > 500
+    got = {r.doc_id: r.n_links for r in jaccard_forest.join(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = dict.fromkeys(range(len(texts)), 0)
+    for i, j in pairs:
+        want[i] += 1
+        want[j] += 1
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_texts_of_one_id_keep_their_own_links(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(5, a), (5, b), (6, a + " end"), (7, a + " fin"), (8, b + " end")]
+    assert sorted(map(tuple, jaccard_forest.join(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_join(rows)
 
 
 def test_components_of_chains_stars_and_cycles(spark):
