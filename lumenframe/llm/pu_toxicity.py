@@ -9,7 +9,8 @@ anywhere in it, not on its length, so one passage in a long text is enough.
 
 Null texts count as empty.  Rows with a null id are scored too.  Repeated rows give
 repeated results.  Empty tables give empty results; without confirmed rows every
-score is the prior (0.5 if there is none).  Other columns aren't read.
+score is the prior (0.5 if there is none).  Other columns aren't read; keep() hands
+them on, whatever their names, types and nulls.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import nnpu, pu_sample
-from lumenframe.llm.common import held_out
+from lumenframe.llm.common import held_out, written
 from lumenframe.llm.pu_quality import filtered, scored
 
 #: Bounds of the sample that the model is fitted on, and of its features.
@@ -100,48 +101,51 @@ def _text_features(words: _Words, text: str) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
-def _counts(rows: list[bytes]) -> np.ndarray:
-    """Rows that hold each bucket."""
-    out = np.zeros(BUCKETS, np.int64)
-    for i in range(0, len(rows), 1000):
-        out += np.bincount(np.frombuffer(b"".join(rows[i : i + 1000]), np.int32), minlength=BUCKETS)
-    return out
-
-
-def _select(p: list[bytes], u: list[bytes]) -> np.ndarray:
-    """Features whose share among positives exceeds that of the corpus by more than chance explains."""
-    n_p, n_u = len(p), len(u)
-    if not n_p or not n_u:
-        return np.zeros(0, np.int64)
-    in_p, in_u = _counts(p), _counts(u)
-    seen = np.flatnonzero(in_p >= 4)
-    in_p = in_p[seen]
-    expected = n_p * (in_u[seen] + 0.5) / (n_u + 1)
-    share = np.minimum(expected / n_p, 1 - 1e-9)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (in_p * np.log(in_p / expected) + np.where(in_p < n_p, (n_p - in_p) * np.log((n_p - in_p) / (n_p * (1 - share))), 0))
-    good = (in_p > 2 * expected) & (gain > LEAST_GAIN)
-    best = np.lexsort((seen[good], -gain[good]))[:MAX_FEATURES]
-    return np.sort(seen[good][best])
-
-
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicityModel:
+    """The rows' features are written once; their counts are added up by Spark, and the driver gets the chosen features and the rows narrowed to these."""
+    spark = docs.sparkSession
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words(word_features)
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "positive": b.positive, "unlabelled": b.unlabelled, "features": [_text_features(words, t or "").tobytes() for t in b.text]})
 
     rows = pu_sample.sample(docs, labels, column, max_positive, max_unlabelled)
-    got = sorted(rows.mapInPandas(describe, "doc_id long, positive int, unlabelled int, features binary").collect(), key=lambda r: r["doc_id"])
-    p, u = ([bytes(r["features"]) for r in got if r[c]] for c in ("positive", "unlabelled"))
-    chosen = _select(p, u)
+    rows = written(spark, rows.mapInPandas(describe, "doc_id long, positive int, unlabelled int, features binary"), "features")
+    chosen = _select(rows)
 
-    def narrowed(rows: list[bytes]) -> nnpu.SparseRows:
-        own = [np.frombuffer(r, np.int32) for r in rows]
-        at = [np.searchsorted(chosen, r) for r in own]
-        return nnpu.SparseRows.of([a[(a < len(chosen)) & (chosen[np.minimum(a, len(chosen) - 1)] == r)] if len(chosen) else a[:0] for a, r in zip(at, own, strict=True)])
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            numbers = []
+            for r in b.features:
+                own = np.frombuffer(r, np.int32)
+                at = np.minimum(np.searchsorted(chosen, own), max(0, len(chosen) - 1))
+                numbers.append(at[chosen[at] == own].astype("<u2").tobytes() if len(chosen) else b"")
+            yield pd.DataFrame({"doc_id": b.doc_id, "positive": b.positive, "unlabelled": b.unlabelled, "numbers": numbers})
 
-    return ToxicityModel(chosen, nnpu.fit(narrowed(p), narrowed(u), len(chosen), pu_sample.class_prior(labels, column), l2=1e-3))
+    got = sorted(rows.mapInPandas(narrow, "doc_id long, positive int, unlabelled int, numbers binary").collect(), key=lambda r: r["doc_id"])
+    p, u = (nnpu.SparseRows.of([np.frombuffer(r["numbers"], "<u2") for r in got if r[c]]) for c in ("positive", "unlabelled"))
+    return ToxicityModel(chosen, nnpu.fit(p, u, len(chosen), pu_sample.class_prior(labels, column), l2=1e-3))
+
+
+def _select(rows: DataFrame) -> np.ndarray:
+    """Features whose share among positives exceeds that of the corpus by more than chance explains, MAX_FEATURES at most."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            of = lambda flags: np.unique(np.frombuffer(b"".join(b.features[flags == 1]), np.int32), return_counts=True)  # noqa: B023, E731
+            (p, in_p), (u, in_u) = of(b.positive), of(b.unlabelled)
+            yield pd.DataFrame({"bucket": np.concatenate([p, u]), "in_p": np.concatenate([in_p, 0 * in_u]), "in_u": np.concatenate([0 * in_p, in_u])})
+
+    n_p, n_u = (x or 0 for x in rows.agg(F.sum("positive"), F.sum("unlabelled")).first())
+    if not n_p or not n_u:
+        return np.zeros(0, np.int64)
+    seen = rows.mapInPandas(count, "bucket int, in_p long, in_u long").groupBy("bucket").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")).where("in_p >= 4")
+    in_p, expected = F.col("in_p"), n_p * (F.col("in_u") + 0.5) / (n_u + 1)
+    share = F.least(expected / n_p, F.lit(1 - 1e-9))
+    rest = F.when(in_p < n_p, (n_p - in_p) * F.log((n_p - in_p) / (n_p * (1 - share)))).otherwise(0.0)
+    good = seen.withColumn("gain", 2 * (in_p * F.log(in_p / expected) + rest)).where((in_p > 2 * expected) & (F.col("gain") > LEAST_GAIN))
+    return np.sort(np.array([r["bucket"] for r in good.orderBy(F.desc("gain"), "bucket").limit(MAX_FEATURES).collect()], np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
