@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 K, S = 12, 6  # _anchors() has the window of K - S + 1 = 7 inner s-mers and the s-mer of 6 built in
 SKETCH = 64
+#: Text of one range of ids, on average, as long as there are no more than MAX_RANGES (the driver holds an id of each; beyond that ranges grow, and their sorts spill).
+RANGE_BYTES, MAX_RANGES = 4 << 20, 1 << 15
 #: Characters hashed at once; longer texts go in overlapping blocks.
 BLOCK = 1 << 20
 _POWER = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(S + 1)]
@@ -132,13 +134,14 @@ def with_neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and likenesses of every row.
 
     The next document is the next in ascending doc_id (null ids first, rows of one id
-    by text), and the first follows the last.  Rows are dealt once into ranges of ids,
-    whose ends are quantiles; each range also gets the first row of the next range, so
+    by text), and the first follows the last.  Rows are dealt once into ranges of ids
+    of about RANGE_BYTES of text, whose ends are quantiles; each range also gets the first row of the next range, so
     no task sees more than its range.  What the driver holds is one id per range.
     Repeated rows are neighbours of each other; a sole row is its own neighbour.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-size // RANGE_BYTES)))
     ends = np.unique(np.array(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [], np.float64))
 
     @F.pandas_udf(T.IntegerType())
