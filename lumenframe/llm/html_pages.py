@@ -9,6 +9,22 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Tokens that sites put into class, id and role attributes, by what they mark.
+TOKENS = {
+    "nav": "nav navbar navigation menu topbar toolbar masthead breadcrumb breadcrumbs banner main-menu site-nav mega-menu".split(),
+    "ad": "ad ads adv advert advertisement adbox adslot dfp sponsor sponsored sponsors promo promoted promotion banner ad-box ad-slot google-ads".split(),
+    "side": "sidebar side widget widgets related recommended recommend recommendations trending teaser aside popular most-read rail secondary".split(),
+    "notice": "cookie cookies notice consent alert gdpr popup modal newsletter subscribe subscription paywall cookie-banner toast privacy".split(),
+    "form": "form search login signup register contact-form searchform signin".split(),
+    "comments": "comments commentlist comment-list reader-comments discussion responses replies respond reader-responses disqus thread".split(),
+    "comment": "comment reply comment-body response post-reply".split(),
+    "header": "header masthead banner site-header top brand logo".split(),
+    "share": "share sharing social tags breadcrumb pagination pager paging share-buttons follow byline-links skip".split(),
+    "footer": "footer foot copyright credits site-footer bottom legal colophon contentinfo".split(),
+    "main": "content article post entry main story prose body copy text lead column articlebody article-body entry-content post-content page".split(),
+    "outer": "container wrapper page content layout site inner row has-sidebar no-ads with-nav comments-open".split(),
+}
+
 _PARTS = "an ber co di en fa gor hi il ka lo me nu or pi qu ra si ta un ver wi xe ya zo tion ing ment".split()
 
 
@@ -43,8 +59,12 @@ class _Maker:
         t = self.pick(t, t, f"{t}-{self.word()}", f"site-{t}", f"{self.word()} {t}")
         return self.pick(f' class="{t}"', f' id="{t}"', f" class='{t}'", f' class="{t}" data-x="1"')
 
+    def odd(self) -> str:
+        """Attributes that say nothing."""
+        return self.pick("", "", f" data-{self.word()}='{self.pick('comment', 'ad', 'nav', 'x')}-{int(self.rng.integers(99))}'", f' style="margin: {int(self.rng.integers(9))}px"', f" title={self.word()}", f' lang="{self.pick("en", "fr")}"')
+
     def links(self, low: int, high: int) -> str:
-        items = [f'<li><a href="/{self.word()}">{self.phrase(1, 3)}</a>{self.pick("</li>", "</li>", "")}' for _ in range(int(self.rng.integers(low, high + 1)))]
+        items = [f'<li><a href="/{self.word()}">{self.phrase(1, 3)}{self.pick("", "", "", ".", ",", "!", ": ", "?")}</a>{self.pick("</li>", "</li>", "")}' for _ in range(int(self.rng.integers(low, high + 1)))]
         if self.chance(0.25):
             return " | ".join(x.replace("<li>", "").replace("</li>", "") for x in items)
         return "<ul>" + "".join(items) + "</ul>"
@@ -53,40 +73,40 @@ class _Maker:
         div = self.pick("div", "div", "section")
         if kind == "nav":
             tag = self.pick("nav", "nav", "div", "header")
-            return f"<{tag}{self.attrs('menu', 'nav', 'navbar', 'navigation', 'topbar')}>{self.links(3, 9)}</{tag}>"
+            return f"<{tag}{self.attrs(*TOKENS['nav'])}>{self.links(3, 9)}</{tag}>"
         if kind == "ad":
             tag = self.pick("div", "div", "div", "aside", "section")
-            token = f' class="{self.pick("ad", "ads", "advert", "promo", "sponsored", "banner", "ad-box")}"'
+            token = f' class="{self.pick(*TOKENS["ad"])}"'
             body = self.pick(self.sentences(1, 3), f"<p>{self.sentences(1, 2)}</p>", f'<a href="#">{self.phrase(2, 8)}</a>')
-            return self.pick("<!-- ad -->", "") + f"<{tag}{token}>{body}</{tag}>"
+            return f"<{tag}{token}>{body}</{tag}>"
         if kind == "side":
             tag = self.pick("aside", "aside", "div")
-            token = self.attrs("sidebar", "side", "widget", "related") if tag == "aside" else f' class="{self.pick("sidebar", "widget", "related", "side-bar")}"'
+            token = self.attrs(*TOKENS["side"]) if tag == "aside" else f' class="{self.pick(*TOKENS["side"])}"'
             return f"<{tag}{token}><h3>{self.phrase(1, 3)}</h3>{self.pick(self.links(2, 7), f'<p>{self.sentences(1, 3)}</p>')}</{tag}>"
         if kind == "notice":
-            token = self.pick("cookie", "notice", "consent", "alert", "cookie-banner", "gdpr notice", "popup", "newsletter", "subscribe")
+            token = self.pick(*TOKENS["notice"])
             return f'<{div} {self.pick("class", "id")}="{token}"><p>{self.sentences(1, 3)}</p><button>{self.word()}</button></{div}>'
         if kind == "form":
             return f'<form{self.attrs("search", "login", "signup")}><label>{self.phrase(1, 3)}</label> <input name=q>{self.pick("", f"<p>{self.sentences(1, 1)}</p>")}<button>{self.word()}</button></form>'
         if kind == "comments":
             tag = self.pick("div", "section", "ol")
-            token = self.pick("comments", "comment-list", "reader-comments", "discussion", "responses", "replies")
+            token = self.pick(*TOKENS["comments"])
             inner = "li" if tag == "ol" else self.pick("div", "article", "div")
-            each = "".join(f'<{inner} class="{self.pick("comment", "reply", "comment-body")}">{self.pick("", f"<h4>{self.phrase(1, 2)}</h4>", f"<b>{self.word()}</b>: ")}<p>{self.sentences(1, 5)}</p></{inner}>' for _ in range(int(self.rng.integers(1, 6))))
+            each = "".join(f'<{inner} class="{self.pick(*TOKENS["comment"])}">{self.pick("", f"<h4>{self.phrase(1, 2)}</h4>", f"<b>{self.word()}</b>: ")}<p>{self.sentences(1, 5)}</p></{inner}>' for _ in range(int(self.rng.integers(1, 6))))
             return f'<{tag} {self.pick("class", "id")}="{token}">{self.pick("", f"<h2>{self.phrase(1, 2)}</h2>")}{each}</{tag}>'
         if kind == "header":
-            return f"<header{self.attrs('header', 'masthead', 'banner')}>{self.pick(f'<h2>{self.phrase(1, 3)}</h2>', f'<p>{self.phrase(2, 6)}</p>', self.phrase(1, 4))}</header>"
+            return f"<header{self.attrs(*TOKENS['header'])}>{self.pick(f'<h2>{self.phrase(1, 3)}</h2>', f'<p>{self.phrase(2, 6)}</p>', self.phrase(1, 4))}</header>"
         if kind == "share":
-            return f'<div class="{self.pick("share", "social", "tags", "breadcrumb", "pagination")}">{self.links(2, 5)}</div>'
+            return f'<div class="{self.pick(*TOKENS["share"])}">{self.links(2, 5)}</div>'
         tag = self.pick("footer", "footer", "div")
-        token = self.attrs("footer", "copyright") if tag == "footer" else ' id="footer"'
-        return f"<{tag}{token}>{self.pick(f'&copy; {self.word()}.example.net &middot; {self.sentences(1, 2)}', f'<p>{self.sentences(1, 2)}</p>', self.links(2, 6), f'<p>{self.phrase(3, 8)}</p>{self.links(2, 4)}')}</{tag}>"
+        token = self.attrs(*TOKENS["footer"]) if tag == "footer" else f' id="{self.pick(*TOKENS["footer"])}"'
+        return f"<{tag}{token}>{self.pick(f'{self.pick("Copyright", "(c)", "&copy;")} {self.phrase(1, 4)} {1990 + int(self.rng.integers(40))}{self.pick("", " | ", ". ")}{self.sentences(0, 2)}', f'<p>{self.sentences(1, 2)}</p>', self.links(2, 6), f'<p>{self.phrase(3, 8)}</p>{self.links(2, 4)}')}</{tag}>"
 
     def block(self) -> str:
         r = self.rng.random()
         if r < 0.62:
             text = self.keep(self.sentences(1, int(self.pick(1, 3, 8, 20))))
-            return self.pick(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>")
+            return self.pick(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p{self.odd()}><{(i := self.pick('em', 'strong', 'span', 'font'))}>{text}{self.pick('</' + i + '>', '')}{self.pick('</p>', '')}")
         if r < 0.72:
             return f"<{(h := self.pick('h2', 'h2', 'h3', 'h4'))}>{self.keep(self.phrase(1, 7))}</{h}>"
         if r < 0.82:
@@ -109,16 +129,17 @@ class _Maker:
             if self.chance(0.15):
                 body.insert(int(self.rng.integers(0, len(body) + 1)), self.boiler(kind))
         wrap = self.pick("article", "article", "main", "div", "div", "section", "td")
-        token = "" if wrap in ("article", "main") and self.chance(0.6) else self.attrs("content", "article", "post", "entry", "main", "story")
+        token = "" if wrap in ("article", "main") and self.chance(0.6) else self.attrs(*TOKENS["main"])
         main = "".join(body)
-        main = f"<table><tr><td>{self.links(2, 5)}</td><td{token}>{main}</td></tr></table>" if wrap == "td" else f"<{wrap}{token}>{main}</{wrap}>"
+        main = f"<table><tr><td>{self.links(2, 5)}</td><td{token}>{main}</td></tr></table>" if wrap == "td" else f"<{wrap}{token}{self.odd()}>{main}</{wrap}>"
         if self.chance(0.25):
-            main = f"<{(o := self.pick('div', 'main'))}{self.attrs('container', 'wrapper', 'page', 'content')}>{main}{self.boiler('comments') if self.chance(0.4) else ''}</{o}>"
+            main = f"<{(o := self.pick('div', 'main'))}{self.attrs(*TOKENS['outer'])}>{main}{self.boiler('comments') if self.chance(0.4) else ''}</{o}>"
         above = [self.boiler(k) for k, p in (("notice", 0.3), ("header", 0.35), ("nav", 0.85), ("form", 0.2), ("ad", 0.5)) if self.chance(p)]
         below = [self.boiler(k) for k, p in (("side", 0.35), ("comments", 0.35), ("share", 0.25), ("ad", 0.2), ("form", 0.15), ("footer", 0.85)) if self.chance(p)]
         if self.chance(0.15):
             above.append(self.boiler("side"))
-        head = f"<head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+        extra = [self.pick(f'<meta name="{self.word()}" content="{self.phrase(1, 6)}">', f"<style>.{self.word()} a {{ color: #{int(self.rng.integers(999)):03d} }}</style>", f"<script>{self.word()}({{x: '<div>'}})</script>", '<link rel="stylesheet" href="s.css">') for _ in range(int(self.rng.integers(0, 5)))]
+        head = f"<head><title>{title}</title>{''.join(extra)}</head>"
         return f"<!DOCTYPE html><html>{head}<body{self.attrs('page', 'home') if self.chance(0.2) else ''}>{''.join(above)}{main}{''.join(below)}" + self.pick("</body></html>", "</body></html>", "")
 
 
