@@ -309,7 +309,7 @@ class Forest:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 4.0) -> Forest:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 4.0) -> Forest:
     """Logistic loss, second order, cuts at quantiles."""
     n, f = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(f)]

@@ -65,8 +65,8 @@ class _Maker:
 
     def links(self, low: int, high: int) -> str:
         items = [f'<li><a href="/{self.word()}">{self.phrase(1, 3)}{self.pick("", "", "", ".", ",", "!", ": ", "?")}</a>{self.pick("</li>", "</li>", "")}' for _ in range(int(self.rng.integers(low, high + 1)))]
-        if self.chance(0.25):
-            return " | ".join(x.replace("<li>", "").replace("</li>", "") for x in items)
+        if self.chance(0.35):
+            return self.pick(" | ", " | ", "<br>", " &middot; ", " ").join(x.replace("<li>", "").replace("</li>", "") for x in items)
         return "<ul>" + "".join(items) + "</ul>"
 
     def boiler(self, kind: str) -> str:
@@ -131,7 +131,8 @@ class _Maker:
         wrap = self.pick("article", "article", "main", "div", "div", "section", "td")
         token = "" if wrap in ("article", "main") and self.chance(0.6) else self.attrs(*TOKENS["main"])
         main = "".join(body)
-        main = f"<table><tr><td>{self.links(2, 5)}</td><td{token}>{main}</td></tr></table>" if wrap == "td" else f"<{wrap}{token}{self.odd()}>{main}</{wrap}>"
+        top = f"<tr><td colspan=2>{self.pick('', f'<font size=5>{self.phrase(1, 3)}</font>')}{self.links(2, 5)}</td></tr>" if self.chance(0.5) else ""
+        main = f"<table>{top}<tr><td>{self.links(2, 5)}</td><td{token}>{main}</td></tr></table>" if wrap == "td" else f"<{wrap}{token}{self.odd()}>{main}</{wrap}>"
         if self.chance(0.25):
             main = f"<{(o := self.pick('div', 'main'))}{self.attrs(*TOKENS['outer'])}>{main}{self.boiler('comments') if self.chance(0.4) else ''}</{o}>"
         above = [self.boiler(k) for k, p in (("notice", 0.3), ("header", 0.35), ("nav", 0.85), ("form", 0.2), ("ad", 0.5)) if self.chance(p)]
