@@ -1,20 +1,27 @@
 """License scans: a trained paragraph classifier over word n-grams, confirmed by templates.
 
-Training (on the driver, from the fixed notices in license_texts): multinomial logistic
-regression over the presence of n-grams of one to three words, with one more class for
-text that only sounds like a licence; small weights are set to zero, and a temperature
-for all classes is chosen on examples that the weights weren't fitted on.  Weights are
-whole thousandths.
-
-Scanning uses Spark's own functions only.  A paragraph (a line) that has an anchor
-(ANCHORS) is cut into words and n-grams, these meet the vocabulary by a broadcast join
-(the vocabulary is fixed, some thousand rows, whatever the table), and the sums give
-the probability of each family.  The best family is reported where it beats `unknown`;
-it is confirmed if at least CONFIRM of the n-grams of one of the family's notices are
-there.  Paragraphs with an anchor and no family are reported as unknown.
-
-A null text has no paragraphs.  Rows with null or repeated ids are scanned each by
-itself.  Columns other than doc_id and text aren't read.
+Training (on the driver, from the fixed names and notices in license_texts): multinomial
+logistic regression over the presence of n-grams of one to three words, with one more
+class for text that only sounds like a licence, or is about something else; small
+weights are set to zero, and a temperature for all classes is chosen on examples that
+the weights weren't fitted on.  Weights are whole thousandths.
+
+Scanning uses Spark's own functions only.  A line that doesn't end a sentence and is
+WRAPPED characters long or more is wrapped: the next one, if not blank, goes on with its
+paragraph.  A paragraph is cut into words and n-grams, these meet the vocabulary by a
+broadcast join (the vocabulary is fixed, some thousand rows, whatever the table), and the
+sums give the probability of each family.  Paragraphs that belong to some licence with a
+probability of REPORT or more are reported with their likeliest family, which may be
+`unknown`; a family is confirmed if at least CONFIRM of the longest n-grams of one of its
+names or notices are there.
+
+Which texts are cut at all follows from the weights: evidence() holds one word of every
+n-gram that speaks for some family, and without such an n-gram a paragraph stays below
+REPORT (train() makes sure).  So nothing is lost by it, and the SQL does without.
+
+A null or empty text has no paragraphs, and an empty table gives no rows.  Rows with null
+or repeated ids are scanned each by itself.  Columns other than doc_id and text, of any
+name, aren't read.
 """
 
 from __future__ import annotations
@@ -27,13 +34,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.license_texts import NOTICES, UNKNOWN
+from lumenframe.llm.license_texts import CARRIERS, NAMES, NO_LICENSE, NOTICES, UNKNOWN
 
-#: A paragraph without any of these isn't about licences.
-ANCHORS = "licen[sc]e|copyright|warrant|redistribut|permission|public domain|spdx|creative commons|cc0"
-CONFIRM = 0.6
+CONFIRM, REPORT = 0.6, 0.1
+WRAPPED = 40
+#: Thousandths.
+LEAST_WEIGHT = 50
 FAMILIES = (*sorted(NOTICES), "unknown")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A line that ends a sentence, and one with anything in it; for Java and RE2.
+ENDS, FILLED = r"[.!?:;][\"')\]>]*[ \t\r]*\z", r"[^ \t\r]"
+#: Words too common (in English and its neighbours) to say anything alone; no n-gram is made of these only.
+COMMON = frozenset("a an and any are as at be been but by can for from had has have he her his if in into is it its la le los may me more mit no nor not of on one or our out s see shall she so that the their them there these they this to under up use used using was we were which who will with without you your".split())
 
 
 def ngrams(text: str) -> list[str]:
@@ -41,37 +53,50 @@ def ngrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)))
 
 
+def _telling(gram: str) -> list[str]:
+    """Its words that aren't common, nor numbers."""
+    return [w for w in gram.split(" ") if w not in COMMON and not w.isdigit()]
+
+
 @dataclass(frozen=True)
 class Scanner:
     weights: dict[str, tuple[int, ...]]  # thousandths, by family
     bias: tuple[int, ...]
     temperature: float
-    templates: tuple[tuple[str, frozenset[str]], ...]  # family, n-grams of three words
+    templates: tuple[tuple[str, frozenset[str]], ...]  # family, longest n-grams
 
-    def vocabulary(self) -> dict[str, tuple[tuple[int, ...], tuple[int, ...]]]:
-        """n-gram -> weights, and 1 for each template that holds it."""
+    def vocabulary(self) -> dict[str, tuple[tuple[int, ...], list[int]]]:
+        """n-gram -> weights, and the numbers of the templates that hold it."""
         zero = (0,) * len(FAMILIES)
         held = {g for _, grams in self.templates for g in grams}
-        return {g: (self.weights.get(g, zero), tuple(int(g in grams) for _, grams in self.templates)) for g in sorted(held | self.weights.keys())}
+        return {g: (self.weights.get(g, zero), [k for k, (_, grams) in enumerate(self.templates) if g in grams]) for g in sorted(held | self.weights.keys())}
+
+    def evidence(self) -> list[str]:
+        """A word of each n-gram that makes some family likelier against `unknown`."""
+        return sorted({max(_telling(g), key=lambda w: (len(w), w)) for g, w in self.weights.items() if max(w[:-1]) > w[-1]})
+
+    def probabilities(self, text: str) -> np.ndarray:
+        """Of the families, for one paragraph."""
+        z = np.array(self.bias) + sum((np.array(self.weights[g]) for g in ngrams(text) if g in self.weights), np.zeros(len(FAMILIES)))
+        return _softmax(z[None, :] / 1000 / self.temperature)[0]
 
 
 def _examples(rng: np.random.Generator, times: int) -> tuple[list[str], np.ndarray]:
-    """Notices and parts of them, alone and amid other words; sentences of the unknown class likewise."""
-    loose = sorted({w for s in UNKNOWN for w in s.split()} | set("the of and to in that was for with on as by".split()))
+    """Names in sentences, notices and parts of them, alone and amid other words; what is no licence likewise."""
+    loose = sorted({w for s in UNKNOWN for w in s.split()} | COMMON)
+    noise = lambda most: [loose[int(j)] for j in rng.integers(0, len(loose), int(rng.integers(0, most)))]
     texts, classes = [], []
     for k, family in enumerate(FAMILIES):
-        sources = NOTICES.get(family, UNKNOWN)
-        for source in sources:
-            words = source.split()
-            for i in range(times if family != "unknown" else 2 * times):
-                part = words
-                if i and len(words) > 6:
-                    a = int(rng.integers(0, max(1, len(words) // 4)))
-                    part = words[a : len(words) - int(rng.integers(0, max(1, len(words) // 4)))]
-                noise = lambda: [loose[int(j)] for j in rng.integers(0, len(loose), int(rng.integers(0, 30)))]
-                texts.append(" ".join((noise() if i % 3 == 2 else []) + part + (noise() if i % 3 else [])))
-                classes.append(k)
-    return texts, np.array(classes)
+        named = [c.format(n) for n in NAMES.get(family, NO_LICENSE) for c in CARRIERS]
+        whole = list(NOTICES.get(family, UNKNOWN))
+        for i, source in enumerate([*named, *whole * times]):
+            part = source.split()
+            if i >= len(named) + len(whole) and len(part) > 6 and family != "unknown":
+                part = part[int(rng.integers(0, len(part) // 4 + 1)) : len(part) - int(rng.integers(0, len(part) // 4 + 1))]
+            texts.append(" ".join((noise(30) if i % 3 == 2 else []) + part + (noise(30) if i % 3 else [])))
+            classes.append(k)
+    plain = [" ".join(noise(60)) for _ in range(40 * times)] + [""] * (80 * times)  # most texts hold none of the n-grams at all
+    return texts + plain, np.array(classes + [len(FAMILIES) - 1] * len(plain))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -80,93 +105,126 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def train(seed: int = 5, steps: int = 300, l1: float = 2e-4) -> Scanner:
+def train(seed: int = 5, steps: int = 600, l1: float = 1e-4) -> Scanner:
     rng = np.random.default_rng(seed)
     texts, y = _examples(rng, 12)
-    notices = [(f, s) for f in sorted(NOTICES) for s in NOTICES[f]]
-    words = sorted({g for s in [*(s for _, s in notices), *UNKNOWN] for g in ngrams(s)})
-    number = {g: i for i, g in enumerate(words)}
-    x = np.zeros((len(texts), len(words)), np.float32)
+    known = [(f, s) for f in sorted(NOTICES) for s in (*NAMES[f], *NOTICES[f])]
+    grams = sorted({g for s in [*(s for _, s in known), *UNKNOWN, *NO_LICENSE, *(c.format("") for c in CARRIERS)] for g in ngrams(s) if _telling(g)})
+    number = {g: i for i, g in enumerate(grams)}
+    x = np.zeros((len(texts), len(grams)), np.float32)
     for r, t in enumerate(texts):
         x[r, [number[g] for g in ngrams(t) if g in number]] = 1
-    fitted = rng.random(len(texts)) < 0.75
-    target = np.eye(len(FAMILIES))[y]
-    w, b = np.zeros((len(words), len(FAMILIES))), np.zeros(len(FAMILIES))
+    fitted = rng.random(len(texts)) < 0.8
+    xf, target = x[fitted], np.eye(len(FAMILIES), dtype=np.float32)[y[fitted]]
+    w, b = np.zeros((len(grams), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES))
     m = np.zeros_like(w)
     for _ in range(steps):
-        d = (_softmax(x[fitted] @ w + b) - target[fitted]) / fitted.sum()
-        m = 0.9 * m + x[fitted].T @ d
+        d = ((_softmax(xf @ w + b) - target) / len(xf)).astype(np.float32)
+        m = 0.9 * m + xf.T @ d
         w -= 0.3 * m
         w = np.sign(w) * np.maximum(np.abs(w) - 0.3 * l1, 0)
         b -= 0.3 * d.sum(axis=0)
     whole, bias = np.round(w * 1000).astype(int), np.round(b * 1000).astype(int)
+    spoken = {g for s in [*(s for _, s in known), *(c.format("") for c in CARRIERS)] for g in ngrams(s)}
+    for g, i in number.items():  # next to nothing, or by chance: no n-gram speaks for a family that its texts don't hold
+        if g not in spoken or whole[i, :-1].max() - whole[i, -1] < LEAST_WEIGHT:
+            whole[i, :-1] = np.minimum(whole[i, :-1], whole[i, -1])
     z = (x[~fitted] @ whole + bias) / 1000
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), y[~fitted]], 1e-12)).mean()
     temperature = float(min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss))
     weights = {g: tuple(int(v) for v in whole[i]) for g, i in number.items() if whole[i].any()}
-    templates = tuple((f, frozenset(g for g in ngrams(s) if g.count(" ") == 2 or len(s.split()) < 3)) for f, s in notices)
-    return Scanner(weights, tuple(int(v) for v in bias), temperature, templates)
+    templates = []
+    for family, text in known:
+        own = ngrams(text)
+        longest = max(g.count(" ") for g in own)
+        templates.append((family, frozenset(g for g in own if g.count(" ") == longest)))
+    scanner = Scanner(weights, tuple(int(v) for v in bias), temperature, tuple(templates))
+    if 1 - scanner.probabilities("")[-1] >= REPORT:
+        raise ValueError("a paragraph without evidence must stay below REPORT")
+    return scanner
 
 
-def _ngram_columns(line: Column) -> Column:
-    words = F.filter(F.split(F.regexp_replace(F.translate(line, UPPER, LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def _ngram_columns(text: Column) -> Column:
+    words = _words(text)
     of = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.array_distinct(F.concat(words, *(F.when(F.size(words) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in (2, 3))))
 
 
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph (number of its first line, from 0), text of all paragraphs, without a shuffle: wrapped lines are joined in their array."""
+    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    before = lambda i: F.get("lines", i - 1)
+    goes_on = F.transform("lines", lambda line, i: (i > 0) & line.rlike(FILLED) & (F.length(before(i)) >= WRAPPED) & before(i).rlike(FILLED) & ~before(i).rlike(ENDS))
+    lines = lines.withColumn("goes_on", F.transform(goes_on, lambda g: F.coalesce(g, F.lit(False))))
+    joined = F.array_join(F.transform("lines", lambda line, i: F.concat(F.when(i == 0, "").when(F.get("goes_on", i), " ").otherwise("\n"), line)), "")
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get("goes_on", i))
+    both = lines.select("doc_id", F.arrays_zip(starts.alias("paragraph"), F.split(joined, "\n", -1).alias("text")).alias("both"))
+    return both.select("doc_id", F.explode("both").alias("b")).select("doc_id", "b.paragraph", "b.text")
+
+
 def vocabulary_table(spark: SparkSession, scanner: Scanner) -> DataFrame:
-    rows = [(g, list(w), list(t)) for g, (w, t) in scanner.vocabulary().items()]
-    return spark.createDataFrame(rows, "ngram string, weights array<int>, held array<int>")
+    return spark.createDataFrame([(g, list(w), t) for g, (w, t) in scanner.vocabulary().items()], "ngram string, weights array<int>, held array<int>")
 
 
 def scan(spark: SparkSession, docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, overlap, confirmed of every paragraph with an anchor."""
+    """doc_id, paragraph (its first line, from 0), family, probability, overlap, confirmed of every paragraph that may be a licence's."""
     scanner = scanner or train()
-    n_f, n_t = len(FAMILIES), len(scanner.templates)
-    anchored = lambda c: F.translate(c, UPPER, LOWER).rlike(ANCHORS)
-    lines = docs.select("doc_id", "text").where(anchored(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).where(anchored(F.col("line")))
-    lines = lines.select("doc_id", "paragraph", F.monotonically_increasing_id().alias("row"), _ngram_columns(F.col("line")).alias("ngrams"))
-    grams = lines.select("doc_id", "paragraph", "row", F.explode("ngrams").alias("ngram")).join(F.broadcast(vocabulary_table(spark, scanner)), "ngram", "left")
-    at = lambda c, i: F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0))
-    sums = grams.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), *(at("weights", i).alias(f"w{i}") for i in range(n_f)), *(at("held", i).alias(f"t{i}") for i in range(n_t)))
+    n_f = len(FAMILIES)
+    evidence = F.array(*map(F.lit, scanner.evidence()))
+    some = docs.select("doc_id", "text").where(F.arrays_overlap(_words(F.col("text")), evidence))
+    parts = paragraphs(some).where(F.arrays_overlap(_words(F.col("text")), evidence))
+    parts = parts.select("doc_id", "paragraph", F.monotonically_increasing_id().alias("row"), _ngram_columns(F.col("text")).alias("ngrams"))
+    grams = parts.select("doc_id", "paragraph", "row", F.explode("ngrams").alias("ngram")).join(F.broadcast(vocabulary_table(spark, scanner)), "ngram")
+    sums = grams.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), *(F.sum(F.get("weights", F.lit(i))).alias(f"w{i}") for i in range(n_f)), F.flatten(F.collect_list("held")).alias("held"))
     z = [(F.col(f"w{i}") + scanner.bias[i]).cast("double") / 1000 / scanner.temperature for i in range(n_f)]
     top = F.greatest(*z)
     best = F.lit(FAMILIES[-1])
     for i in reversed(range(n_f)):
         best = F.when(z[i] == top, F.lit(FAMILIES[i])).otherwise(best)
     whole = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
-    overlap = F.lit(0.0)
-    for family in reversed(FAMILIES[:-1]):
-        shares = [F.col(f"t{i}").cast("double") / len(grams) for i, (f, grams) in enumerate(scanner.templates) if f == family]
-        overlap = F.when(F.col("family") == family, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(overlap)
-    out = sums.withColumn("family", best).select("doc_id", "paragraph", "family", F.round(1 / whole, 6).alias("probability"), F.round(overlap, 6).alias("overlap"))
+    found = sums.select("doc_id", "paragraph", "held", best.alias("family"), (1 / whole).alias("probability"), (F.exp(z[-1] - top) / whole).alias("other")).where(1 - F.col("other") >= REPORT)
+    templates = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f).alias("of"), F.lit(float(len(grams))).alias("size")) for k, (f, grams) in enumerate(scanner.templates)))
+    shares = F.transform(F.filter(templates, lambda t: t["of"] == F.col("family")), lambda t: F.size(F.filter("held", lambda h: h == t["k"])) / t["size"])
+    out = found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round(F.coalesce(F.array_max(shares), F.lit(0.0)), 6).alias("overlap"))
     return out.withColumn("confirmed", F.col("overlap") >= CONFIRM)
 
 
 def sql(scanner: Scanner | None = None) -> str:
-    """The same for DuckDB, from the same weights and templates."""
+    """The same for DuckDB, from the same weights and templates, over all paragraphs."""
     scanner = scanner or train()
-    n_f, n_t = len(FAMILIES), len(scanner.templates)
-    rows = ", ".join(f"('{g}', {list(w)}, {list(t)})" for g, (w, t) in scanner.vocabulary().items())
-    fold = f"translate({{}}, '{UPPER}', '{LOWER}')"
-    z = [f"(coalesce(w{i}, 0) + ({scanner.bias[i]}))::DOUBLE / 1000 / {scanner.temperature}::DOUBLE" for i in range(n_f)]
-    zs = ", ".join(f"{v} AS z{i}" for i, v in enumerate(z))
-    top = "greatest(" + ", ".join(f"z{i}" for i in range(n_f)) + ")"
+    n_f = len(FAMILIES)
+    rows = ", ".join(f"('{g}', {list(w)}, {t}::INTEGER[])" for g, (w, t) in scanner.vocabulary().items())
+    templates = ", ".join(f"({k}, '{f}', {len(g)})" for k, (f, g) in enumerate(scanner.templates))
+    z = ", ".join(f"(w{i} + ({scanner.bias[i]}))::DOUBLE / 1000 / {scanner.temperature}::DOUBLE AS z{i}" for i in range(n_f))
     best = "CASE " + " ".join(f"WHEN z{i} = top THEN '{FAMILIES[i]}'" for i in range(n_f)) + " END"
     whole = " + ".join(f"exp(z{i} - top)" for i in range(n_f))
-    share = " ".join(f"WHEN family = '{f}' THEN greatest({', '.join(f'coalesce(t{i}, 0)::DOUBLE / {len(g)}' for i, (f2, g) in enumerate(scanner.templates) if f2 == f)}, 0)" for f in FAMILIES[:-1])
+    ends, filled = ENDS.replace("'", "''"), FILLED
     return f"""
 WITH vocabulary(ngram, weights, held) AS (VALUES {rows}),
+templates(k, family, size) AS (VALUES {templates}),
 lines AS (
-  SELECT row_number() OVER () AS row, doc_id, paragraph, list_filter(string_split(regexp_replace({fold.format("line")}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS words
-  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS paragraph FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
-  WHERE regexp_matches({fold.format("line")}, '{ANCHORS}')
+  SELECT rid, doc_id, line, pos, lag(line) OVER (PARTITION BY rid ORDER BY pos) AS prior
+  FROM (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), numbered AS (
+  SELECT *, sum(CASE WHEN prior IS NOT NULL AND regexp_matches(line, '{filled}') AND length(prior) >= {WRAPPED} AND regexp_matches(prior, '{filled}') AND NOT regexp_matches(prior, '{ends}') THEN 0 ELSE 1 END)
+    OVER (PARTITION BY rid ORDER BY pos) AS part FROM lines
+), parts AS (
+  SELECT row_number() OVER () AS row, any_value(doc_id) AS doc_id, min(pos) AS paragraph, string_agg(line, ' ' ORDER BY pos) AS text FROM numbered GROUP BY rid, part
+), cut AS (
+  SELECT row, list_filter(string_split(regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM parts
 ), grams AS (
-  SELECT DISTINCT row, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i+1], ' ')), list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' ')))) AS ngram FROM lines
-), sums AS (
-  SELECT row, {", ".join(f"sum(weights[{i + 1}]) AS w{i}" for i in range(n_f))}, {", ".join(f"sum(held[{i + 1}]) AS t{i}" for i in range(n_t))}
-  FROM grams LEFT JOIN vocabulary USING (ngram) GROUP BY row
-), scored AS (SELECT *, {zs} FROM sums), topped AS (SELECT *, {top} AS top FROM scored), named AS (SELECT *, {best} AS family FROM topped),
-shared AS (SELECT row, family, round(1 / ({whole}), 6) AS probability, round(CASE {share} ELSE 0 END, 6) AS overlap FROM named)
-SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, family, probability, overlap, overlap >= {CONFIRM} AS confirmed FROM shared JOIN lines USING (row)
+  SELECT DISTINCT row, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i+1], ' ')), list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' ')))) AS ngram FROM cut
+), met AS (SELECT * FROM grams JOIN vocabulary USING (ngram)),
+sums AS (SELECT row, {", ".join(f"sum(weights[{i + 1}]) AS w{i}" for i in range(n_f))} FROM met GROUP BY row),
+scored AS (SELECT row, {z} FROM sums), topped AS (SELECT *, greatest({", ".join(f"z{i}" for i in range(n_f))}) AS top FROM scored),
+named AS (SELECT row, {best} AS family, 1 / ({whole}) AS probability, exp(z{n_f - 1} - top) / ({whole}) AS other FROM topped),
+shares AS (
+  SELECT row, family, max(n / size) AS overlap FROM (SELECT row, k, count(*)::DOUBLE AS n FROM (SELECT row, unnest(held) AS k FROM met) GROUP BY row, k) JOIN templates USING (k) GROUP BY row, family
+)
+SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, family, round(probability, 6) AS probability, round(coalesce(overlap, 0), 6) AS overlap, round(coalesce(overlap, 0), 6) >= {CONFIRM} AS confirmed
+FROM named JOIN parts USING (row) LEFT JOIN shares USING (row, family) WHERE 1 - other >= {REPORT}
 """
