@@ -80,6 +80,44 @@ def test_topk_equals_brute_force(spark):
     assert topk_vafile.search(spark, frame.limit(0)).count() == 0
 
 
+def test_few_exact_vectors_are_read(spark):
+    """The scan of the cells alone leaves a small share; that share holds all results."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1000:2000] = x[7]  # a third of all are equal
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    vectors = topk_vafile.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    exact = topk_vafile.exact_file(spark, vectors, 10)
+    assert exact.count() == 2000
+    assert exact.selectExpr("max(size(ids))").first()[0] == 11
+    grid = topk_vafile.grid_of(exact)
+    approximation = topk_vafile.approximation_file(spark, exact, grid)
+    assert {len(r.cells) for r in approximation.collect()} == {32}
+    queries = vectors.where("vec_id % 100 = 0").select("vec_id", topk_vafile.integers(F.col("embedding")).alias("x")).orderBy("vec_id").collect()
+    wave = topk_vafile.Wave(queries, grid)
+    near = topk_vafile.candidates(spark, approximation, wave, 10).collect()
+    assert len(near) < 0.03 * len(queries) * 2000
+    keys = {r.key: set(r.ids) for r in exact.collect()}
+    held = {}
+    for r in near:
+        held.setdefault(int(wave.ids[r.q]), set()).update(keys[r.key])
+    for q, _, v, _ in brute_topk(rows):
+        assert v in held[q]
+
+
+def test_repeated_ids_and_vectors(spark):
+    a, b, c = [1.0, 2.0], [0.5, 0.25], [1.0, 2.0005]
+    rows = [(0, a)] * 15 + [(i, a) for i in range(1, 20)] + [(100, b)] * 3 + [(100, c), (200, b), (200, b), (5, c)]
+    got = topk_vafile.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = []
+    least = {q: np.floor(np.array(min(x for i, x in rows if i == q)) * 1024) for q in (0, 100, 200)}
+    for q, v in least.items():
+        best = sorted((-int(v @ np.floor(np.array(x) * 1024)), i) for i, x in rows if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_topk_of_large_components_stays_exact(spark):
     rows = [(0, [2.0e6, -2.5]), (1, [1.0e6, 1.0]), (2, [-2.0e6, 1.0]), (100, [1.0, 1.0])]
     got = topk_vafile.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
