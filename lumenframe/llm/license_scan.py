@@ -148,22 +148,25 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def _ngram_columns(text: Column) -> Column:
-    words = _words(text)
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.concat(words, *(F.when(F.size(words) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in (2, 3))))
+def _ngram_columns(words: Column) -> Column:
+    """Its lambdas read nothing but their own arguments; a column read in one is made anew for each element."""
+    after = lambda n: F.slice(words, F.lit(1 + n), F.greatest(F.size(words) - n, F.lit(0)))
+    pairs = F.zip_with(words, after(1), lambda a, b: F.concat(a, F.lit(" "), b))
+    threes = F.zip_with(pairs, after(2), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(F.concat(words, pairs, threes), lambda g: g.isNotNull()))  # beyond the last word there is null
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (number of its first line, from 0), text of all paragraphs, without a shuffle: wrapped lines are joined in their array."""
     lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    before = lambda i: F.get("lines", i - 1)
-    goes_on = F.transform("lines", lambda line, i: (i > 0) & line.rlike(FILLED) & (F.length(before(i)) >= WRAPPED) & before(i).rlike(FILLED) & ~before(i).rlike(ENDS))
-    lines = lines.withColumn("goes_on", F.transform(goes_on, lambda g: F.coalesce(g, F.lit(False))))
-    joined = F.array_join(F.transform("lines", lambda line, i: F.concat(F.when(i == 0, "").when(F.get("goes_on", i), " ").otherwise("\n"), line)), "")
-    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get("goes_on", i))
-    both = lines.select("doc_id", F.arrays_zip(starts.alias("paragraph"), F.split(joined, "\n", -1).alias("text")).alias("both"))
-    return both.select("doc_id", F.explode("both").alias("b")).select("doc_id", "b.paragraph", "b.text")
+    prior = F.concat(F.array(F.lit(None).cast("string")), F.slice("lines", F.lit(1), F.size("lines") - 1))
+    wrapped = lambda line, before: line.rlike(FILLED) & (F.length(before) >= WRAPPED) & before.rlike(FILLED) & ~before.rlike(ENDS)
+    lines = lines.withColumn("goes_on", F.zip_with("lines", prior, lambda line, before: F.coalesce(wrapped(line, before), F.lit(False))))
+    joined = F.array_join(F.zip_with("lines", "goes_on", lambda line, g: F.concat(F.when(g, " ").otherwise("\n"), line)), "")
+    starts = F.filter(F.transform("goes_on", lambda g, i: F.when(~g, i)), lambda i: i.isNotNull())
+    both = lines.select("doc_id", F.arrays_zip(starts.alias("paragraph"), F.split(F.substr(joined, F.lit(2)), "\n", -1).alias("text")).alias("both"))
+    # no text is without a paragraph; the plain explode would have Spark filter by the size of this array, and make it twice
+    return both.select("doc_id", F.explode_outer("both").alias("b")).select("doc_id", "b.paragraph", "b.text")
 
 
 def vocabulary_table(spark: SparkSession, scanner: Scanner) -> DataFrame:
@@ -176,8 +179,8 @@ def scan(spark: SparkSession, docs: DataFrame, scanner: Scanner | None = None) -
     n_f = len(FAMILIES)
     evidence = F.array(*map(F.lit, scanner.evidence()))
     some = docs.select("doc_id", "text").where(F.arrays_overlap(_words(F.col("text")), evidence))
-    parts = paragraphs(some).where(F.arrays_overlap(_words(F.col("text")), evidence))
-    parts = parts.select("doc_id", "paragraph", F.monotonically_increasing_id().alias("row"), _ngram_columns(F.col("text")).alias("ngrams"))
+    parts = paragraphs(some).select("doc_id", "paragraph", _words(F.col("text")).alias("words")).where(F.arrays_overlap("words", evidence))
+    parts = parts.select("doc_id", "paragraph", F.monotonically_increasing_id().alias("row"), _ngram_columns(F.col("words")).alias("ngrams"))
     grams = parts.select("doc_id", "paragraph", "row", F.explode("ngrams").alias("ngram")).join(F.broadcast(vocabulary_table(spark, scanner)), "ngram")
     sums = grams.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), *(F.sum(F.get("weights", F.lit(i))).alias(f"w{i}") for i in range(n_f)), F.flatten(F.collect_list("held")).alias("held"))
     z = [(F.col(f"w{i}") + scanner.bias[i]).cast("double") / 1000 / scanner.temperature for i in range(n_f)]
