@@ -45,3 +45,15 @@ def prediction_text(name: Column, probabilities: Column) -> Column:
 
 def point_text(x: Column, y: Column) -> Column:
     return F.format_string("%10.5f %10.5f", x, y)
+
+
+def title(method: str, **params) -> str:
+    """A method and its settings as a title: `Whittaker (lam: 2.0, order: 2)`."""
+    told = ", ".join(f"{k}: {v}" for k, v in params.items())
+    return f"{method} ({told})" if told else method
+
+
+def title_text(method: Column, params: Column) -> Column:
+    """The same of a column and a map of settings, in the order of their names."""
+    pairs = F.array_sort(F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return F.when(F.size(params) > 0, F.concat(method, F.lit(" ("), F.array_join(pairs, ", "), F.lit(")"))).otherwise(method)

@@ -17,60 +17,120 @@ def penalty(n: int, order: int) -> np.ndarray:
 
 
 def whittaker(y: np.ndarray, w: np.ndarray, lam: float, order: int = 2) -> np.ndarray:
-    """z that minimises sum w (y - z)^2 + lam * sum (difference of z)^2, by a banded factorisation."""
-    n = len(y)
-    if n <= order:
+    """z that minimises sum w (y - z)^2 + lam * sum (difference of z)^2."""
+    if len(y) <= order:
         return y.copy()
-    bands = _difference_bands(n, order)
-    return solve_banded_spd([w + lam * bands[0], *(lam * b for b in bands[1:])], w * y)
+    return solve_banded(band_sum(difference_bands(len(y), order), lam, {0: w}), w * y)
+
+
+#: A banded matrix: offset o -> array of the values at (row, row + o), 0 where there is no such column.
+Bands = dict[int, np.ndarray]
 
 
 @lru_cache(maxsize=64)
-def _difference_bands(n: int, order: int) -> tuple[np.ndarray, ...]:
-    """Diagonals 0 to order of D'D."""
+def _difference_rows(n: int, order: int) -> tuple[np.ndarray, ...]:
     c = np.array([1.0])
     for _ in range(order):
         c = np.convolve(c, [1.0, -1.0])
-    out = [np.zeros(n - k) for k in range(order + 1)]
+    upper = [np.zeros(n) for _ in range(order + 1)]
     for k in range(order + 1):
         for i in range(order + 1 - k):
-            out[k][i : i + n - order] += c[i] * c[i + k]
-    return tuple(out)
-
-
-def solve_banded_spd(bands: list[np.ndarray], b: np.ndarray) -> np.ndarray:
-    """Solve a symmetric positive definite system given its diagonals 0..k, by L D L'."""
-    n, k = len(bands[0]), len(bands) - 1
-    if k == 0:
-        return b / bands[0]
-    d = bands[0].astype(float).tolist()
-    low = [x.astype(float).tolist() for x in bands[1:]]
-    out = b.astype(float).tolist()
-    for i in range(n):
-        di = d[i]
-        reach = min(k, n - 1 - i)
-        col = [low[j][i] for j in range(reach)]
-        for j in range(reach):
-            f = col[j] / di
-            d[i + 1 + j] -= f * col[j]
-            for m in range(j + 1, reach):
-                low[m - j - 1][i + 1 + j] -= f * col[m]
-            out[i + 1 + j] -= f * out[i]
-            low[j][i] = f
-    for i in range(n):
-        out[i] /= d[i]
-    for i in range(n - 1, -1, -1):
-        for j in range(min(k, n - 1 - i)):
-            out[i] -= low[j][i] * out[i + 1 + j]
-    return np.array(out)
+            upper[k][i : i + n - order] += c[i] * c[i + k]
+    return tuple(upper)
 
 
-def polynomial(x: np.ndarray, y: np.ndarray, order: int, w: np.ndarray | None = None) -> np.ndarray:
-    """Values of the weighted least-squares polynomial, x mapped to [-1, 1]."""
+def difference_bands(n: int, order: int) -> Bands:
+    """D'D of the differences of an order."""
+    upper = _difference_rows(n, order)
+    return {o: upper[o] if o >= 0 else shifted(upper[-o], o) for o in range(-order, order + 1)}
+
+
+def shifted(v: np.ndarray, o: int) -> np.ndarray:
+    """v[row + o] in each row, 0 beyond the ends."""
+    out, n = np.zeros_like(v), len(v)
+    out[max(0, -o) : max(0, n - o)] = v[max(0, o) : max(0, n + o)]
+    return out
+
+
+def band_sum(a: Bands, scale, b: Bands) -> Bands:
+    """scale * a + b; an array of scales multiplies the rows."""
+    out = {o: scale * v for o, v in a.items()}
+    for o, v in b.items():
+        out[o] = out[o] + v if o in out else v
+    return out
+
+
+def band_product(a: Bands, b: Bands) -> Bands:
+    out: Bands = {}
+    for i, u in a.items():
+        for j, v in b.items():
+            term = u * shifted(v, i)
+            out[i + j] = out[i + j] + term if i + j in out else term
+    return out
+
+
+def band_times(a: Bands, v: np.ndarray) -> np.ndarray:
+    return sum(u * shifted(v, o) for o, u in a.items())
+
+
+def solve_banded(bands: Bands, b: np.ndarray, size: int = 6) -> np.ndarray:
+    """Solve a banded system, which needs no exchange of rows (positive definite, or rows of such a one scaled), by elimination of blocks."""
+    n = len(b)
+    size = max(size, *(abs(o) for o in bands))
+    m = -(-n // size)
+    row = np.arange(n)
+    wide = np.zeros((m, size, 3 * size))
+    wide.reshape(m * size, -1)[n:, :][:, size:] += np.eye(m * size - n, 2 * size, k=n - (m - 1) * size)  # rows beyond the last are those of 1
+    for o, v in bands.items():
+        at = row[max(0, -o) : max(0, n - max(0, o))]
+        wide[at // size, at % size, size + at % size + o] += v[at]
+    out = np.zeros(m * size)
+    out[:n] = b
+    out = out.reshape(m, size, 1)
+    return _blocks(wide[:, :, :size], wide[:, :, size : 2 * size], wide[:, :, 2 * size :], out.reshape(m, size, 1)).ravel()[:n]
+
+
+def _blocks(left: np.ndarray, mid: np.ndarray, right: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cyclic reduction of block rows: every other one is put into its neighbours at a time."""
+    m, size = mid.shape[:2]
+    if m == 1:
+        return np.linalg.solve(mid, b)
+    gone = np.linalg.solve(mid[::2], np.concatenate([left[::2], right[::2], b[::2]], axis=2))
+    beyond = gone[1:] if m % 2 else np.concatenate([gone[1:], np.zeros_like(gone[:1])])
+    before, after = left[1::2] @ gone[: m // 2], right[1::2] @ beyond
+    odd = _blocks(-before[:, :, :size], mid[1::2] - before[:, :, size : 2 * size] - after[:, :, :size], -after[:, :, size : 2 * size], b[1::2] - before[:, :, 2 * size :] - after[:, :, 2 * size :])
+    z = np.empty_like(b)
+    z[1::2] = odd
+    even = gone[:, :, 2 * size :].copy()
+    even[1:] -= gone[1:, :, :size] @ odd[: len(even) - 1]
+    even[: m // 2] -= gone[: m // 2, :, size : 2 * size] @ odd
+    z[::2] = even
+    return z
+
+
+@lru_cache(maxsize=16)
+def _polynomials(axis: bytes, order: int) -> np.ndarray:
+    """Orthonormal values of the polynomials up to an order on an axis, no more than it has places."""
+    x = np.frombuffer(axis)
     span = x[-1] - x[0] if len(x) > 1 and x[-1] != x[0] else 1.0
-    v = np.vander(2 * (x - x[0]) / span - 1, min(order, len(x) - 1) + 1, increasing=True)
-    s = np.ones(len(y)) if w is None else np.sqrt(w)
-    return v @ np.linalg.lstsq(v * s[:, None], y * s, rcond=None)[0]
+    return np.linalg.qr(np.vander(2 * (x - x[0]) / span - 1, min(order, len(np.unique(x)) - 1) + 1, increasing=True))[0]
+
+
+def polynomial(x: np.ndarray, y: np.ndarray, order: int, w: np.ndarray | None = None) -> np.ndarray:
+    """Values of the weighted least-squares polynomial."""
+    q = _polynomials(np.ascontiguousarray(x, float).tobytes(), order)
+    if w is None:
+        return q @ (q.T @ y)
+    qw = q * w[:, None]
+    gram = qw.T @ q
+    try:
+        d = np.diag(np.linalg.cholesky(gram))
+        if d.min() > 1e-5 * d.max():
+            return q @ np.linalg.solve(gram, qw.T @ y)
+    except np.linalg.LinAlgError:
+        pass  # weights that leave too little: the least norm
+    s = np.sqrt(w)
+    return q @ np.linalg.lstsq(q * s[:, None], y * s, rcond=None)[0]
 
 
 @lru_cache(maxsize=64)

@@ -124,24 +124,48 @@ def _telling_peaks(x: np.ndarray, y: np.ndarray, distance: float | None) -> np.n
 
 
 def _rounds(x: np.ndarray, y: np.ndarray, at: np.ndarray, sigma: float, snr: float | None, gaussian: bool) -> np.ndarray:
-    """Rounds for each point: fewest on the peaks, most far from all of them; the bells around peaks multiply by the squared width if not gaussian."""
+    """Rounds by the distance of the nearest peak, along a bell: fewest on the peaks, most far off; the bell multiplies by the squared width if not gaussian."""
     if snr is None:
         rest = y - L.polynomial(np.arange(len(y), dtype=float), y, 1)
         snr = rest.max() / np.std(rest - L.savgol(rest, 9, 3))
-    least, most = (np.round(np.polyval(LEAST_ROUNDS, snr)), np.round(np.polyval(MOST_ROUNDS, snr))) if snr <= 200 else ROUNDS_ABOVE_200
-    g = sigma * (x[1] - x[0])
-    far = (1 - np.exp(-((x[None, :] - x[at][:, None]) ** 2) / 2 * (1 / (g * g) if gaussian else g * g))).min(axis=0)
-    return np.round(far * (most - least) + least).astype(int)
+    ends = ROUNDS_ABOVE_200 if snr > 200 else np.rint([np.polyval(LEAST_ROUNDS, snr), np.polyval(MOST_ROUNDS, snr)])
+    peaks, wide = np.sort(x[at]), (sigma * (x[1] - x[0])) ** 2
+    next_one = np.searchsorted(peaks, x)
+    near = np.minimum(np.abs(x - peaks[np.maximum(next_one - 1, 0)]), np.abs(x - peaks[np.minimum(next_one, len(peaks) - 1)]))
+    far = -np.expm1(-near * near / 2 * (1 / wide if gaussian else wide))
+    return np.rint(np.interp(far, [0, 1], ends)).astype(int)
+
+
+def _priors(first: int, last: int) -> list[tuple[int, int, float]]:
+    """Window, order and weight of the Savitzky-Golay prior of each round: as long as every point takes part, then for the points left, and widening in the last fifth."""
+    head = min(first, last)
+    tail = min(round(last / 5), last - head)
+    rounds = [(7, 5, 1.8)] * head + [(5, 3, 1.8)] * (last - head - tail)
+    window, order, weight = rounds[-1] if rounds else (7, 5, 1.8)
+    return rounds + [(window + 4 * k, order, weight * 10.0**k) for k in range(1, tail + 1)]
+
+
+def likeliest(y: np.ndarray, prior: np.ndarray, weight: float, noise: float, power: float = 0.4) -> np.ndarray:
+    """The t of least (y - t)^2 / (2 noise^2) + weight |t - prior|^power, exactly: the prior itself, or the place between it and y where the slopes meet."""
+    d = np.abs(y - prior)
+    pull = weight * power * noise * noise  # u + pull u^(power - 1) = d at distance u from the prior, if at all
+    least = (pull * (1 - power)) ** (1 / (2 - power))
+    meets = d > least + pull * least ** (power - 1)
+    u = np.where(meets, d, 1.0)
+    for _ in range(12):  # Newton from the right, over a convex function
+        u = np.where(meets, np.maximum(u - (u + pull * u ** (power - 1) - d) / (1 + pull * (power - 1) * u ** (power - 2)), least), u)
+    gain = d * d - (d - u) ** 2 - 2 * noise * noise * weight * u**power
+    return np.where(meets & (gain > 0), prior + np.sign(y - prior) * u, prior)
 
 
 def mlesg(x, y, distance=None, sigma=4.0, snr=None, gaussian=False):
     """Maximum likelihood of the signal under a Savitzky-Golay prior.
 
-    In each round a point takes, of 100 values within three noise deviations of its estimate, the one
-    that costs least: its squared distance from the measured value, and a power of its distance from the
-    smoothed estimates.  Points near peaks have fewer rounds.  In the last fifth of the rounds the windows
-    widen and the prior weighs tenfold each time.  No window is wider than a tenth of the data (9 points at
-    least), which matters below some 450 points only: there wider ones would smooth the peaks away.
+    In each round a point takes the value that costs least: its squared distance from the measured value,
+    and a power of its distance from the smoothed estimates; it moves by three noise deviations at most.
+    Points near peaks have fewer rounds.  In the last fifth of the rounds the windows widen and the prior
+    weighs tenfold each time.  No window is wider than a tenth of the data (9 points at least), which
+    matters below some 450 points only: there wider ones would smooth the peaks away.
     Fewer than 10 points, and data without noise, stay as they are.
     """
     y, n = np.asarray(y, float).copy(), len(y)
@@ -151,22 +175,10 @@ def mlesg(x, y, distance=None, sigma=4.0, snr=None, gaussian=False):
     if not noise > 1e-12 * max(np.abs(y).max(), 1e-300):
         return y
     rounds = _rounds(x, y, _telling_peaks(x, y, distance), sigma, snr, gaussian)
-    first, last = rounds.min(), rounds.max()
-    steps = noise * (0.06 * np.arange(100) - 3)
-    estimate, weight, window, order = y.copy(), 1.8, 7, 5
-    widest = max(9, n // 10 | 1)
-    for j in range(last):
-        if j < first:
-            window, order = 7, 5
-        elif j >= last - round(last / 5):
-            window, weight = window + 4, weight * 10
-        else:
-            window, order = 5, 3
-        prior = L.savgol(estimate, min(window, widest), order)
-        live = np.flatnonzero(rounds > j)
-        tried = estimate[live, None] + steps
-        cost = weight * np.abs(tried - prior[live, None]) ** 0.4 + (y[live, None] - tried) ** 2 / (2 * noise * noise)
-        estimate[live] = tried[np.arange(len(live)), cost.argmin(axis=1)]
+    estimate, widest = y.copy(), max(9, n // 10 | 1)
+    for j, (window, order, weight) in enumerate(_priors(rounds.min(), rounds.max())):
+        aim = likeliest(y, L.savgol(estimate, min(window, widest), order), weight, noise)
+        estimate = np.where(rounds > j, np.clip(aim, estimate - 3 * noise, estimate + 3 * noise), estimate)
     return estimate
 
 

@@ -160,3 +160,30 @@ def active_features(features: DataFrame, ignored: DataFrame) -> DataFrame:
 def regroup(df: DataFrame, changes: DataFrame) -> DataFrame:
     """New groups for the keys that have one, wherever a table holds keys."""
     return df.join(changes.select("key", F.col("grp").alias("__grp")), "key", "left").withColumn("grp", F.coalesce("__grp", "grp")).drop("__grp")
+
+
+def next_free_index(df: DataFrame, index: str) -> DataFrame:
+    """One row, index: the least whole number from the number of rows on that no row has.
+
+    Of n rows, at most n numbers are taken, so the answer is at most 2n: the end of the run that starts at n.
+    """
+    n = df.agg(F.count("*").alias("n"))
+    taken = df.select(F.col(index).cast("long").alias("i")).where(F.col("i").isNotNull()).distinct().crossJoin(F.broadcast(n)).where(F.col("i") >= F.col("n"))
+    placed = running_totals(taken.withColumn("one", F.lit(1)), "i", ["one"])
+    run = placed.where(F.col("i") == F.col("n") + F.col("cum_one") - 1).agg(F.max("i").alias("last"))
+    return n.crossJoin(F.broadcast(run)).select(F.coalesce(F.col("last") + 1, F.col("n")).cast("long").alias(index))
+
+
+def encoded(df: DataFrame, column: str, number: str) -> DataFrame:
+    """df with the number of each value of a column among its distinct values in ascending order, from 0; null has none.
+
+    The distinct values are classes; their table is joined as a dimension.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    numbers = numbered(values, column).select(column, (F.col("n") - 1).cast("double").alias(number))
+    return df.join(dimension(numbers), column, "left")
+
+
+def decoded(df: DataFrame, numbers: DataFrame, column: str, number: str) -> DataFrame:
+    """The values back from their numbers, given the table of both."""
+    return df.join(dimension(numbers.select(column, number).where(F.col(number).isNotNull()).distinct()), number, "left")

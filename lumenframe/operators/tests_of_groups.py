@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.kernels import special
 from lumenframe.operators import statistics
-from lumenframe.operators.relational import running_totals
+from lumenframe.operators.relational import hash_numbered, running_totals
 
 #: Values up to which the p of the normality test holds.
 NORMALITY_ROWS = 5_000
@@ -112,24 +112,68 @@ def hotelling(spark, arrays: DataFrame, first: int, second: int, components: int
     return spark.createDataFrame([(t2, f, special.f_sf(f, p, n - p - 1))], "t2 double, f double, p double")
 
 
+def own_in_block(n: int, k: int, block: int, rounds: int, seed: int) -> np.ndarray:
+    """How many of k labels, dealt over n rows in blocks of PICKED_ROWS, fall into a block, in each round.
+
+    The rows are halved down to the block; each half's share is drawn from the hypergeometric distribution with a
+    seed of the halves, so that all blocks agree and a round has k labels in all. From 1e9 rows on (the bound of
+    the generator) the normal approximation is drawn, whose error is far below a label in a thousand there.
+    """
+    rows = lambda a, b: min(b * PICKED_ROWS, n) - a * PICKED_ROWS
+    lo, hi, own = 0, -(-n // PICKED_ROWS), np.full(rounds, k, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng, whole, part = np.random.default_rng([seed, lo, hi]), rows(lo, hi), rows(lo, mid)
+        if whole < 1_000_000_000:
+            left = rng.hypergeometric(own, whole - own, part)
+        else:
+            share = own / whole
+            left = np.rint(rng.normal(part * share, np.sqrt(part * share * (1 - share) * (whole - part) / (whole - 1)))).astype(np.int64)
+            left = np.clip(left, np.maximum(0, own - (whole - part)), np.minimum(own, part))
+        lo, hi, own = (lo, mid, left) if block < mid else (mid, hi, own - left)
+    return own
+
+
 def permutation(arrays: DataFrame, first: int, second: int, rounds: int = 10_000, seed: int = 0) -> DataFrame:
-    """Distance of the group means against seeded relabellings: every row takes part in each round by a hash, sums are added up before the shuffle."""
+    """Distance of the group means against seeded relabellings that keep the sizes of the groups.
+
+    Rows are numbered in a hash order and dealt into blocks; each block knows how many labels it gets in each
+    round and deals them among its rows. Sums are added up in each task before the shuffle.
+    """
     rows = arrays.where(F.col("grp").isin(first, second)).select("key", (F.col("grp") == first).alias("own"), "y")
-    n_rows = rows.agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("k")).first()
-    share = (n_rows["k"] or 0) / max(1, n_rows["n"])
+    counted = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("own").cast("long")), F.lit(0)).alias("k")).first()
+    n_rows, k = counted["n"], counted["k"]
+    dealt = hash_numbered(rows, "key", seed).withColumn("block", F.floor((F.col("hash_no") - 1) / PICKED_ROWS).cast("long"))
+
+    def relabelled(block: int, held: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+        b = pd.concat(held).sort_values("hash_no")
+        m, own = np.stack(list(b["y"])).astype(float), own_in_block(n_rows, k, block, rounds, seed)
+        u = np.random.default_rng([seed, block]).random((rounds, len(m)))
+        least = np.take_along_axis(np.sort(u, axis=1), np.maximum(own - 1, 0)[:, None], axis=1)
+        pick = np.vstack([b["own"].to_numpy(bool), (u <= least) & (own > 0)[:, None]]).astype(float)
+        return np.concatenate([pick @ m, np.tile(m.sum(axis=0), (rounds + 1, 1))], axis=1), np.column_stack([pick.sum(axis=1), np.full(rounds + 1, len(m))])
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[pd.DataFrame]]]:
+        at, held = None, []
+        for b in batches:
+            for block, own in b.groupby("block"):
+                if held and block != at:
+                    yield at, held
+                    held = []
+                at = int(block)
+                held.append(own)
+        if held:
+            yield at, held
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = count = None
-        for b in (b.iloc[i : i + PICKED_ROWS] for b in batches for i in range(0, len(b), PICKED_ROWS)):
-            m = np.stack(list(b["y"])).astype(float)
-            pick = np.stack([np.random.default_rng([seed, int(k) & 0xFFFFFFFF]).random(rounds) < share for k in b["key"]])
-            pick = np.column_stack([b["own"].to_numpy(bool), pick]).astype(float)
-            s = np.concatenate([pick.T @ m, np.tile(m.sum(axis=0), (rounds + 1, 1))], axis=1)
-            c = np.column_stack([pick.sum(axis=0), np.full(rounds + 1, len(m))])
+        for block, held in blocks(batches):
+            s, c = relabelled(block, held)
             total, count = (s, c) if total is None else (total + s, count + c)
         if total is not None:
             yield pd.DataFrame({"round": np.arange(rounds + 1), "sums": list(total), "n1": count[:, 0], "n": count[:, 1]})
 
+    rows = dealt.select("block", "hash_no", "own", "y").repartition("block").sortWithinPartitions("block")
     parts = rows.mapInPandas(run, "round int, sums array<double>, n1 double, n double")
     w = F.posexplode("sums").alias("i", "s")
     sums = parts.select("round", "n1", "n", w).groupBy("round", "i").agg(F.sum("s").alias("s"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
@@ -140,3 +184,25 @@ def permutation(arrays: DataFrame, first: int, second: int, rounds: int = 10_000
     stats = pairs.groupBy("round").agg(F.sqrt(F.sum(d * d)).alias("stat"))
     seen = stats.agg(F.max(F.when(F.col("round") == 0, F.col("stat"))).alias("observed"))
     return stats.crossJoin(F.broadcast(seen)).groupBy("observed").agg(((F.sum(((F.col("round") > 0) & (F.col("stat") >= F.col("observed"))).cast("long")) + 1) / (F.sum((F.col("round") > 0).cast("long")) + 1)).alias("p")).withColumnRenamed("observed", "stat")
+
+
+def compare(arrays: DataFrame, long: DataFrame, first: int, second: int, alpha: float = 0.05, rounds: int = 10_000, seed: int = 0) -> DataFrame:
+    """test, feature, statistic, p, differs: the tests that suit two groups.
+
+    A group is normal if no feature's Shapiro-Wilk p is under alpha; its row has the least p, and differs if it
+    is not normal. Two normal groups are compared by Hotelling's test of ten components, others by relabelling
+    (no feature) and by the rank sums of each feature.
+    """
+    spark = arrays.sparkSession
+    told, normal = [], True
+    for grp in (first, second):
+        p = normality(long.where(F.col("grp") == grp)).agg(F.min("p")).first()[0]
+        told.append((f"normality of {grp}", None, None, p, p is not None and p < alpha))
+        normal = normal and p is not None and p >= alpha
+    schema = "test string, feature int, statistic double, p double, differs boolean"
+    out = spark.createDataFrame(told, schema)
+    row = lambda df, test, feature, statistic: df.select(F.lit(test).alias("test"), feature.cast("int").alias("feature"), F.col(statistic).alias("statistic"), "p", (F.col("p") < alpha).alias("differs"))
+    if normal:
+        return out.unionByName(row(hotelling(spark, arrays, first, second), "hotelling", F.lit(None), "t2"))
+    ranks = row(mann_whitney(long, first, second), "mann-whitney", F.col("feature"), "u")
+    return out.unionByName(row(permutation(arrays, first, second, rounds, seed), "permutation", F.lit(None), "stat")).unionByName(ranks)

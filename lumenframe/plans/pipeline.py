@@ -27,6 +27,10 @@ from lumenframe.schema import SPECTRA, to_points
 ORDER = ("interpolate", "despike", "convert", "cut", "baseline", "smooth", "normalize", "trim", "average")
 
 
+#: Bytes under which Spark doesn't split files further, whatever the number of cores.
+SPLIT_BYTES = 4 << 20
+
+
 @dataclass(frozen=True)
 class Step:
     kind: str
@@ -62,11 +66,12 @@ def is_kernel(step: Step) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Dealt out evenly if the input has fewer partitions than there are cores (small files); otherwise as it is."""
+    """Dealt out evenly if its plan expects no more bytes than a split a core (few small files); otherwise as it is. Nothing is run to tell."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if expected <= cores * SPLIT_BYTES else df
 
 
 def run_kernels(spectra: DataFrame, steps: Sequence[Step]) -> DataFrame:
@@ -91,7 +96,8 @@ def _expression(step: Step, df: DataFrame) -> DataFrame:
     x, y, p = F.col("x"), F.col("y"), step.params
     if step.kind in ("cut", "trim"):
         s, e = A.nearest_stepping_back(x, p["start"]), A.nearest_stepping_back(x, p["end"])
-        return df.select("key", "grp", A.cut(x, s, e).alias("x"), A.cut(y, s, e).alias("y"))
+        whole = (F.round(F.get(x, F.lit(0)), 5) == round(p["start"], 5)) & (F.round(F.element_at(x, -1), 5) == round(p["end"], 5))  # nothing to cut
+        return df.select("key", "grp", *(F.when(whole, v).otherwise(A.cut(v, s, e)).alias(n) for n, v in (("x", x), ("y", y))))
     if step.kind == "interpolate":
         axis = F.array(*map(F.lit, map(float, p["axis"])))
         same = x == axis

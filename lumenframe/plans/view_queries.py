@@ -13,9 +13,9 @@ from lumenframe.functions import arrays as A
 from lumenframe.functions import labels as L
 from lumenframe.functions import views as V
 from lumenframe.kernels import peaks, signal
-from lumenframe.operators import explain, learning, statistics
+from lumenframe.operators import explain, learning, relational, search, statistics, tests_of_groups
 from lumenframe.plans.pipeline import Step, apply, spread
-from lumenframe.plans.queries import W, learnt, points, query, r6
+from lumenframe.plans.queries import W, features, learnt, points, query, r6
 from lumenframe.schema import spectra, table, to_points
 
 _TOP = "(SELECT *, arg_max(i, (y, -i)) OVER (PARTITION BY key) AS t, max(y) OVER (PARTITION BY key) AS h, count(*) OVER (PARTITION BY key) AS n FROM pts)"
@@ -123,3 +123,16 @@ def production_predict(spark, sf_dir):
     ready = apply(spectra(spark, sf_dir), steps)
     model = learning.discriminant(learning.dataset(ready.where("key % 5 <> 0")))
     return learning.apply_discriminant(learning.dataset(ready.where("key % 5 = 0")), model).select("key", "label", "prediction")
+
+
+query("next_free_index", "WITH t AS (SELECT p_partkey + p_size AS i FROM part), n AS (SELECT count(*) AS n FROM t) SELECT min(c) AS i FROM (SELECT n AS c FROM n UNION ALL SELECT i + 1 FROM t, n WHERE i >= n), n WHERE c NOT IN (SELECT i FROM t)")(
+    lambda s, d: relational.next_free_index(table(s, d, "part").select((F.col("p_partkey") + F.col("p_size")).alias("i")), "i")
+)
+query("label_encode", "SELECT c_custkey, c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS code FROM customer")(
+    lambda s, d: relational.encoded(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "code")
+)
+query("title_text", "SELECT r_regionkey, r_name || ' (key: ' || r_regionkey || ', rows: ' || length(r_name) || ')' AS title FROM region")(
+    lambda s, d: table(s, d, "region").select("r_regionkey", L.title_text(F.col("r_name"), F.create_map(F.lit("rows"), F.length("r_name").cast("string"), F.lit("key"), F.col("r_regionkey").cast("string"))).alias("title"))
+)
+query("adaptive_search")(lambda s, d: search.adaptive(s, learnt(s, d), "LDA", 12))
+query("compare_groups")(lambda s, d: tests_of_groups.compare(spectra(s, d), features(s, d), 1, 2))

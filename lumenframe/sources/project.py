@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from lumenframe.operators.learning import Discriminant
+from lumenframe.plans.pipeline import Step
+
 #: Stages that a production project leaves out.
 RAW = frozenset({"input", "converted", "cut", "baseline", "smoothed", "normalized", "trimmed"})
 
@@ -38,3 +43,24 @@ def export(path: str, tables: dict[str, DataFrame]) -> list[str]:
         flat.write.mode("overwrite").option("header", "true").csv(f"{path}/{name}")
         told.append(name)
     return told
+
+
+def save_model(spark: SparkSession, path: str, name: str, model, steps: list[Step] = ()) -> None:
+    """A fitted model and the steps that its spectra went through, for production: one folder a model."""
+    if isinstance(model, Discriminant):
+        rows = [(float(c), [float(v) for v in w], float(b)) for c, w, b in zip(model.classes, model.w, model.b, strict=True)]
+        spark.createDataFrame(rows, "class double, w array<double>, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/models/{name}/classes")
+    else:
+        PipelineModel([model]).write().overwrite().save(f"{path}/models/{name}/fitted")
+    row = json.dumps({"linear": isinstance(model, Discriminant), "steps": [{"kind": s.kind, "name": s.name, "params": s.params} for s in steps]})
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/models/{name}/settings")
+
+
+def load_model(spark: SparkSession, path: str, name: str) -> tuple[object, list[Step]]:
+    """The model (its stage, or the discriminant) and the steps before it."""
+    told = json.loads(spark.read.text(f"{path}/models/{name}/settings").first()[0])
+    steps = [Step(**s) for s in told["steps"]]
+    if not told["linear"]:
+        return PipelineModel.load(f"{path}/models/{name}/fitted").stages[0], steps
+    rows = spark.read.parquet(f"{path}/models/{name}/classes").orderBy("class").collect()  # a row a class
+    return Discriminant(*(np.array([r[c] for r in rows]) for c in ("class", "w", "b"))), steps

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lumenframe.functions import arrays as A
 from lumenframe.functions import labels
 from lumenframe.kernels import baseline, linalg, optimizers, peaks, signal, smooth, special
-from lumenframe.operators import aggregates, decompose, learning, statistics, tests_of_groups
-from lumenframe.plans.pipeline import Step, apply, plan
+from lumenframe.operators import aggregates, decompose, learning, relational, search, statistics, tests_of_groups
+from lumenframe.plans.pipeline import Step, apply, plan, spread
 from lumenframe.schema import SPECTRA, to_points, to_spectra
 from lumenframe.sources import project, spectra_text
 
@@ -340,3 +340,141 @@ def test_template_takes_the_lines_of_all_spectra(spark):
     got = decompose.template(spark.createDataFrame(rows, "key long, interval int, x0 double"), 40.0).collect()
     assert sorted(r.x0 for r in got) == [501.0, 900.0]
     assert peaks.cluster_counts(np.array([99.0, 100, 102, 200, 300]), np.array([1, 5, 2, 9, 1]), 10, 2, 1) == [100.0, 200.0]
+
+
+def test_extended_polynomial_is_quantile_regression_at_a_half():
+    _, y = synthetic()
+    own = baseline.METHODS["ExModPoly"](X, y, quantile=0.05, w_scale_factor=0.5, recalc_y=False, num_std=0.0, max_iter=300, tol=1e-9)
+    assert np.abs(own - baseline.METHODS["Quantile regression"](X, y, quantile=0.05, max_iter=300, tol=1e-9)).max() < 0.02
+    lower = baseline.METHODS["ExModPoly"](X, y, quantile=0.05, w_scale_factor=0.1, recalc_y=True, num_std=0.0)
+    assert lower.mean() < own.mean()
+
+
+def dense(n, order):
+    d = np.diff(np.eye(n), order, axis=0)
+    return d.T @ d
+
+
+def test_banded_systems_equal_dense_ones():
+    rng = np.random.default_rng(3)
+    for n in (3, 5, 6, 7, 29, 120):
+        a = {o: np.where((np.arange(n) + o >= 0) & (np.arange(n) + o < n), rng.random(n), 0.0) for o in range(-2, 3)}
+        a[0] = a[0] + 5
+        whole = sum(np.diag(np.resize(v, n)[max(0, -o) : n - max(0, o)], o) for o, v in a.items() if abs(o) < n)
+        b = rng.random(n)
+        assert np.allclose(linalg.solve_banded({o: v for o, v in a.items() if abs(o) < n}, b), np.linalg.solve(whole, b))
+        assert np.allclose(linalg.band_times(a, b), whole @ b)
+        assert np.allclose(linalg.band_times(linalg.band_product(a, a), b), whole @ whole @ b)
+
+
+def drpls_dense(y, lam=1e4, p=0.01, eta=0.5, most=50):
+    n, w, z = len(y), np.ones(len(y)), np.ones(len(y))
+    for t in range(most):
+        old, z = z, np.linalg.solve(np.diag(w) + dense(n, 1) + lam * (np.eye(n) - eta * np.diag(w)) @ dense(n, 2), w * y)
+        low = (y - z)[y < z]
+        if np.linalg.norm(z - old) <= p:
+            break
+        u = np.exp(t) * (y - z - (2 * low.std() - low.mean())) / low.std()
+        w = (1 - u / (1 + np.abs(u))) / 2
+    return z
+
+
+def test_doubly_reweighted_baseline_equals_dense_brute_force():
+    _, y = synthetic()
+    assert np.allclose(baseline.METHODS["drPLS"](X, y, lam=1e4), drpls_dense(y), atol=1e-3)
+
+
+def test_quick_baselines_on_long_axes():
+    x = np.linspace(300, 1800, 1000)
+    y = 200 * np.exp(-1.5 * (x - 300) / 1500) + peaks.gaussian(x, 60, 600, 20) + np.random.default_rng(0).normal(0, 0.5, 1000)
+    for name in ("drPLS", "iAsLS", "asPLS", "BEaDS", "arPLS"):
+        assert np.isfinite(baseline.METHODS[name](x, y)).all()
+
+
+def test_likeliest_value_beats_a_search():
+    rng = np.random.default_rng(4)
+    y, prior = rng.normal(0, 3, 50), rng.normal(0, 3, 50)
+    grid = np.linspace(-12, 12, 20001)
+    for weight in (0.1, 1.8, 18.0):
+        cost = lambda t, y, m: (y - t) ** 2 / (2 * 1.5**2) + weight * np.abs(t - m) ** 0.4  # noqa: B023, E731
+        best = smooth.likeliest(y, prior, weight, 1.5)
+        assert all(cost(b, v, m) <= cost(grid, v, m).min() + 1e-9 for b, v, m in zip(best, y, prior, strict=True))
+
+
+def test_relabellings_keep_the_sizes(spark):
+    shares = [tests_of_groups.own_in_block(1000, 300, b, 200, 7) for b in range(4)]
+    assert (sum(shares) == 300).all() and abs(shares[0].mean() - 300 * 0.256) < 2
+    rng = np.random.default_rng(0)
+    rows = [(i, 1 if i < 40 else 2, [0.0, 1.0], [float(v) for v in rng.normal(0, 1, 2)]) for i in range(600)]
+    apart = [(k, g, x, [y[0] + 3 * (g == 1), y[1]]) for k, g, x, y in rows]
+    same, differ = (tests_of_groups.permutation(spark.createDataFrame(r, SPECTRA), 1, 2, 999).first() for r in (rows, apart))
+    assert differ.p == pytest.approx(0.001) and same.p > 0.01
+    means = [np.mean([r[3] for r in apart if r[1] == g], axis=0) for g in (1, 2)]
+    assert differ.stat == pytest.approx(np.linalg.norm(means[0] - means[1]))
+    other = tests_of_groups.permutation(spark.createDataFrame(rows, SPECTRA).repartition(5), 1, 2, 999).first()
+    assert other.p == same.p
+
+
+def test_groups_are_compared_by_what_suits_them(spark):
+    rng = np.random.default_rng(5)
+    rows = lambda draw: [(i, 1 + i % 2, [0.0, 1.0], [float(draw()) + i % 2, float(draw())]) for i in range(80)]
+    for draw, want in ((lambda: rng.normal(), {"hotelling"}), (lambda: rng.exponential() ** 2, {"permutation", "mann-whitney"})):
+        df = spark.createDataFrame(rows(draw), SPECTRA)
+        long = df.select("grp", F.posexplode("y").alias("feature", "value"))
+        got = tests_of_groups.compare(df, long, 1, 2, alpha=1e-3, rounds=199).collect()
+        assert {r.test for r in got if not r.test.startswith("normality")} == want
+
+
+def test_nothing_is_cut_by_the_whole_range(spark):
+    df = spark.createDataFrame([(1, 1, [1.0, 2.0, 3.0], [4.0, 5.0, 6.0])], SPECTRA)
+    assert apply(df, [Step("cut", params={"start": 1.0, "end": 3.0000001})]).first().y == [4, 5, 6]
+    assert len(apply(df, [Step("cut", params={"start": 1.0, "end": 2.0})]).first().y) < 3
+
+
+def test_spread_runs_nothing(spark, tmp_path):
+    spark.createDataFrame([(1, 1, [1.0], [1.0])], SPECTRA).coalesce(1).write.parquet(f"{tmp_path}/few")
+    assert spread(spark.read.parquet(f"{tmp_path}/few")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    large = spark.range(10**9)
+    assert spread(large) is large
+
+
+def test_free_index_and_codes(spark):
+    free = lambda v: relational.next_free_index(spark.createDataFrame([(i,) for i in v], "i long"), "i").first().i
+    assert free([]) == 0 and free([0, 1, 2]) == 3 and free([3, 4, 6, None]) == 5 and free([3, 4, 5]) == 6 and free([9]) == 1
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
+    codes = relational.encoded(df, "c", "n")
+    assert sorted((r.c or "", r.n) for r in codes.collect()) == [("", None), ("a", 0.0), ("b", 1.0), ("b", 1.0)]
+    back = relational.decoded(codes.select("n"), codes, "c", "n")
+    assert sorted(r.c or "" for r in back.collect()) == ["", "a", "b", "b"]
+    assert labels.title("Whittaker", lam=2.0) == "Whittaker (lam: 2.0)"
+
+
+def test_search_comes_nearer_and_stops_the_poor():
+    space = {"a": search.Axis(0.0, 1.0), "b": search.Axis(1, 1000, powers=True, whole=True)}
+    found = search.run_trials(space, lambda p, fold: -((p["a"] - 0.3) ** 2) - 0.1 * (np.log10(p["b"]) - 2) ** 2, 60, 3, 1)
+    best = max(found, key=lambda t: t.metric)
+    assert abs(best.params["a"] - 0.3) < 0.15 and 30 < best.params["b"] < 400
+    assert any(t.pruned and len(t.scores) < 3 for t in found) and not best.pruned
+
+
+def test_adaptive_search_of_trees(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, [0.0] * 2, [float(i % 2 + rng.normal(0, 0.3)), float(rng.normal())]) for i in range(120)]
+    found = search.adaptive(spark, learning.dataset(spark.createDataFrame(rows, SPECTRA)), "Decision Tree", 4).collect()
+    assert len(found) == 4 and max(r.metric for r in found) > 0.9 and sum(r.is_best for r in found) == 1
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, [0.0] * 3, [float(v + i % 3) for v in rng.normal(0, 0.5, 3)]) for i in range(90)]
+    df = learning.dataset(spark.createDataFrame(rows, SPECTRA))
+    steps = [Step("cut", params={"start": 1.0, "end": 2.0}), Step("normalize", "SNV")]
+    model = learning.discriminant(df)
+    project.save_model(spark, str(tmp_path), "lda", model, steps)
+    again, told = project.load_model(spark, str(tmp_path), "lda")
+    assert told == steps and np.array_equal(again.w, model.w) and np.array_equal(again.classes, model.classes)
+    tree = learning.estimator("Decision Tree").fit(df)
+    project.save_model(spark, str(tmp_path), "tree", tree)
+    loaded = project.load_model(spark, str(tmp_path), "tree")[0]
+    said = lambda m: [r.prediction for r in m.transform(df).orderBy("key").collect()]
+    assert said(loaded) == said(tree)
