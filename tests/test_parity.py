@@ -10,7 +10,7 @@ import pytest
 
 from lumenframe.operators import learning, tests_of_groups
 from lumenframe.plans import queries as plans
-from lumenframe.plans import view_queries  # noqa: F401  adds its queries
+from lumenframe.plans import kernel_queries, view_queries  # noqa: F401  add their queries
 from lumenframe.plans.queries import QUERIES, SQL, learnt
 
 SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
