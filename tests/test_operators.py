@@ -478,3 +478,48 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     loaded = project.load_model(spark, str(tmp_path), "tree")[0]
     said = lambda m: [r.prediction for r in m.transform(df).orderBy("key").collect()]
     assert said(loaded) == said(tree)
+
+
+def _dense(y, w, lam, order=2):
+    """(W + lam D'D)^-1 W y by a full matrix."""
+    d = np.diff(np.eye(len(y)), order, axis=0)
+    return np.linalg.solve(np.diag(w) + lam * d.T @ d, w * y)
+
+
+def test_reweighted_baselines_equal_dense_brute_force():
+    """The rounds of the publications, each solved with a full matrix."""
+    _, y = synthetic()
+    y, x = y[::4], X[::4]
+
+    w = np.ones(len(y))
+    for _ in range(10):
+        z = _dense(y, w, 1e4)
+        w = np.where(y > z, 0.01, 0.99)
+    assert np.allclose(baseline.METHODS["AsLS"](x, y, lam=1e4, p=0.01, max_iter=10), z, rtol=1e-6)
+
+    w = np.ones(len(y))
+    for _ in range(50):
+        z = _dense(y, w, 1e4)
+        r = y - z
+        m, s = r[r < 0].mean(), r[r < 0].std()
+        new = 1 / (1 + np.exp(np.clip(2 * (r - (2 * s - m)) / s, -500, 500)))
+        if np.linalg.norm(w - new) / np.linalg.norm(w) < 0.01:
+            break
+        w = new
+    assert np.allclose(baseline.METHODS["arPLS"](x, y, lam=1e4, p=0.01), z, rtol=1e-6)
+
+    w = np.ones(len(y))
+    for t in range(1, 51):
+        z = _dense(y, w, 1e4, 1)
+        r = y - z
+        lost = -r[r < 0].sum()
+        if lost < 0.01 * np.abs(y).sum():
+            break
+        w = np.where(r < 0, np.exp(np.minimum(t * np.abs(r) / lost, 700)), 0)
+        w[[0, -1]] = np.exp(t * np.abs(r[r < 0]).max() / lost)
+    assert np.allclose(baseline.METHODS["airPLS"](x, y, lam=1e4, p=0.01), z, rtol=1e-6)
+
+
+def test_whittaker_smoother_equals_dense_brute_force():
+    _, y = synthetic()
+    assert np.allclose(smooth.SMOOTHERS["Whittaker"](X, y, lam=2.0), _dense(y, np.ones(len(y)), 2.0), rtol=1e-8)
