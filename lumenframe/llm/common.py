@@ -51,14 +51,23 @@ def beside(rows: DataFrame, keys: list[str], column: str, work: Callable[[list[s
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there.
 
-    The folder goes when the driver's JVM ends.
+    The folder goes when the driver's JVM ends, or when freed() is told that nothing reads it any more.
     """
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def freed(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of frames from written(), once all that is made of them has been written itself."""
+    for frame in frames:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written before the join: a hub of many neighbours is one key of it, and Spark splits a key only between plain exchanges
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
     joined = near.join(least, "u")
     out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if not small else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
