@@ -39,7 +39,7 @@ def moments(y: Column) -> Column:
     return F.get(m, F.lit(0))
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """use(value) with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -48,11 +48,11 @@ def _bound(value: Column, use) -> Column:
 
 
 def snv(y: Column) -> Column:
-    return _bound(moments(y), lambda m: F.transform(y, lambda v: (v - m["mean"]) / m["std"]))
+    return bound(moments(y), lambda m: F.transform(y, lambda v: (v - m["mean"]) / m["std"]))
 
 
 def l2_norm(y: Column) -> Column:
-    return _bound(F.sqrt(F.aggregate(y, zero(), lambda a, v: a + v * v)), lambda n: F.transform(y, lambda v: v / n))
+    return bound(F.sqrt(F.aggregate(y, zero(), lambda a, v: a + v * v)), lambda n: F.transform(y, lambda v: v / n))
 
 
 def unit_trapezoid(y: Column) -> Column:
@@ -61,16 +61,16 @@ def unit_trapezoid(y: Column) -> Column:
 
 
 def trapezoid_norm(y: Column) -> Column:
-    return _bound(unit_trapezoid(y), lambda n: F.transform(y, lambda v: v / n))
+    return bound(unit_trapezoid(y), lambda n: F.transform(y, lambda v: v / n))
 
 
 def max_norm(y: Column) -> Column:
-    return _bound(F.array_max(y), lambda n: F.transform(y, lambda v: v / n))
+    return bound(F.array_max(y), lambda n: F.transform(y, lambda v: v / n))
 
 
 def min_max(y: Column) -> Column:
     ends = F.struct(F.array_min(y).alias("lo"), F.array_max(y).alias("hi"))
-    return _bound(ends, lambda e: F.transform(y, lambda v: (v - e["lo"]) / (e["hi"] - e["lo"])))
+    return bound(ends, lambda e: F.transform(y, lambda v: (v - e["lo"]) / (e["hi"] - e["lo"])))
 
 
 NORMALIZERS = {"SNV": snv, "Area": l2_norm, "Trapezoidal rule area": trapezoid_norm, "Max intensity": max_norm, "Min-max intensity": min_max}
@@ -143,7 +143,7 @@ def median_filter(y: Column, length: int) -> Column:
     """Running median of an odd length (even: one more), zero outside."""
     length += 1 - length % 2
     padded = _padded(y, length // 2)
-    return _bound(padded, lambda p: F.transform(places(y), lambda i: F.get(F.array_sort(F.slice(p, i + 1, length)), F.lit(length // 2))))
+    return bound(padded, lambda p: F.transform(places(y), lambda i: F.get(F.array_sort(F.slice(p, i + 1, length)), F.lit(length // 2))))
 
 
 def wiener(y: Column, length: int) -> Column:
@@ -158,13 +158,13 @@ def wiener(y: Column, length: int) -> Column:
 
         return F.transform(places(y), one)
 
-    stats = _bound(_padded(y, half), local)
+    stats = bound(_padded(y, half), local)
 
     def smooth(s: Column) -> Column:
         noise = F.aggregate(s, zero(), lambda a, v: a + v["v"]) / F.size(s)
-        return _bound(noise, lambda q: F.transform(s, lambda v, i: F.when(v["v"] < q, v["m"]).otherwise(v["m"] + (F.get(y, i) - v["m"]) * (1 - q / v["v"]))))
+        return bound(noise, lambda q: F.transform(s, lambda v, i: F.when(v["v"] < q, v["m"]).otherwise(v["m"] + (F.get(y, i) - v["m"]) * (1 - q / v["v"]))))
 
-    return _bound(stats, smooth)
+    return bound(stats, smooth)
 
 
 def savgol_rows(length: int, order: int) -> np.ndarray:
@@ -258,11 +258,11 @@ def line_fit(y: Column) -> Column:
     n = F.size(y).cast("double")
     mid = (n - 1) / 2
     slope = F.aggregate(places(y), zero(), lambda a, i: a + (i - mid) * F.get(y, i)) / (n * (n * n - 1) / 12)
-    return _bound(slope, lambda s: F.struct(s.alias("slope"), (mean(y) - s * mid).alias("intercept")))
+    return bound(slope, lambda s: F.struct(s.alias("slope"), (mean(y) - s * mid).alias("intercept")))
 
 
 def detrend(y: Column) -> Column:
-    return _bound(line_fit(y), lambda f: F.transform(y, lambda v, i: v - (f["slope"] * i + f["intercept"])))
+    return bound(line_fit(y), lambda f: F.transform(y, lambda v, i: v - (f["slope"] * i + f["intercept"])))
 
 
 def to_wavenumber(x: Column, laser: float, base: Column) -> Column:
@@ -282,16 +282,18 @@ def down_sample(y: Column, factor: int, how: str) -> Column:
 
 def plateau(y: Column) -> Column:
     """Mean place (whole part) of the first run of the maximum."""
-    top = F.array_max(y)
 
-    def step(acc, i):
-        hit = F.get(y, i) == top
-        first = F.when(acc["first"].isNull() & hit, i).otherwise(acc["first"])
-        last = F.when(hit & (acc["last"].isNull() | (acc["last"] == i - 1)), i).otherwise(acc["last"])
-        return F.struct(first.alias("first"), last.alias("last"))
+    def run(top: Column) -> Column:
+        def step(acc, i):
+            hit = F.get(y, i) == top
+            first = F.when(acc["first"].isNull() & hit, i).otherwise(acc["first"])
+            last = F.when(hit & (acc["last"].isNull() | (acc["last"] == i - 1)), i).otherwise(acc["last"])
+            return F.struct(first.alias("first"), last.alias("last"))
 
-    start = F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(places(y), start, step, lambda a: F.floor((a["first"] + a["last"]) / 2).cast("int"))
+        start = F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        return F.aggregate(places(y), start, step, lambda a: F.floor((a["first"] + a["last"]) / 2).cast("int"))
+
+    return bound(F.array_max(y), run)
 
 
 def snr(y: Column) -> Column:
@@ -315,7 +317,7 @@ def _frame(y: Column, half: int, of) -> Column:
 
 def opening(y: Column, half: int) -> Column:
     """Top-hat's baseline: erosion, then dilation."""
-    return _bound(erode(y, half), lambda e: enlarge(e, half))
+    return bound(erode(y, half), lambda e: enlarge(e, half))
 
 
 def deviation(y: Column) -> Column:
@@ -325,15 +327,20 @@ def deviation(y: Column) -> Column:
 def fluorescence_start(x: Column, y: Column, factor: int = 1, from_x: float = 100.0) -> Column:
     """From the axis value nearest from_x: after the first gradient over the gradients' deviation, the place
     where a run of `factor` falling gradients is complete (its first place, for a factor of 1); null if none is."""
-    g = gradient(y)
+    falls = lambda g, i: F.forall(F.sequence(i - (factor - 1), i), lambda j: F.coalesce(F.get(g, j) < 0, F.lit(False)))
+
+    # each value is bound before the lambda that runs over the places: a column named inside it would be made anew for every place
+    def after(g: Column, steep: Column) -> Column:
+        return F.array_min(F.filter(F.transform(g, lambda v, i: F.when((v < 0) & (i - (factor - 1) > steep) & falls(g, i), i)), lambda i: i.isNotNull()))
+
+    def steepest(g: Column, e: Column) -> Column:
+        return F.array_min(F.filter(F.transform(g, lambda v, i: F.when((i >= e["start"]) & (v > e["limit"]), i)), lambda i: i.isNotNull()))
 
-    def found(parts):
-        start = nearest(x, from_x)
-        steep = F.array_min(F.filter(F.transform(parts, lambda v, i: F.when((i >= start) & (v > deviation(parts)), i)), lambda i: i.isNotNull()))
-        falls = lambda i: F.forall(F.sequence(i - (factor - 1), i), lambda j: F.coalesce(F.get(parts, j) < 0, F.lit(False)))
-        return F.array_min(F.filter(F.transform(parts, lambda v, i: F.when((i > steep) & (i - (factor - 1) > steep) & falls(i), i)), lambda i: i.isNotNull()))
+    def found(g: Column) -> Column:
+        ends = F.struct(nearest(x, from_x).alias("start"), deviation(g).alias("limit"))
+        return bound(ends, lambda e: bound(steepest(g, e), lambda steep: after(g, steep)))
 
-    return _bound(g, found)
+    return bound(gradient(y), found)
 
 
 def moved_amplitude(x: Column, y: Column, low: Column, high: Column) -> Column:

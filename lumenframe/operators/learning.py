@@ -15,6 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.arrays import bound
 from lumenframe.operators import statistics
 from lumenframe.operators.relational import hash_numbered
 
@@ -93,10 +94,12 @@ def apply_discriminant(df: DataFrame, model: Discriminant) -> DataFrame:
     x = vector_to_array("features")
     score = lambda k: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in model.w[k]]), lambda a, b: a * b), F.lit(float(model.b[k])), lambda a, v: a + v)
     z = F.array(*[score(k) for k in range(len(model.classes))])
-    out = df.withColumn("z", z).withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     names = F.array(*[F.lit(float(c)) for c in model.classes])
-    p = F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, u: a + u))
-    return out.select("key", "label", F.get(names, (F.array_position("z", F.array_max("z")) - 1).cast("int")).alias("prediction"), p.alias("probability"))
+    bells = lambda z: bound(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top)))
+    p = lambda z: bound(bells(z), lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, u: a + u), lambda s: F.transform(e, lambda v: v / s)))
+    said = lambda z: F.get(names, (F.array_position(z, F.array_max(z)) - 1).cast("int"))
+    both = bound(z, lambda z: F.struct(said(z).alias("prediction"), p(z).alias("probability")))
+    return df.select("key", "label", both.alias("both")).select("key", "label", "both.prediction", "both.probability")
 
 
 def train_and_predict(df: DataFrame, name: str, test_percent: float = 20.0, seed: int = 0, **params) -> DataFrame:

@@ -523,3 +523,22 @@ def test_reweighted_baselines_equal_dense_brute_force():
 def test_whittaker_smoother_equals_dense_brute_force():
     _, y = synthetic()
     assert np.allclose(smooth.SMOOTHERS["Whittaker"](X, y, lam=2.0), _dense(y, np.ones(len(y)), 2.0), rtol=1e-8)
+
+
+def test_fluorescence_starts_of_long_axes_take_seconds(spark):
+    """500 spectra of 1000 points; the cost of a place must not grow with the points."""
+    import time
+
+    from lumenframe.functions import arrays as A
+
+    rows = spark.range(500).select("id", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: i.cast("double")).alias("x"))
+    rows = rows.withColumn("y", F.transform("x", lambda v: F.sin(v / 60 + F.col("id")) * v + F.exp(-((v - 300) / 20) * ((v - 300) / 20)) * 900))
+    rows = rows.repartition(4)
+    began = time.perf_counter()
+    got = {r.id: r.place for r in rows.select("id", A.fluorescence_start(F.col("x"), F.col("y"), 3, 100.0).alias("place")).collect()}
+    assert time.perf_counter() - began < 10
+    for r in rows.where("id < 20").collect():
+        g = np.gradient(np.array(r.y))
+        steep = next((i for i in range(100, 1000) if g[i] > g.std()), None)
+        want = None if steep is None else next((i for i in range(1000) if i - 2 > steep and (g[i - 2 : i + 1] < 0).all()), None)
+        assert got[r.id] == want
