@@ -7,13 +7,14 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassificationModel, GBTClassificationModel, OneVsRestModel, RandomForestClassificationModel
+from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators import learning, statistics
+from lumenframe.operators.boosting import Booster, Tree
 
 #: A leaf: values by class, then for each feature on its way the open lower end, the closed upper end and the share of training weight that follows.
 Leaf = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -39,10 +40,31 @@ def _leaves(tree, value) -> list[Leaf]:
     return out
 
 
+def _boosted_leaves(tree: Tree, cuts: list[np.ndarray], unit: np.ndarray) -> list[Leaf]:
+    """The leaves of one boosted tree, weighed by the curvature that reached them."""
+    out: list[Leaf] = []
+
+    def walk(node: int, way: dict[int, tuple[float, float, float]]) -> None:
+        k = tree.feature[node]
+        if k < 0:
+            f = sorted(way)
+            ends = np.array([way[i] for i in f], float).reshape(len(f), 3)
+            out.append((tree.value[node] * unit, np.array(f, int), ends[:, 0], ends[:, 1], ends[:, 2]))
+            return
+        at, cut = tree.left[node], float(cuts[k][tree.cut[node]])
+        lo, hi, share = way.get(k, (-np.inf, np.inf, 1.0))
+        for child, ends in ((at, (lo, min(hi, cut))), (at + 1, (max(lo, cut), hi))):
+            walk(child, way | {k: (*ends, share * tree.cover[child] / tree.cover[node])})
+
+    walk(0, {})
+    return out
+
+
 def leaves(model) -> list[Leaf]:
-    """All leaves of a tree, a forest, boosted trees or one-vs-rest boosted trees; their values add up to what is explained.
+    """All leaves of a tree, a forest or boosted trees; their values add up to what is explained.
 
-    Trees and forests: class probabilities. Boosted trees: the margin of each class.
+    Trees and forests: class probabilities. Boosted trees: the margin of each class (of the second one, if there are two).
+    A missing value follows no leaf's way.
     """
 
     def shares(node) -> np.ndarray:
@@ -54,11 +76,9 @@ def leaves(model) -> list[Leaf]:
     if isinstance(model, RandomForestClassificationModel):
         trees = model.trees
         return [(v / len(trees), *rest) for t in trees for v, *rest in _leaves(t, shares)]
-    if isinstance(model, GBTClassificationModel):
-        model = OneVsRestModel([model])
-    if isinstance(model, OneVsRestModel):
-        unit = np.eye(len(model.models))
-        return [(w * v * unit[k], *rest) for k, m in enumerate(model.models) for t, w in zip(m.trees, m.treeWeights, strict=True) for v, *rest in _leaves(t, lambda n: n.prediction())]
+    if isinstance(model, Booster):
+        unit = np.eye(model.outputs)
+        return [leaf for trees in model.trees for k, t in enumerate(trees) for leaf in _boosted_leaves(t, model.cuts, unit[k])]
     raise ValueError(f"no trees in {type(model).__name__}")
 
 

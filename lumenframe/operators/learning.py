@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.arrays import bound
-from lumenframe.operators import statistics
+from lumenframe.operators import boosting, statistics, svc
 from lumenframe.operators.relational import hash_numbered
 
 CLASSIFIERS = ("LDA", "Logistic regression", "SVC", "Decision Tree", "Random Forest", "XGBoost")
@@ -31,18 +31,18 @@ def dataset(spectra: DataFrame, classes: Sequence[int] = (), drop: Sequence[int]
 
 
 def estimator(name: str, seed: int = 0, **params):
-    """The estimator of a name. SVC is linear one-vs-rest; XGBoost is Spark's boosted trees one-vs-rest (a substitute)."""
+    """The estimator of a name. SVC has a linear machine for each pair of classes and gives probabilities; XGBoost boosts trees under softmax loss."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if name == "Logistic regression":
         return LogisticRegression(weightCol="weight", maxIter=100, **common, **params)
     if name == "SVC":
-        return OneVsRest(classifier=LinearSVC(maxIter=50, **params), weightCol="weight", **common)
+        return svc.PairwiseSvc(svc.Settings(**params), seed)
     if name == "Decision Tree":
         return DecisionTreeClassifier(weightCol="weight", seed=seed, **common, **params)
     if name == "Random Forest":
         return RandomForestClassifier(weightCol="weight", seed=seed, **common, **params)
     if name == "XGBoost":
-        return OneVsRest(classifier=GBTClassifier(maxIter=params.pop("maxIter", 10), seed=seed, **params), weightCol="weight", **common)
+        return boosting.SoftmaxBoosting(boosting.Settings(seed=seed, **params))
     raise ValueError(f"no estimator {name}; LDA is discriminant()")
 
 
@@ -57,6 +57,11 @@ class Discriminant:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return x @ self.w.T + self.b
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = self.scores(x)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
 
 def discriminant(df: DataFrame, shrinkage: float = 1e-3) -> Discriminant:
     """From class counts, sums and one pooled scatter matrix, added up in each task first."""
@@ -138,7 +143,7 @@ def principal_components(df: DataFrame, k: int = 2) -> tuple[DataFrame, np.ndarr
 
 
 def search(df: DataFrame, name: str, grid: dict[str, Sequence], folds: int = 3, seed: int = 0, parallelism: int = 2):
-    """Cross-validated search over a grid; returns the fitted CrossValidatorModel."""
+    """Cross-validated search over a grid of Spark's own estimators; returns the fitted CrossValidatorModel. SVC and XGBoost have search.adaptive()."""
     est = estimator(name, seed)
     builder = ParamGridBuilder()
     for p, values in grid.items():

@@ -134,5 +134,7 @@ query("label_encode", "SELECT c_custkey, c_mktsegment, CAST(dense_rank() OVER (O
 query("title_text", "SELECT r_regionkey, r_name || ' (key: ' || r_regionkey || ', rows: ' || length(r_name) || ')' AS title FROM region")(
     lambda s, d: table(s, d, "region").select("r_regionkey", L.title_text(F.col("r_name"), F.create_map(F.lit("rows"), F.length("r_name").cast("string"), F.lit("key"), F.col("r_regionkey").cast("string"))).alias("title"))
 )
-query("adaptive_search")(lambda s, d: search.adaptive(s, learnt(s, d), "LDA", 12))
+query("adaptive_search")(lambda s, d: search.adaptive(s, learnt(s, d), "LDA"))
+for _name in ("Logistic regression", "SVC", "Decision Tree", "Random Forest", "XGBoost"):
+    query(f"search_{_name.lower().replace(' ', '_')}")(lambda s, d, n=_name: search.adaptive(s, learnt(s, d), n))
 query("compare_groups")(lambda s, d: tests_of_groups.compare(spectra(s, d), features(s, d), 1, 2))

@@ -239,7 +239,7 @@ def test_tree_contributions_equal_all_coalitions(spark, name):
     y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
     rows = [(i, float(y[i]), [float(v) for v in x[i]], 1.0) for i in range(len(x))]
     df = spark.createDataFrame(rows, "key long, label double, f array<double>, weight double").select("key", "label", array_to_vector("f").alias("features"), "weight")
-    small = {"Decision Tree": {"maxDepth": 4}, "Random Forest": {"numTrees": 3, "maxDepth": 3}, "XGBoost": {"maxIter": 2, "maxDepth": 3}}[name]
+    small = {"Decision Tree": {"maxDepth": 4}, "Random Forest": {"numTrees": 3, "maxDepth": 3}, "XGBoost": {"rounds": 2, "max_depth": 3}}[name]
     model = learning.estimator(name, **small).fit(df)
     own = explain.leaves(model)
     base, phi = explain.shapley(x, own)
@@ -248,7 +248,7 @@ def test_tree_contributions_equal_all_coalitions(spark, name):
     got = explain.tree_contributions(df, model).groupBy("key", "class").agg(F.sum("contribution").alias("s"), F.first("base").alias("b")).collect()
     total = {(r["key"], r["class"]): r.s + r.b for r in got}
     if name == "XGBoost":
-        want = {(r.key, k): float(r.rawPrediction[1]) for k, m in enumerate(model.models) for r in m.transform(df).collect()}
+        want = {(r.key, k): float(v) for r in model.transform(df).collect() for k, v in enumerate(r.rawPrediction)}
     else:
         want = {(r.key, k): float(p) for r in model.transform(df).collect() for k, p in enumerate(r.probability)}
     assert total.keys() == want.keys() and all(total[k] == pytest.approx(want[k]) for k in want)
@@ -451,7 +451,7 @@ def test_free_index_and_codes(spark):
 
 def test_search_comes_nearer_and_stops_the_poor():
     space = {"a": search.Axis(0.0, 1.0), "b": search.Axis(1, 1000, powers=True, whole=True)}
-    found = search.run_trials(space, lambda p, fold: -((p["a"] - 0.3) ** 2) - 0.1 * (np.log10(p["b"]) - 2) ** 2, 60, 3, 1)
+    found = search.run_trials(space, lambda ps, fold: [-((p["a"] - 0.3) ** 2) - 0.1 * (np.log10(p["b"]) - 2) ** 2 for p in ps], 60, 3, 1)
     best = max(found, key=lambda t: t.metric)
     assert abs(best.params["a"] - 0.3) < 0.15 and 30 < best.params["b"] < 400
     assert any(t.pruned and len(t.scores) < 3 for t in found) and not best.pruned
