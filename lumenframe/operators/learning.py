@@ -12,12 +12,11 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.arrays import bound
 from lumenframe.operators import boosting, statistics, svc
-from lumenframe.operators.relational import hash_numbered
 
 CLASSIFIERS = ("LDA", "Logistic regression", "SVC", "Decision Tree", "Random Forest", "XGBoost")
 
@@ -160,17 +159,48 @@ def search_table(spark, df: DataFrame, name: str, grid: dict[str, Sequence], fol
     return spark.createDataFrame([(p, float(v), i == best) for i, (p, v) in enumerate(zip(points, found.avgMetrics, strict=True))], "params string, metric double, is_best boolean")
 
 
+#: Times that each feature is dealt anew; rows among which its values are dealt.
+REPEATS, DEALT = 5, 256
+
+
+def permuted(df: DataFrame, features: Sequence[int], repeats: int = REPEATS, seed: int = 0, dealt: int = DEALT) -> DataFrame:
+    """feature, repeat, label, features: every row once as it is (feature -1), and once for each feature and repeat with that feature from another row.
+
+    Rows are put into groups of about `dealt` by a hash of their key, so that a group is a random part of all
+    rows, and sorted by it; a feature's values move on by a seeded number of rows, so no row keeps its own
+    (but in a group of one). One shuffle of the rows; a task holds one group, and results don't depend on partitions.
+    """
+    n = df.count()
+    groups = max(1, round(n / dealt))
+    chosen = np.array(list(features), int)
+    rows = df.select("label", vector_to_array("features").alias("x"), F.xxhash64("key", F.lit(seed)).alias("h"), "key").withColumn("g", F.pmod(F.shiftright("h", 16), F.lit(groups)))
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["h", "key"])
+        x = np.array(own["x"].to_list(), float)
+        m, label = len(x), own["label"].to_numpy()
+        rng = np.random.default_rng([seed, int(key[0])])
+        out = [pd.DataFrame({"feature": -1, "repeat": 0, "label": label, "features": list(x)})]
+        for f in chosen:
+            for r, by in enumerate(rng.integers(1, max(2, m), repeats)):
+                moved = x.copy()
+                moved[:, f] = np.roll(x[:, f], by)
+                out.append(pd.DataFrame({"feature": int(f), "repeat": r, "label": label, "features": list(moved)}))
+        return pd.concat(out)
+
+    made = rows.groupBy("g").applyInPandas(run, "feature int, repeat int, label double, features array<double>")
+    return made.withColumn("features", array_to_vector("features"))
+
+
 def permutation_importance(df: DataFrame, model, features: Sequence[int], seed: int = 0) -> DataFrame:
-    """Fall of accuracy when a feature's values are dealt anew among the rows (by a seeded hash order)."""
-    x = df.select("key", "label", vector_to_array("features").alias("x"))
-    scored = lambda d: model.transform(d).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc"))
-    out = scored(df).select(F.lit(-1).alias("feature"), "acc")
-    for f in features:
-        a = hash_numbered(x, "key", seed).drop("hash_rows")
-        b = hash_numbered(x.select("key", F.get("x", F.lit(f)).alias("v")), "key", seed + 1).select("hash_no", "v")
-        dealt = a.join(b, "hash_no").withColumn("features", array_to_vector(F.transform("x", lambda u, i: F.when(i == F.lit(f), F.col("v")).otherwise(u))))
-        out = out.unionByName(scored(dealt).select(F.lit(f).alias("feature"), "acc"))
-    return out
+    """feature, repeat, f1, fall: micro F1 with a feature's values dealt anew, REPEATS times each, and how much less it is than F1 on the rows as they are (feature -1).
+
+    All features and repeats are scored in one job.
+    """
+    scored = statistics.micro_f1(model.transform(permuted(df, features, seed=seed)), "feature", "repeat")
+    whole = Window.partitionBy()  # of one row a feature and repeat
+    own = F.max(F.when(F.col("feature") == -1, F.col("f1"))).over(whole)
+    return scored.withColumn("fall", own - F.col("f1"))
 
 
 def linear_contributions(df: DataFrame, model: Discriminant) -> DataFrame:

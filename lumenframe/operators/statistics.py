@@ -75,6 +75,51 @@ def roc_points(df: DataFrame, label: Column, score: str) -> DataFrame:
     return _cumulative(df, label, score).select("score", (F.col("cum_p") / F.col("all_p")).alias("tpr"), (F.col("cum_n") / F.col("all_n")).alias("fpr"))
 
 
+#: Places of the false positive rate, from 0 to 1, at which curves of several classes are averaged.
+GRID = 1000
+
+
+def roc_grid(df: DataFrame, hit: Column, score: str, curve: str, places: int = GRID) -> DataFrame:
+    """(curve, place, fpr, tpr): each curve's true positive rate on an even grid of false positive rates, by straight lines between its points.
+
+    Points are the distinct scores and (0, 0); of points at one rate the highest counts.  Each curve's points are
+    counted by distinct score and added up in two levels; then the first and the last point of each step of the grid
+    are enough, so no task holds more of a curve than the grid has places.  Curves without both kinds of rows have none.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(curve).alias("curve"), F.col(score).alias("score")).agg(F.sum(hit.cast("long")).alias("p"), F.sum((~hit).cast("long")).alias("n"))
+    whole = counts.groupBy("curve").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).where("all_p > 0 AND all_n > 0")
+    points = running_totals(counts, "score", ["p", "n"], ["curve"], descending=True).join(whole, "curve").select("curve", "cum_p", "cum_n", "all_p", "all_n")
+    points = points.unionByName(whole.select("curve", F.lit(0).cast("long").alias("cum_p"), F.lit(0).cast("long").alias("cum_n"), "all_p", "all_n"))
+    step = F.ceil(F.col("cum_n") * (places - 1) / F.col("all_n")).cast("int")  # the first place of the grid that is not below the point
+    at = F.struct((F.col("cum_n") / F.col("all_n")).alias("fpr"), (F.col("cum_p") / F.col("all_p")).alias("tpr"))
+    ends = points.groupBy("curve", step.alias("place")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    grid = whole.select("curve", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place")).join(ends, ["curve", "place"], "left")
+    so_far = Window.partitionBy("curve").orderBy("place")
+    left = F.last("last", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first("first", ignorenulls=True).over(so_far.rowsBetween(1, Window.unboundedFollowing))
+    drawn = grid.select("curve", "place", (F.col("place") / (places - 1)).alias("fpr"), left.alias("left"), right.alias("right"))
+    rise = (F.col("right.tpr") - F.col("left.tpr")) * (F.col("fpr") - F.col("left.fpr")) / (F.col("right.fpr") - F.col("left.fpr"))
+    return drawn.select("curve", "place", "fpr", (F.col("left.tpr") + F.coalesce(rise, F.lit(0.0))).alias("tpr"))
+
+
+def roc_averages(cells: DataFrame, hit: Column, score: str, label: str, places: int = GRID) -> DataFrame:
+    """(curve, place, fpr, tpr) of every class against the rest, of 'micro' (all cells as one curve) and of 'macro' (the mean of the classes' curves).
+
+    cells: a row for each row and class, with the class's score and whether it is the row's class.
+    """
+    named = cells.select(F.explode(F.array(F.col(label).cast("string"), F.lit("micro"))).alias("curve"), F.col(score).alias("score"), hit.alias("hit"))
+    each = roc_grid(named, F.col("hit"), "score", "curve", places)
+    macro = each.where("curve <> 'micro'").groupBy("place").agg(F.first("fpr").alias("fpr"), F.avg("tpr").alias("tpr"))
+    return each.unionByName(macro.select(F.lit("macro").alias("curve"), "place", "fpr", "tpr"))
+
+
+def micro_f1(df: DataFrame, *by: str, label: str = "label", predicted: str = "prediction") -> DataFrame:
+    """f1 of all classes' hits together, by groups, from the confusion counts."""
+    cells = df.groupBy(*by, label, predicted).agg(F.count("*").alias("n"))
+    hits, whole = F.sum(F.when(F.col(label) == F.col(predicted), F.col("n")).otherwise(0)), F.sum("n")
+    return cells.groupBy(*by).agg((2 * hits / (2 * hits + 2 * (whole - hits))).alias("f1"))
+
+
 def precision_recall_points(df: DataFrame, label: Column, score: str) -> DataFrame:
     """(score, precision, recall) at each distinct score, from the highest."""
     precision = F.col("cum_p") / (F.col("cum_p") + F.col("cum_n"))

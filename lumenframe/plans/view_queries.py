@@ -13,7 +13,7 @@ from lumenframe.functions import arrays as A
 from lumenframe.functions import labels as L
 from lumenframe.functions import views as V
 from lumenframe.kernels import peaks, signal
-from lumenframe.operators import explain, learning, relational, search, statistics, tests_of_groups
+from lumenframe.operators import explain, guessing, learning, relational, search, statistics, tests_of_groups
 from lumenframe.plans.pipeline import Step, apply, spread
 from lumenframe.plans.queries import W, features, learnt, points, query, r6
 from lumenframe.schema import spectra, table, to_points
@@ -138,3 +138,44 @@ query("adaptive_search")(lambda s, d: search.adaptive(s, learnt(s, d), "LDA"))
 for _name in ("Logistic regression", "SVC", "Decision Tree", "Random Forest", "XGBoost"):
     query(f"search_{_name.lower().replace(' ', '_')}")(lambda s, d, n=_name: search.adaptive(s, learnt(s, d), n))
 query("compare_groups")(lambda s, d: tests_of_groups.compare(spectra(s, d), features(s, d), 1, 2))
+
+#: Lines that are there already, and an interval without lines, for the guesses of the test spectra.
+KNOWN, FORBIDDEN = (guessing.Known(0.2, 500.0, 40.0), guessing.Known(0.2, 1000.0, 40.0)), ((640.0, 760.0),)
+query("guess_dead_zones")(lambda s, d: guessing.guess(spectra(s, d), [800.0, 1200.0], fwhm=80.0, known=KNOWN, forbidden=FORBIDDEN))
+query("clustered_lines")(lambda s, d: guessing.clustered(guessing.guess(spectra(s, d), [800.0, 1200.0], fwhm=80.0), 80.0))
+for _name in guessing.SCOPES:
+    #: The mean of all test spectra is nearly flat: its lines are lower than the usual noise.
+    query(f"guess_scope_{_name.lower().replace(' ', '_')}")(lambda s, d, n=_name: guessing.template(spectra(s, d), n, fwhm=80.0, borders=[800.0, 1200.0], noise=0.002 if n == "Average" else None))
+query("fit_scope_template")(lambda s, d: guessing.fit_template(spectra(s, d), guessing.template(spectra(s, d), "Average groups", fwhm=80.0, borders=[800.0, 1200.0]), fwhm=80.0))
+
+#: Three classes of order lines, a made-up score for each, and made-up predictions.
+_CELLS = "SELECT c AS curve, l_returnflag = c AS hit, CASE c WHEN 'A' THEN l_quantity * 2 WHEN 'N' THEN l_discount * 1000 ELSE 100 - l_quantity + l_tax * 100 END AS score FROM lineitem, (VALUES ('A'), ('N'), ('R')) k(c)"
+
+
+def roc_cells(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("curve", F.explode(F.array(*map(F.lit, "ANR"))))
+    score = F.when(F.col("curve") == "A", F.col("l_quantity") * 2).when(F.col("curve") == "N", F.col("l_discount") * 1000).otherwise(100 - F.col("l_quantity") + F.col("l_tax") * 100)
+    return rows.select("curve", (F.col("l_returnflag") == F.col("curve")).alias("hit"), score.alias("score"))
+
+
+@query("roc_averages", f"""
+WITH cells AS ({_CELLS}), named AS (SELECT * FROM cells UNION ALL SELECT 'micro', hit, score FROM cells),
+c AS (SELECT curve, score, CAST(count(*) FILTER (hit) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT hit) AS DOUBLE) AS n FROM named GROUP BY curve, score),
+t AS (SELECT curve, sum(n) OVER w / sum(n) OVER (PARTITION BY curve) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY curve) AS tpr FROM c WINDOW w AS (PARTITION BY curve ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+dots AS (SELECT fpr, max(tpr) AS high, min(tpr) AS low, curve FROM (SELECT curve, fpr, tpr FROM t UNION ALL SELECT DISTINCT curve, 0.0, 0.0 FROM c) GROUP BY curve, fpr),
+g AS (SELECT curve, place, place / 999.0::DOUBLE AS x FROM (SELECT DISTINCT curve FROM c), (SELECT unnest(range(1000)) AS place)),
+l AS (SELECT g.curve, place, x, max(fpr) AS lf FROM g JOIN dots ON dots.curve = g.curve AND dots.fpr <= g.x GROUP BY g.curve, place, x),
+r AS (SELECT g.curve, place, min(fpr) AS rf FROM g JOIN dots ON dots.curve = g.curve AND dots.fpr > g.x GROUP BY g.curve, place),
+e AS (SELECT l.curve, l.place, x, a.high + coalesce((b.low - a.high) * (x - lf) / (rf - lf), 0) AS tpr FROM l JOIN dots a ON a.curve = l.curve AND a.fpr = lf LEFT JOIN r ON r.curve = l.curve AND r.place = l.place LEFT JOIN dots b ON b.curve = l.curve AND b.fpr = rf),
+f AS (SELECT curve, place, x, tpr FROM e UNION ALL SELECT 'macro', place, x, avg(tpr) FROM e WHERE curve <> 'micro' GROUP BY place, x)
+SELECT curve, CAST(place AS INTEGER) AS place, round(x, 6) AS fpr, round(tpr, 6) AS tpr FROM f""")
+def roc_averages(spark, sf_dir):
+    got = statistics.roc_averages(roc_cells(spark, sf_dir), F.col("hit"), "score", "curve")
+    return got.select("curve", "place", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+query("micro_f1", "SELECT l_linenumber, round(avg(CASE WHEN l_returnflag = CASE WHEN l_quantity < 20 THEN 'A' WHEN l_quantity < 35 THEN 'N' ELSE 'R' END THEN 1.0 ELSE 0.0 END), 6) AS f1 FROM lineitem GROUP BY l_linenumber")(
+    lambda s, d: statistics.micro_f1(
+        table(s, d, "lineitem").select("l_linenumber", F.col("l_returnflag").alias("label"), F.when(F.col("l_quantity") < 20, "A").when(F.col("l_quantity") < 35, "N").otherwise("R").alias("prediction")), "l_linenumber"
+    ).select("l_linenumber", F.round("f1", 6).alias("f1"))
+)

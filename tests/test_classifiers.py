@@ -241,3 +241,57 @@ def test_every_space_is_searched(spark, name):
     if name == "XGBoost":
         best = json.loads(next(r.params for r in steps[1] if r.is_best))
         assert all(best.items() <= json.loads(r.params).items() for r in steps[2])
+
+
+# -- metrics
+
+
+def test_curves_on_the_grid_equal_interpolation(spark):
+    from lumenframe.operators import statistics
+
+    rng = np.random.default_rng(1)
+    label = rng.integers(0, 3, 400)
+    p = rng.dirichlet(np.ones(3), 400).round(2)  # ties
+    p[np.arange(400), label] += 0.3
+    cells = spark.createDataFrame([(c, float(p[i, c]), bool(label[i] == c)) for i in range(400) for c in range(3)], "label int, score double, hit boolean")
+    got = {(r.curve, r.place): r.tpr for r in statistics.roc_averages(cells, F.col("hit"), "score", "label", 101).collect()}
+
+    def curve(score, hit):
+        cuts = sorted(set(score), reverse=True)
+        return np.array([0.0, *((score[~hit] >= c).mean() for c in cuts)]), np.array([0.0, *((score[hit] >= c).mean() for c in cuts)])
+
+    grid, each = np.arange(101) / 100, []
+    for c in range(3):
+        each.append(np.interp(grid, *curve(p[:, c], label == c)))
+        assert [got[str(c), k] for k in range(101)] == pytest.approx(each[-1].tolist())
+    assert [got["macro", k] for k in range(101)] == pytest.approx(np.mean(each, axis=0).tolist())
+    micro = np.interp(grid, *curve(p.ravel(), (np.eye(3)[label] == 1).ravel()))
+    assert [got["micro", k] for k in range(101)] == pytest.approx(micro.tolist()) and len(got) == 5 * 101
+
+
+def test_permuted_features_move_on_and_nothing_else_does(spark):
+    x, y = blobs(12, 150, 3, 3)
+    df = frame(spark, x, y)
+    got = learning.permuted(df, [0, 2], repeats=2, seed=3, dealt=40).select("feature", "repeat", "label", vector_to_array("features").alias("f")).collect()
+    key = lambda r: (r["label"], *np.round(r["f"], 9))
+    as_is = sorted(key(r) for r in got if r["feature"] == -1)
+    assert as_is == sorted((float(c), *np.round(r, 9)) for r, c in zip(x, y))
+    for f in (0, 2):
+        for repeat in range(2):
+            own = [key(r) for r in got if (r["feature"], r["repeat"]) == (f, repeat)]
+            rest = [k for k in range(4) if k != f + 1]
+            assert sorted(tuple(r[k] for k in rest) for r in own) == sorted(tuple(r[k] for k in rest) for r in as_is)
+            assert sorted(r[f + 1] for r in own) == sorted(r[f + 1] for r in as_is) and not set(own) & set(as_is)
+    again = learning.permuted(df.repartition(7), [0, 2], repeats=2, seed=3, dealt=40).select("feature", "repeat", "label", vector_to_array("features").alias("f")).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_importance_of_the_feature_that_tells_the_classes(spark):
+    rng = np.random.default_rng(4)
+    y = np.arange(200) % 2
+    x = np.stack([y * 4 + rng.normal(0, 0.5, 200), rng.normal(size=200)], axis=1)
+    df = frame(spark, x, y)
+    model = learning.estimator("Decision Tree").fit(df)
+    got = learning.permutation_importance(df, model, [0, 1]).collect()
+    assert len(got) == 11 and next(r.f1 for r in got if r.feature == -1) == 1.0
+    assert all(0.3 < r.fall < 0.7 for r in got if r.feature == 0) and all(r.fall == 0 for r in got if r.feature == 1)
