@@ -232,14 +232,14 @@ def _scores(name: str, dealt: DataFrame, n_classes: int, rows: int, seed: int, g
     return score
 
 
-#: Trials of the first step; boosted trees take a job for each level of each round.
-TRIALS = {"XGBoost": 6}
+#: Trials of the first step, where they are not 20: machines take a job for each step of their descent, boosted trees one for each level of each round.
+TRIALS = {"SVC": 10, "XGBoost": 6}
 
 
 def adaptive(spark: SparkSession, df: DataFrame, name: str, trials: int | None = None, folds: int = 3, seed: int = 0, spaces: Sequence[Space] | None = None) -> DataFrame:
     """step, trial, params (JSON, with those that earlier steps found), folds, metric (area under the curve over all classes), pruned, is_best.
 
-    As many rows as trials (20; 6 for boosted trees) in each step; a second step has twice as many.  Folds are of equal share in
+    As many rows as trials (20, or as TRIALS says) in each step; a second step has twice as many.  Folds are of equal share in
     each class. Labels must be 0, 1, 2, ... (relational.encoded gives such).
     """
     spaces, trials = spaces or SPACES[name], trials or TRIALS.get(name, 20)

@@ -17,6 +17,8 @@ from lumenframe.operators import explain, guessing, learning, relational, search
 from lumenframe.plans.pipeline import Step, apply, spread
 from lumenframe.plans.queries import W, features, learnt, points, query, r6
 from lumenframe.schema import spectra, table, to_points
+from lumenframe.scratch import scratch_path
+from lumenframe.sources import project
 
 _TOP = "(SELECT *, arg_max(i, (y, -i)) OVER (PARTITION BY key) AS t, max(y) OVER (PARTITION BY key) AS h, count(*) OVER (PARTITION BY key) AS n FROM pts)"
 
@@ -179,3 +181,16 @@ query("micro_f1", "SELECT l_linenumber, round(avg(CASE WHEN l_returnflag = CASE
         table(s, d, "lineitem").select("l_linenumber", F.col("l_returnflag").alias("label"), F.when(F.col("l_quantity") < 20, "A").when(F.col("l_quantity") < 35, "N").otherwise("R").alias("prediction")), "l_linenumber"
     ).select("l_linenumber", F.round("f1", 6).alias("f1"))
 )
+
+
+@query("production_replay")
+def production_replay(spark, sf_dir):
+    """A project with two models is saved from the spectra whose key is no multiple of 5, loaded again, and predicts the others."""
+    steps = [Step("interpolate", params={"axis": [340.0 + 10 * k for k in range(100)]}), Step("smooth", "Whittaker", {"lam": 2.0}), Step("normalize", "SNV")]
+    known = spectra(spark, sf_dir).where("key % 5 <> 0")
+    ready = learning.dataset(apply(known, steps)).persist()
+    models = {"LDA": learning.discriminant(ready), "Random Forest": learning.estimator("Random Forest").fit(ready)}
+    ready.unpersist()
+    path = scratch_path(spark, "production")
+    project.save_production(spark, path, project.Production(steps, models))
+    return project.load_production(spark, path).predict(spectra(spark, sf_dir).where("key % 5 = 0"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from tempfile import gettempdir
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or f"{gettempdir()}/lumenframe-checkpoints")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the checkpoint folder."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
