@@ -4,9 +4,9 @@ Two files are written, once for all queries: the exact vectors, and their approx
 one byte a dimension: the number of the cell on a grid that spans the whole table.  A
 search scans the approximation only.  The cells bound each inner product from both
 sides, and what can't reach the kth lower bound (of a task, then of all) is dropped.
-The vectors of the candidates left are then fetched from the exact file in the order of
-their bounds: FIRST a query at first, and of the others those whose upper bound
-reaches the kth exact result so far, after which it is certain.
+The vectors of the candidates left are then fetched from the exact file in rounds, those
+of the greatest upper bound (the least distance bound) first: FIRST * k a query, then GROWTH
+times as many, until no bound left reaches the kth exact result, which then is certain.
 
 Vectors that are equal as integers are one row of the files, with the k + 1 smallest of
 their ids (limited before the shuffle), as no query needs more; so a vector that a third
@@ -37,8 +37,8 @@ from lumenframe.llm.common import written
 SCALE = 1024
 CELLS = 256
 WAVE = 8_192
-#: Exact vectors fetched first for each query, as a multiple of k.
-FIRST = 2
+#: Exact vectors fetched first for each query, as a multiple of k, and how much more in each further round.
+FIRST, GROWTH = 2, 4
 #: Rows of the bound matrix; candidates that a task holds before it hands them on.
 QUERY_BLOCK, HELD = 512, 1 << 21
 #: Integer components below this can't overflow a 64-bit sum of a few thousand products.
@@ -139,7 +139,11 @@ class Bounds:
 
 
 def candidates(spark: SparkSession, approximation: DataFrame, wave: Wave, k: int) -> DataFrame:
-    """q, key, upper, place: what can be among the k best of query number q by the cells alone, by falling bounds."""
+    """q, key, upper: what can be among the k best of query number q by the cells alone.
+
+    Each task also hands on its k greatest lower bounds of each query (rows without a key); the kth of
+    all tasks' is the floor that an upper bound must reach. Floors are a row a query, a wave at most.
+    """
     sent = spark.sparkContext.broadcast(wave)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +156,11 @@ def candidates(spark: SparkSession, approximation: DataFrame, wave: Wave, k: int
             q, key, upper, lower = (np.concatenate([h[c] for h in held]) if held else np.zeros(0) for c in range(4))
             still = upper >= best[:, 0][q.astype(int)]
             held.clear()
-            return pd.DataFrame({"q": q[still].astype("int32"), "key": key[still].astype("int64"), "upper": upper[still], "lower": lower[still]})
+            return pd.DataFrame({"q": q[still].astype("int32"), "key": pd.array(key[still], "Int64"), "upper": upper[still], "lower": lower[still]})
+
+        def floors() -> pd.DataFrame:
+            q, nth = np.nonzero(best > -np.inf)
+            return pd.DataFrame({"q": q.astype("int32"), "key": pd.array([None] * len(q), "Int64"), "upper": np.nan, "lower": best[q, nth]})
 
         for b in batches:
             keys, firsts, lasts = (b[c].to_numpy(np.int64) for c in ("key", "first_id", "last_id"))
@@ -179,12 +187,13 @@ def candidates(spark: SparkSession, approximation: DataFrame, wave: Wave, k: int
                         yield pruned()
                         size = 0
         yield pruned()
+        yield floors()
 
-    found = approximation.mapInPandas(run, "q int, key long, upper double, lower double")
-    order = Window.partitionBy("q").orderBy(F.desc("lower"), "key")
-    placed = found.withColumn("place", F.row_number().over(order))
-    floor = F.max(F.when(F.col("place") == k, F.col("lower"))).over(Window.partitionBy("q"))
-    return placed.withColumn("floor", floor).where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor"))).select("q", "key", "upper", "place")
+    found = written(spark, approximation.mapInPandas(run, "q int, key long, upper double, lower double"), "bounds")
+    order = Window.partitionBy("q").orderBy(F.desc("lower"))
+    floor = found.where("key IS NULL").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("q", F.col("lower").alias("floor"))
+    near = found.where("key IS NOT NULL").join(F.broadcast(floor), "q", "left")
+    return near.where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor"))).select("q", "key", "upper")
 
 
 class Wave:
@@ -227,30 +236,38 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def _searched(spark: SparkSession, exact: DataFrame, approximation: DataFrame, queries: list, grid: Grid, k: int) -> DataFrame:
     wave = Wave(queries, grid)
-    near = written(spark, candidates(spark, approximation, wave, k), "candidates")
-    first = written(spark, _ranked(fetched(spark, exact, near.where(F.col("place") <= FIRST * k), wave), k), "first")
-    kth = {r["query_id"]: r["score"] for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}  # a wave at most
-    reached = spark.createDataFrame([(i, kth.get(int(v))) for i, v in enumerate(wave.ids)], "q int, kth long")
-    rest = near.where(F.col("place") > FIRST * k).join(F.broadcast(reached), "q").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth").cast("double")))
-    return _ranked(first.drop("rank").unionByName(fetched(spark, exact, rest, wave)), k)
+    rest, best, limit = written(spark, candidates(spark, approximation, wave, k), "candidates"), None, FIRST * k
+    order = Window.partitionBy("q").orderBy(F.desc("upper"), "key")
+    while True:
+        placed = rest.withColumn("place", F.row_number().over(order))
+        found = fetched(spark, exact, placed.where(F.col("place") <= limit), wave)
+        best = written(spark, _ranked(found if best is None else best.drop("rank").unionByName(found), k), "best")
+        kth = {r["query_id"]: r["score"] for r in best.where(F.col("rank") == k).select("query_id", "score").collect()}  # a wave at most
+        reached = spark.createDataFrame([(i, kth.get(int(v))) for i, v in enumerate(wave.ids)], "q int, kth long")
+        left = placed.where(F.col("place") > limit).join(F.broadcast(reached), "q").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth").cast("double")))
+        rest = written(spark, left.select("q", "key", "upper"), "candidates-left")
+        if rest.isEmpty():
+            return best
+        limit *= GROWTH
 
 
 def search(spark: SparkSession, vectors: DataFrame, is_query: Column | None = None, k: int = 10, wave: int = WAVE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best by integer inner product of each query row against all other rows."""
     vectors = valid(vectors)
     queries = vectors.where(F.col("vec_id") % 100 == 0 if is_query is None else is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = written(spark, queries.select("vec_id", integers(F.col("embedding")).alias("x")), "queries")
+    queries = queries.select("vec_id", integers(F.col("embedding")).alias("x"))
     exact = exact_file(spark, vectors, k)
     grid = grid_of(exact)
     approximation = approximation_file(spark, exact, grid)
-    n = queries.count()
-    if n <= wave:
-        return _searched(spark, exact, approximation, queries.orderBy("vec_id").collect(), grid, k)
-    waves = -(-n // max(1, wave // 2))
+    few = queries.limit(wave + 1).collect()
+    if len(few) <= wave:
+        return _searched(spark, exact, approximation, sorted(few, key=lambda r: r["vec_id"]), grid, k)
+    queries = written(spark, queries, "queries")
+    waves = -(-queries.count() // max(1, wave // 2))
     numbered = lambda w: queries.withColumn("wave", F.pmod(F.xxhash64("vec_id", F.lit(w)), F.lit(w)))
     while numbered(waves).groupBy("wave").count().agg(F.max("count")).first()[0] > wave:
         waves *= 2
-    parts = [written(spark, _searched(spark, exact, approximation, numbered(waves).where(F.col("wave") == i).orderBy("vec_id").collect(), grid, k), "topk") for i in range(waves)]
+    parts = [_searched(spark, exact, approximation, numbered(waves).where(F.col("wave") == i).orderBy("vec_id").collect(), grid, k) for i in range(waves)]
     return reduce(DataFrame.unionByName, parts)
 
 

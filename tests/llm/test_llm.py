@@ -80,7 +80,7 @@ def test_topk_equals_brute_force(spark):
     assert topk_vafile.search(spark, frame.limit(0)).count() == 0
 
 
-def test_few_exact_vectors_are_read(spark):
+def test_few_exact_vectors_are_read(spark, monkeypatch):
     """The scan of the cells alone leaves a small share; that share holds all results."""
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 32))
@@ -98,6 +98,16 @@ def test_few_exact_vectors_are_read(spark):
     wave = topk_vafile.Wave(queries, grid)
     near = topk_vafile.candidates(spark, approximation, wave, 10).collect()
     assert len(near) < 0.03 * len(queries) * 2000
+    read, fetch = [], topk_vafile.fetched
+
+    def counted(spark, exact, wanted, wave):
+        read.append(wanted.count())
+        return fetch(spark, exact, wanted, wave)
+
+    monkeypatch.setattr(topk_vafile, "fetched", counted)
+    got = topk_vafile._searched(spark, exact, approximation, queries, grid, 10).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_topk(rows)) and sum(read) <= len(near)
+    assert all(n <= len(queries) * 20 * 4**i for i, n in enumerate(read))
     keys = {r.key: set(r.ids) for r in exact.collect()}
     held = {}
     for r in near:
