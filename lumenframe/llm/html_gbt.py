@@ -38,7 +38,7 @@ from lumenframe.llm.common import beside
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-HIDDEN = frozenset("head script style noscript template iframe object svg math canvas select textarea datalist audio video map".split())
+HIDDEN = frozenset("head script style noscript template iframe object svg annotation canvas select textarea datalist audio video map".split())
 RAW = frozenset("script style textarea title iframe noscript noembed xmp".split())
 BLOCK = frozenset(
     "html body article aside main section nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "

@@ -21,6 +21,7 @@ TOKENS = {
     "header": "header masthead banner site-header top brand logo".split(),
     "share": "share sharing social tags breadcrumb pagination pager paging share-buttons follow byline-links skip".split(),
     "footer": "footer foot copyright credits site-footer bottom legal colophon contentinfo".split(),
+    "heading": "h heading headline title subtitle subhead section-title h2 caption-title".split(),
     "main": "content article post entry main story prose body copy text lead column articlebody article-body entry-content post-content page".split(),
     "outer": "container wrapper page content layout site inner row has-sidebar no-ads with-nav comments-open".split(),
 }
@@ -102,11 +103,33 @@ class _Maker:
         token = self.attrs(*TOKENS["footer"]) if tag == "footer" else f' id="{self.pick(*TOKENS["footer"])}"'
         return f"<{tag}{token}>{self.pick(f'{self.pick("Copyright", "(c)", "&copy;")} {self.phrase(1, 4)} {1990 + int(self.rng.integers(40))}{self.pick("", " | ", ". ")}{self.sentences(0, 2)}', f'<p>{self.sentences(1, 2)}</p>', self.links(2, 6), f'<p>{self.phrase(3, 8)}</p>{self.links(2, 4)}')}</{tag}>"
 
+    def linked(self) -> str:
+        """A sentence that is mostly links, as articles have them."""
+        parts, text = [], []
+        for _ in range(int(self.rng.integers(2, 5))):
+            lead, name = self.pick("", self.word() + " ", self.phrase(1, 3).lower() + " "), self.phrase(1, 4).lower()
+            parts.append(f'{lead}<a href="/{self.word()}">{name}</a>')
+            text.append(lead + name)
+        first = self.phrase(1, 2) + " " if self.chance(0.7) else ""
+        join = lambda items: first + ", ".join(items[:-1]) + self.pick(" and ", ", ", " or ") + items[-1]
+        state = self.rng.bit_generator.state
+        told = join(text) + "."
+        self.rng.bit_generator.state = state  # the same words between the links
+        html = join(parts) + "."
+        self.keep(told)
+        return html
+
     def block(self) -> str:
+        if self.chance(0.05):
+            return f"<p>{self.linked()}{self.pick('</p>', '</p>', '')}"
         r = self.rng.random()
         if r < 0.62:
             text = self.keep(self.sentences(1, int(self.pick(1, 3, 8, 20))))
             return self.pick(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p{self.odd()}><{(i := self.pick('em', 'strong', 'span', 'font'))}>{text}{self.pick('</' + i + '>', '')}{self.pick('</p>', '')}")
+        if r < 0.72 and self.chance(0.25):
+            token = self.pick("", f' class="{self.pick(*TOKENS["heading"])}"', f' class="{self.pick(*TOKENS["heading"])}"', f' class="{self.word()[:2]}"')
+            text = self.keep(self.phrase(1, 7))
+            return f"<div{token}>{self.pick(text, text, f'<b>{text}</b>', f'<span>{text}</span>')}</div>"
         if r < 0.72:
             return f"<{(h := self.pick('h2', 'h2', 'h3', 'h4'))}>{self.keep(self.phrase(1, 7))}</{h}>"
         if r < 0.82:
