@@ -99,9 +99,30 @@ NOTICES: dict[str, tuple[str, ...]] = {
     ),
 }
 
-#: What is no well-known licence, to be put into the carriers.
+#: Licences of no family above, by the names that texts call them, and sentences of theirs.
+OTHER_NAMES: tuple[str, ...] = (
+    "European Union Public Licence", "EUPL", "EUPL-1.2", "EUPL v1.1 or later", "WTFPL", "Do What The F*ck You Want To Public License", "Artistic License", "Artistic License 2.0", "Artistic-2.0", "Perl Artistic License",
+    "SIL Open Font License", "SIL OFL 1.1", "OFL-1.1", "Common Development and Distribution License", "CDDL", "CDDL-1.0", "Microsoft Public License", "Ms-PL", "Python Software Foundation License", "PSF license", "PSF-2.0",
+    "PHP License", "PHP-3.01", "Ruby License", "Sleepycat License", "Vim License", "OpenSSL License", "LaTeX Project Public License", "LPPL-1.3c", "Academic Free License", "AFL-3.0", "CeCILL", "CeCILL-B", "Beerware",
+    "Beerware License", "JSON License", "Unicode License", "Open Software License", "OSL-3.0", "Zope Public License", "ZPL-2.1", "Server Side Public License", "SSPL", "SSPL-1.0", "Business Source License", "BUSL-1.1",
+    "Elastic License", "Elastic License 2.0", "Open Database License", "ODbL", "ODbL-1.0", "GNU Free Documentation License", "GFDL", "GFDL-1.3", "Common Public License", "CPL-1.0", "IBM Public License", "Universal Permissive License", "UPL-1.0",
+    "Open Government Licence", "Open Government Licence v3.0", "Mulan PSL", "MulanPSL-2.0", "Apple Public Source License", "APSL-2.0", "Reciprocal Public License", "RPL-1.5", "PolyForm Noncommercial License", "NCSA License", "University of Illinois/NCSA Open Source License",
+)
+OTHER_NOTICES: tuple[str, ...] = (
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.",
+    "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL.",
+    "This work may be distributed and/or modified under the conditions of the LaTeX Project Public License, either version 1.3 of this license or any later version.",
+    "As long as you retain this notice you can do whatever you want with this stuff. If we meet some day, and you think this stuff is worth it, you can buy me a beer in return.",
+    "This software is distributed under an open source license of its own; see the file COPYING for its terms.",
+    "Contains public sector information licensed under the Open Government Licence v3.0.",
+    "This database is made available under the Open Database License; any rights in individual contents are licensed under the Database Contents License.",
+)
+
+#: What is no licence, to be put into the carriers.
 NO_LICENSE: tuple[str, ...] = (
-    "license of the company", "terms of the contract", "agreement between both parties", "name of the editor", "Crown", "law of the land", "sea", "same roof", "old rules", "proprietary license", "commercial license",
+    "license of the company", "terms of the contract", "agreement between both parties", "name of the editor", "Crown", "law of the land", "sea", "same roof", "old rules", "proprietary license", "commercial license", "driving license", "fishing license", "liquor license", "marriage license", "television licence", "trade license",
     "license agreement", "terms and conditions of the shop", "state license number 2041", "patent of the inventor", "title of the first edition", "general rules of the public library", "version 3 of the plan", "software of the bank",
 )
 
