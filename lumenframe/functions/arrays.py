@@ -240,15 +240,30 @@ def cut(a: Column, first: Column, last: Column) -> Column:
     return F.slice(a, first + 1, last - first + 1)
 
 
+def at_or_below(x: Column, value: Column) -> Column:
+    """How many values of an ascending axis are at or below one, by bisection: the cost of a place grows with the logarithm of the axis."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(x) + 1)).cast("int"))
+    whole = F.struct(F.lit(0).alias("low"), F.size(x).alias("high"))
+
+    def half(a: Column, _) -> Column:
+        mid = F.shiftright(a["low"] + a["high"], 1)
+        right = F.coalesce(F.get(x, mid) <= value, F.lit(False))
+        return F.struct(F.when(right, mid + 1).otherwise(a["low"]).alias("low"), F.when(right, a["high"]).otherwise(mid).alias("high"))
+
+    return F.when(F.size(x) > 0, F.aggregate(steps, whole, half)["low"]).otherwise(F.lit(0))
+
+
 def interpolate(x: Column, y: Column, axis: Sequence[float]) -> Column:
-    """Linear, clamped at the ends."""
-    n = F.size(x)
+    """Linear on an ascending axis, clamped at the ends."""
 
-    def one(v):
-        hi = F.least(F.size(F.filter(x, lambda u: u <= v)), n - 1)
-        hi = F.greatest(hi, F.lit(1))
+    def between(v: Column, hi: Column) -> Column:
         x0, x1, y0, y1 = F.get(x, hi - 1), F.get(x, hi), F.get(y, hi - 1), F.get(y, hi)
-        return F.when(v <= at(x, 0), at(y, 0)).when(v >= F.element_at(x, -1), F.element_at(y, -1)).otherwise(y0 + (v - x0) * (y1 - y0) / (x1 - x0))
+        return y0 + (v - x0) * (y1 - y0) / (x1 - x0)
+
+    def one(v: Column) -> Column:
+        hi = F.greatest(F.least(at_or_below(x, v), F.size(x) - 1), F.lit(1))
+        inside = bound(hi, lambda h: between(v, h))
+        return F.when(v <= at(x, 0), at(y, 0)).when(v >= F.element_at(x, -1), F.element_at(y, -1)).otherwise(inside)
 
     return F.transform(F.array(*[F.lit(float(a)) for a in axis]), one)
 

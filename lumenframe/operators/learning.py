@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.arrays import bound
 from lumenframe.operators import boosting, statistics, svc
+from lumenframe.operators.relational import dimension
 
 CLASSIFIERS = ("LDA", "Logistic regression", "SVC", "Decision Tree", "Random Forest", "XGBoost")
 
@@ -29,6 +30,27 @@ def dataset(spectra: DataFrame, classes: Sequence[int] = (), drop: Sequence[int]
     return df.join(F.broadcast(statistics.class_weights(df, "label").select("label", "weight")), "label").select("key", "label", "features", "weight")
 
 
+#: Where a dataset may come from; only decomposed ones have features that are ignored.
+SOURCES = ("Smoothed", "Baseline corrected", "Decomposed")
+
+
+def assembled(sources: dict[str, DataFrame], source: str, groups: DataFrame, classes: Sequence[int] = (), ignored: Sequence[int] = ()) -> DataFrame:
+    """key, label, target (the class's name; null for a class without a group), features (array) of one of several sources.
+
+    sources: by name, key, grp and the values (y of spectra, features of decomposed ones).  Classes restrict only
+    if there are two at least; ignored features (their numbers) are left out of decomposed sources alone.
+    groups: grp, name; a row a class, counted before it is broadcast.
+    """
+    if source not in SOURCES or source not in sources:
+        raise ValueError(f"no dataset {source}; there are {', '.join(s for s in SOURCES if s in sources)}")
+    df, values = sources[source], F.col("features" if source == "Decomposed" else "y")
+    df = df.where(F.col("grp").isin(list(classes))) if len(classes) > 1 else df
+    kept = F.filter(values, lambda _, i: ~i.isin(list(ignored))) if ignored and source == "Decomposed" else values
+    rows = df.select("key", "grp", kept.alias("kept"))
+    named = rows.join(dimension(groups.select("grp", F.col("name").alias("target"))), "grp", "left")
+    return named.select("key", F.col("grp").alias("label"), "target", F.col("kept").alias("features"))
+
+
 def estimator(name: str, seed: int = 0, **params):
     """The estimator of a name. SVC has a linear machine for each pair of classes and gives probabilities; XGBoost boosts trees under softmax loss."""
     common = {"featuresCol": "features", "labelCol": "label"}

@@ -33,6 +33,18 @@ def lookup(df: DataFrame, table: DataFrame, on: str, column: str, default=None)
     return out if default is None else out.withColumn(column, F.coalesce(column, F.lit(default)))
 
 
+def at_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], column: str, default=None) -> DataFrame:
+    """A column's value at each of some composite keys (rows, lines, parameters): the key columns and the value; the default where no row has the key."""
+    found = keys.select(*on).join(df.select(*on, column), list(on), "left")
+    return found if default is None else found.withColumn(column, F.coalesce(column, F.lit(default)))
+
+
+def renumbered(lines: DataFrame, order: str, number: str, within: Sequence[str] = ()) -> DataFrame:
+    """lines with their number from 0 in an order (of places along the axis, say), within groups; ties by the old number."""
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(order, number)) - 1
+    return lines.withColumn(f"new_{number}", place)
+
+
 def group_names(df: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     """Group names by id; ids over the number of groups fall to group 0, which has no name."""
     bounded = df.withColumn("grp", F.when(F.col("grp") > n_groups, 0).otherwise(F.col("grp")))

@@ -67,7 +67,7 @@ SPACES: dict[str, tuple[Space, ...]] = {
         {"impurity": Choice(("gini", "entropy")), "maxDepth": Axis(1, 10, whole=True), "subsamplingRate": Axis(0.1, 1.0), "minInstancesPerNode": Axis(1, 11, whole=True), "featureSubsetStrategy": Choice(("sqrt", "log2"))},
     ),
     "XGBoost": (
-        {"rounds": Axis(4, 12, whole=True), "learning_rate": Axis(0.05, 0.5, powers=True)},
+        {"rounds": Axis(3, 8, whole=True), "learning_rate": Axis(0.05, 0.5, powers=True)},
         {
             "max_depth": Axis(2, 6, whole=True), "gamma": Axis(0, 15, whole=True), "min_child_weight": Axis(1, 16, whole=True), "reg_alpha": Axis(1e-3, 1e1, powers=True), "reg_lambda": Axis(1e-2, 1e2, powers=True),
             "subsample": Axis(0.2, 1.0), "colsample_bytree": Axis(0.2, 1.0), "colsample_bylevel": Axis(0.1, 1.0), "colsample_bynode": Axis(0.1, 1.0), "max_delta_step": Axis(0.0, 10.0),
@@ -233,7 +233,7 @@ def _scores(name: str, dealt: DataFrame, n_classes: int, rows: int, seed: int, g
 
 
 #: Trials of the first step, where they are not 20: machines take a job for each step of their descent, boosted trees one for each level of each round.
-TRIALS = {"SVC": 10, "XGBoost": 6}
+TRIALS = {"Logistic regression": 10, "SVC": 10, "XGBoost": 4}
 
 
 def adaptive(spark: SparkSession, df: DataFrame, name: str, trials: int | None = None, folds: int = 3, seed: int = 0, spaces: Sequence[Space] | None = None) -> DataFrame:

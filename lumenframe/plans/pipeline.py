@@ -101,7 +101,9 @@ def _expression(step: Step, df: DataFrame) -> DataFrame:
     if step.kind == "interpolate":
         axis = F.array(*map(F.lit, map(float, p["axis"])))
         same = x == axis
-        return df.select("key", "grp", axis.alias("x"), F.when(same, y).otherwise(A.interpolate(x, y, p["axis"])).alias("y"))
+        # new names first: within a lambda, a column of this select's would be read in place of the old x
+        new = df.select("key", "grp", axis.alias("new_x"), F.when(same, y).otherwise(A.interpolate(x, y, p["axis"])).alias("new_y"))
+        return new.select("key", "grp", F.col("new_x").alias("x"), F.col("new_y").alias("y"))
     if step.kind == "convert":
         laser = p["laser"]
         edge = A.nearest(x, laser + 5)

@@ -14,7 +14,7 @@ from lumenframe.functions import labels as L
 from lumenframe.functions import views as V
 from lumenframe.kernels import peaks, signal
 from lumenframe.operators import explain, guessing, learning, relational, search, statistics, tests_of_groups
-from lumenframe.plans.pipeline import Step, apply, spread
+from lumenframe.plans.pipeline import Step, apply, spread, with_baselines
 from lumenframe.plans.queries import W, features, learnt, points, query, r6
 from lumenframe.schema import spectra, table, to_points
 from lumenframe.scratch import scratch_path
@@ -194,3 +194,34 @@ def production_replay(spark, sf_dir):
     path = scratch_path(spark, "production")
     project.save_production(spark, path, project.Production(steps, models))
     return project.load_production(spark, path).predict(spectra(spark, sf_dir).where("key % 5 = 0"))
+
+
+query("value_at_keys", "SELECT o_orderkey AS l_orderkey, 7 AS l_linenumber, coalesce(l_quantity, -1.0) AS l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 7")(
+    lambda s, d: relational.at_keys(table(s, d, "lineitem"), table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(7).alias("l_linenumber")), ["l_orderkey", "l_linenumber"], "l_quantity", -1.0)
+)
+query("renumbered_lines", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) - 1 AS INTEGER) AS new_l_linenumber FROM lineitem")(
+    lambda s, d: relational.renumbered(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", "l_linenumber", ["l_orderkey"]).drop("l_extendedprice")
+)
+_ASSEMBLED = "SELECT vec_id AS key, label, r_name AS target, i - {less} AS feature, round(CAST(v AS DOUBLE), 6) AS value FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) LEFT JOIN region ON r_regionkey = label"
+
+
+def assembled(spark, sf_dir, source: str):
+    """The embeddings as smoothed spectra and as decomposed ones, named by region."""
+    one = spectra(spark, sf_dir)
+    sources = {"Smoothed": one, "Decomposed": one.select("key", "grp", F.col("y").alias("features"))}
+    groups = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("grp"), F.col("r_name").alias("name"))
+    out = learning.assembled(sources, source, groups, ignored=[0, 1])
+    return out.select("key", "label", "target", F.posexplode("features").alias("feature", "v")).select("key", "label", "target", "feature", F.round("v", 6).alias("value"))
+
+
+query("assembled_smoothed", _ASSEMBLED.format(less="0"))(lambda s, d: assembled(s, d, "Smoothed"))
+query("assembled_decomposed", _ASSEMBLED.format(less="2") + " WHERE i > 1")(lambda s, d: assembled(s, d, "Decomposed"))
+
+
+def long_spectra(spark, sf_dir):
+    """The spectra drawn on 1000 places: as many as the published times of baselines are usually told for."""
+    return apply(spectra(spark, sf_dir), [Step("interpolate", params={"axis": [300.0 + 1260 * k / 999 for k in range(1000)]})])
+
+
+for _name, _short in (("ExModPoly", "exmodpoly"), ("Quantile regression", "quantile_regression"), ("iModPoly", "imodpoly")):
+    query(f"long_{_short}")(lambda s, d, n=_name: with_baselines(long_spectra(s, d), n).select("key", "grp", "baseline"))

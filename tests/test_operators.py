@@ -542,3 +542,18 @@ def test_fluorescence_starts_of_long_axes_take_seconds(spark):
         steep = next((i for i in range(100, 1000) if g[i] > g.std()), None)
         want = None if steep is None else next((i for i in range(1000) if i - 2 > steep and (g[i - 2 : i + 1] < 0).all()), None)
         assert got[r.id] == want
+
+
+def test_the_interpolation_step_reads_the_old_axis(spark):
+    """More places than before: a new axis named x must not be read for the old one."""
+    rng = np.random.default_rng(4)
+    x = np.arange(0.0, 640, 10)
+    rows = [(i, 0, x.tolist(), rng.normal(size=64).tolist()) for i in range(3)]
+    axis = np.linspace(-20, 700, 150).tolist()
+    got = apply(spark.createDataFrame(rows, SPECTRA), [Step("interpolate", params={"axis": axis})]).collect()
+    for r in got:
+        assert r.x == axis and np.allclose(r.y, np.interp(axis, x, rows[r.key][3]))
+    counts = {n: value(spark, F.transform(arr(*range(n)) if n else F.array().cast("array<double>"), lambda v: v)) for n in (0, 1, 2, 7, 8)}
+    for n, v in counts.items():
+        own = arr(*v) if n else F.array().cast("array<double>")
+        assert [value(spark, A.at_or_below(own, F.lit(float(u)))) for u in (-1, 0, 0.5, 1, 6, 9)] == [sum(w <= u for w in v) for u in (-1, 0, 0.5, 1, 6, 9)]

@@ -15,7 +15,7 @@ from lumenframe.plans.queries import QUERIES, SQL, learnt
 
 SF = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"classify_svc", "classify_xgboost", "smooth_ceemdan", "baseline_goldindec", "fit_statistics", "fit_params", "shap_xgboost", "adaptive_search", "search_logistic_regression", "search_svc", "search_decision_tree", "search_random_forest", "search_xgboost"}
+SLOW = {"classify_svc", "classify_xgboost", "smooth_ceemdan", "baseline_goldindec", "fit_statistics", "fit_params", "shap_xgboost", "adaptive_search", "search_logistic_regression", "search_svc", "search_decision_tree", "search_random_forest", "search_xgboost", "long_exmodpoly", "long_quantile_regression", "long_imodpoly"}
 
 
 @pytest.fixture(scope="module")
