@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lumenframe.kernels import linalg
 from lumenframe.plans import pipeline
 from lumenframe.schema import SPECTRA
 
@@ -30,3 +31,11 @@ def test_baselines_on_an_axis_are_those_of_the_drawn_spectra(spark):
     assert {k for k in got if got[k].y} == set(want) and got[9].baseline == [] and 10 not in got
     for k, r in want.items():
         assert got[k].baseline == pytest.approx(r.baseline) and got[k].y == r.y
+
+
+def test_weights_that_vanish_beside_the_penalty():
+    y, t = np.random.default_rng(3).normal(size=64), np.arange(64.0)
+    assert linalg.whittaker(y, np.full(64, 1e-12), 1e5) == pytest.approx(linalg.polynomial(t, y, 1), abs=1e-5)
+    w = np.zeros(64)
+    w[[3, 40]] = 1e-14
+    assert linalg.whittaker(y, w, 1e5)[[3, 40]] == pytest.approx(y[[3, 40]], abs=1e-5)
