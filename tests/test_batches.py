@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from lumenframe.kernels import linalg
+from lumenframe.kernels import linalg, many_fits, optimizers, peaks
+from lumenframe.operators import decompose
 from lumenframe.plans import pipeline
 from lumenframe.schema import SPECTRA
 
@@ -39,3 +42,30 @@ def test_weights_that_vanish_beside_the_penalty():
     w = np.zeros(64)
     w[[3, 40]] = 1e-14
     assert linalg.whittaker(y, w, 1e5)[[3, 40]] == pytest.approx(y[[3, 40]], abs=1e-5)
+
+
+@pytest.mark.parametrize("method", ["leastsq", *many_fits.METHODS])
+def test_fits_of_many_rows_are_those_of_single_rows(method):
+    x, rng = np.linspace(300, 700, 21), np.random.default_rng(5)
+    y = np.stack([a * np.exp(-(((x - 480 - s) / 40) ** 2)) + rng.normal(0, 0.05, 21) for a, s in ((1.0, 0), (0.3, 9), (0.0, 0))])
+    bounds = [peaks.line_bounds("Gaussian", 500.0, max(v.max() / 2, 1e-9), 80.0, max(v.max(), 1e-9)) for v in y]
+    start, low, high = (np.array([b[j] for b in bounds]) for j in range(3))
+    many = peaks.fit_many(x, y, ["Gaussian"], start, low, high, partial(many_fits.minimise, method))
+    solver = peaks.least_squares if method == "leastsq" else partial(optimizers.minimise, method)
+    for k, r in enumerate(many):
+        one = peaks.fit(x, y[k], ["Gaussian"], start[k], low[k], high[k], solver=solver)
+        assert r.values == pytest.approx(one.values, abs=1e-4) and r.chisqr == pytest.approx(one.chisqr, rel=1e-9)
+
+
+@pytest.mark.parametrize("shape", peaks.SHAPES)
+def test_shapes_of_many_rows(shape):
+    x = np.linspace(0, 100, 31)
+    p = np.array([peaks.line_bounds(shape, v, 1.0, 20.0, 2.0)[0] for v in (30.0, 61.0)])
+    assert peaks.models(x, [shape])(p) == pytest.approx(np.stack([peaks.model(x, [shape])(v) for v in p]), rel=1e-12)
+
+
+def test_a_failing_spectrum_costs_no_other_its_fit(spark):
+    x = [300.0 + 20 * i for i in range(30)]
+    rows = [(k, 1, x, [float(np.exp(-(((v - 500) / 40) ** 2)) + (np.nan if k == 2 and v == 500 else 0)) for v in x]) for k in range(4)] + [(4, 1, x[:20], [1.0] * 20)]
+    got = decompose.fits(spark.createDataFrame(rows, SPECTRA), [500.0], "Pseudo Voigt", 80.0).select("key", "r2").collect()
+    assert {r.key for r in got} >= {0, 1, 3, 4} and min(r.r2 for r in got if r.key in (0, 1, 3)) > 0.99
