@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumenframe.kernels import linalg, many_fits, optimizers, peaks
+from lumenframe.kernels import linalg, many_fits, optimizers, peaks, smooth
 from lumenframe.operators import decompose
 from lumenframe.plans import pipeline
 from lumenframe.schema import SPECTRA
@@ -69,3 +69,15 @@ def test_a_failing_spectrum_costs_no_other_its_fit(spark):
     rows = [(k, 1, x, [float(np.exp(-(((v - 500) / 40) ** 2)) + (np.nan if k == 2 and v == 500 else 0)) for v in x]) for k in range(4)] + [(4, 1, x[:20], [1.0] * 20)]
     got = decompose.fits(spark.createDataFrame(rows, SPECTRA), [500.0], "Pseudo Voigt", 80.0).select("key", "r2").collect()
     assert {r.key for r in got} >= {0, 1, 3, 4} and min(r.r2 for r in got if r.key in (0, 1, 3)) > 0.99
+
+
+@pytest.mark.parametrize("name", smooth.MANY)
+def test_modes_of_many_rows_are_those_of_single_rows(spark, name):
+    rng = np.random.default_rng(1)
+    ys = [rng.normal(size=n) + np.sin(np.arange(n)) for n in (40, 40, 33, 2, 40)] + [np.zeros(40), np.arange(33.0)]
+    rows = [(k, 1, np.arange(len(y), dtype=float).tolist(), y.tolist()) for k, y in enumerate(ys)] + [(8, 1, [], []), (9, 1, None, None)]
+    got = {r.key: r.y for r in pipeline.run_kernels(spark.createDataFrame(rows, SPECTRA), [pipeline.Step("smooth", name)]).collect()}
+    assert got.pop(8) == [] and got.pop(9) is None
+    for k, y in enumerate(ys):
+        own = {"seed": pipeline.seed_of(k)} if name in smooth.SEEDED else {}
+        assert got[k] == smooth.SMOOTHERS[name](None, y, **own).tolist()
