@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumenframe.kernels import linalg, many_fits, optimizers, peaks, smooth
+from lumenframe.kernels import baseline, linalg, many_fits, optimizers, peaks, smooth
 from lumenframe.operators import decompose
 from lumenframe.plans import pipeline
 from lumenframe.schema import SPECTRA
@@ -81,3 +81,16 @@ def test_modes_of_many_rows_are_those_of_single_rows(spark, name):
     for k, y in enumerate(ys):
         own = {"seed": pipeline.seed_of(k)} if name in smooth.SEEDED else {}
         assert got[k] == smooth.SMOOTHERS[name](None, y, **own).tolist()
+
+
+def test_extremes_of_windows_that_double():
+    for n, half in ((64, 5), (7, 3), (3, 8), (1, 4), (50, 1), (50, 0)):
+        y = np.random.default_rng(n).normal(size=n)
+        assert (linalg.erode(y, half) == linalg.running(y, half, np.min)).all() and (linalg.dilate(y, half) == linalg.running(y, half, np.max)).all()
+
+
+def test_the_smoothing_kernel_is_made_once(monkeypatch):
+    made, real = [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda m: made.append(1) or real(m))
+    baseline.METHODS["IPSA"](np.arange(64.0), np.random.default_rng(0).normal(size=64), half_window=5)
+    assert len(made) == 1
