@@ -243,6 +243,29 @@ def test_every_space_is_searched(spark, name):
         assert all(best.items() <= json.loads(r.params).items() for r in steps[2])
 
 
+def test_a_search_passes_over_its_rows_in_few_tasks_and_scores_them_once(spark, monkeypatch):
+    seen, scored, asked = [], spark.sparkContext.accumulator(0), spark.conf.get("spark.sql.shuffle.partitions")
+
+    def scores(name, dealt, *rest):
+        seen.append(dealt.rdd.getNumPartitions())
+        return lambda settings, fold: [0.5] * len(settings)
+
+    monkeypatch.setattr(search, "_scores", scores)
+    x, y = blobs(11, 60, 2, 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        search.adaptive(spark, frame(spark, x, y), "Random Forest", 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+    def model(x):
+        scored.add(len(x))
+        return np.stack([1 - x[:, 0], x[:, 0]], axis=1)
+
+    assert 0 in search.micro_auc(search._own_probabilities(frame(spark, x, y), [model])) and scored.value == 60
+
+
 # -- metrics
 
 
