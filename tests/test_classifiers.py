@@ -266,6 +266,27 @@ def test_a_search_passes_over_its_rows_in_few_tasks_and_scores_them_once(spark,
     assert 0 in search.micro_auc(search._own_probabilities(frame(spark, x, y), [model])) and scored.value == 60
 
 
+def test_cuts_are_found_once_for_all_fits(spark, monkeypatch):
+    calls, real = [], boosting.quantile_cuts
+    monkeypatch.setattr(boosting, "quantile_cuts", lambda *a: calls.append(1) or real(*a))
+    x, y = blobs(12, 60, 2, 2)
+    df = frame(spark, x, y).withColumn("fold", (F.floor(F.col("key") / 2) % 2).cast("int"))
+    score = search._scores("XGBoost", df, 2, 60, 0, {"max_depth": 1})
+    assert min(score([{"rounds": 1}], 0) + score([{"rounds": 1}], 1)) > 0.6 and len(calls) == 1
+
+
+def test_all_classifiers_learn_from_one_split(spark, monkeypatch):
+    calls, real = [], learning.statistics.stratified_split
+    monkeypatch.setattr(learning.statistics, "stratified_split", lambda *a: calls.append(1) or real(*a))
+    x, y = blobs(13, 80, 2, 2)
+    df, names = frame(spark, x, y), ("LDA", "Decision Tree", "SVC")
+    got = {(r.model, r.key): (r.prediction, list(r.probability)) for r in learning.predict_all(df, names).collect()}
+    assert len(calls) == 1 and len(got) == 3 * 80
+    for name in names:
+        for r in learning.train_and_predict(df, name).collect():
+            assert got[name, r.key][0] == r.prediction and got[name, r.key][1] == pytest.approx(list(r.probability), abs=1e-6)
+
+
 # -- metrics
 
 
