@@ -94,3 +94,38 @@ def test_the_smoothing_kernel_is_made_once(monkeypatch):
     monkeypatch.setattr(np.linalg, "pinv", lambda m: made.append(1) or real(m))
     baseline.METHODS["IPSA"](np.arange(64.0), np.random.default_rng(0).normal(size=64), half_window=5)
     assert len(made) == 1
+
+
+@pytest.mark.parametrize("name", [*baseline.MANY, *smooth.MANY_ON_AXIS])
+def test_methods_of_many_rows_are_those_of_single_rows(spark, monkeypatch, name):
+    rng, kind = np.random.default_rng(1), "baseline" if name in baseline.MANY else "smooth"
+    table = baseline.METHODS if kind == "baseline" else smooth.SMOOTHERS
+    one, calls, rows = table[name], [], []
+    for k, (n, size) in enumerate(((64, 1), (64, 0), (33, 1), (64, 50), (9, 1), (2, 1), (1, 1), (64, 1e-9), (64, 1))):
+        x = np.arange(float(n)) * (2 if k == 8 else 1)
+        rows.append((k, 1, x.tolist(), (size * (rng.normal(size=n) + 5 * np.exp(-((np.arange(n) - n / 3) ** 2) / 20))).tolist()))
+    spectra = [np.array(r[2]) for r in rows], [np.array(r[3]) for r in rows]
+    want = [one(*own) for own in zip(*spectra, strict=True)]
+    odd = [(20, 1, [], []), (21, 1, None, None)]
+    got = {r.key: r.y for r in pipeline.run_kernels(spark.createDataFrame(rows + odd, SPECTRA), [pipeline.Step(kind, name)]).collect()}
+    assert got.pop(20) == [] and got.pop(21) is None
+    for k, (y, w) in enumerate(zip(spectra[1], want, strict=True)):
+        assert got[k] == pytest.approx((y - w if kind == "baseline" else w).tolist(), abs=1e-5 * max(np.abs(y).max(), 1e-12)), k
+    monkeypatch.setitem(table, name, lambda x, y: calls.append(len(y)) or one(x, y))
+    many = pipeline._kernel_of_many(pipeline.Step(kind, name))
+    many([0, 1, 2], [spectra[0][0]] * 3, [spectra[1][0], spectra[1][3], np.where(np.arange(64) == 5, np.nan, spectra[1][0])] if name == "Goldindec" else [spectra[1][0]] * 3)
+    assert calls == ([64] if name == "Goldindec" else [])  # values that aren't finite go alone
+
+
+def test_solvers_of_many_rows_equal_dense_ones():
+    rng = np.random.default_rng(2)
+    for n, reach in ((40, 6), (12, 4), (3, 1), (1, 1)):
+        bands = {o: rng.normal(size=(5, n)) * (np.arange(n) < n - o) for o in range(reach + 1)}
+        bands[0] = bands[0] + 30
+        full = np.stack([sum(np.diag(v[r][: n - o], o) + (np.diag(v[r][: n - o], -o) if o else 0) for o, v in bands.items() if o < n) for r in range(5)])
+        b = rng.normal(size=(5, n))
+        assert linalg.solve_banded_many(bands, b) == pytest.approx(np.linalg.solve(full, b[..., None])[..., 0])
+    mid = 3 + rng.random((5, 20))
+    full = np.stack([np.diag(m) - np.eye(20, k=1) - np.eye(20, k=-1) for m in mid])
+    b = rng.normal(size=(5, 20))
+    assert linalg.solve_tridiagonal(-1.0, mid, b) == pytest.approx(np.linalg.solve(full, b[..., None])[..., 0])
