@@ -557,3 +557,19 @@ def test_the_interpolation_step_reads_the_old_axis(spark):
     for n, v in counts.items():
         own = arr(*v) if n else F.array().cast("array<double>")
         assert [value(spark, A.at_or_below(own, F.lit(float(u)))) for u in (-1, 0, 0.5, 1, 6, 9)] == [sum(w <= u for w in v) for u in (-1, 0, 0.5, 1, 6, 9)]
+
+
+def test_describe_holds_no_group_in_a_task_and_keeps_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, float(v)) for v in (5, 1, 2, 2, 9, 7, -0.0, 0.0)] + [(1, 4.0)] + [(2, None)] + [(None, v) for v in (1.0, None, 3.0)] + [(3, v) for v in (nan, -inf, inf, 1.0, nan, 2.0)] + [(4, 7.5)] * 900 + [(5, v * 1e150) for v in range(-300, 300)]
+    df = spark.createDataFrame(rows, "g int, value double").repartition(7)
+    quartile = lambda p: F.percentile("value", p)
+    of = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max("value").alias("max")]
+    plain = lambda rs: sorted(str(r.asDict()) for r in rs)
+    whole = lambda d: d.select("n", "min", "q25", "q50", "q75", "max", *(["g"] if "g" in d.columns else []))
+    assert plain(whole(aggregates.describe(df, "g")).collect()) == plain(whole(df.groupBy("g").agg(*of)).collect())
+    assert plain(whole(aggregates.describe(df)).collect()) == plain(whole(df.agg(*of)).collect())
+    assert plain(aggregates.describe(df.where("false")).collect()) == plain(df.where("false").agg(*of).collect()) and not aggregates.describe(df.where("false"), "g").count()
+    assert "percentile(" not in aggregates.describe(df, "g")._jdf.queryExecution().toString()  # it holds a group's distinct values in one map
+    ties = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") % 1000 / 7).alias("value"))
+    assert plain(whole(aggregates.describe(ties, "g")).collect()) == plain(whole(ties.groupBy("g").agg(*of)).collect())
