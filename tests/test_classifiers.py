@@ -275,6 +275,48 @@ def test_cuts_are_found_once_for_all_fits(spark, monkeypatch):
     assert min(score([{"rounds": 1}], 0) + score([{"rounds": 1}], 1)) > 0.6 and len(calls) == 1
 
 
+@pytest.mark.parametrize("n_classes,settings", [(3, {}), (2, {"scale_pos_weight": 2.0}), (3, {"subsample": 0.7, "colsample_bytree": 0.8, "colsample_bylevel": 0.7, "colsample_bynode": 0.6, "gamma": 0.5, "reg_alpha": 0.1, "max_delta_step": 0.5}), (3, {"gamma": 2.0, "min_child_weight": 4.0})])
+def test_a_task_alone_grows_the_trees_of_the_shared_passes(spark, monkeypatch, n_classes, settings):
+    monkeypatch.setattr(boosting, "CELLS", 200)  # several nodes at once, and several parts a level
+    monkeypatch.setattr(boosting, "AT_ONCE", 50)
+    monkeypatch.setattr(boosting, "BY_FEATURE", 30)
+    x, y = blobs(21, 240, n_classes, 4)
+    x = x + np.random.default_rng(3).normal(0, 1.5, x.shape)
+    x[::7, 1] = np.nan
+    df = frame(spark, x, y).withColumn("fold", (F.floor(F.col("key") / n_classes) % 3).cast("int")).repartition(3)
+    s = [(boosting.Settings(rounds=rounds, max_depth=5, seed=2, **settings), fold) for rounds, fold in ((3, 0), (12, 1))]
+    cuts = boosting.quantile_cuts(df, 4, 16)
+    shared = boosting.fit_all(df, n_classes, s, 16, cuts)
+    table = boosting.gathered(df, cuts, 240, 16)
+    keys, label, folds, bins = table.value
+    for model, (own, fold) in zip(shared, s, strict=True):
+        alone = boosting.Booster(own, n_classes, cuts)
+        work = boosting._Gathered(bins, keys, label, folds != fold, alone, 16)
+        for r in range(own.rounds):
+            grown, real = [], boosting._grow_round
+            with monkeypatch.context() as m:
+                m.setattr(boosting, "_grow_round", lambda *a: (real(*a), grown.append(a[1][0].booster.trees[-1])))
+                work.grow(r)
+            assert grown[0] == model.trees[r]
+    want = {(i, k): m for i, model in enumerate(shared) for k, m in zip(keys[folds == s[i][1]], model.probabilities(model.margins(np.where(bins == 16, boosting.MISSING, bins)[folds == s[i][1]])), strict=True)}
+    got = boosting.held_out(spark, table, n_classes, s, 16).collect()
+    assert len(got) == len(want) and np.allclose([list(r.probability) for r in sorted(got, key=lambda r: r.model)], list(want.values()), atol=1e-12)
+    assert [r.label for r in sorted(got, key=lambda r: r.model)] == [float(v) for i in range(2) for v in label[folds == s[i][1]]]
+    assert sum(f >= 0 for model in shared for trees in model.trees for t in trees for f in t.feature) > 20
+    assert boosting.gathered(df, cuts, boosting.GATHERED_BYTES, 16) is None
+
+
+def test_boosted_trees_are_searched_whole(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search, "_scores", lambda *a: lambda settings, fold: asked.append(settings) or [p["rounds"] / 1000 if "rounds" in p else 0.5 for p in settings])
+    x, y = blobs(22, 30, 2, 2)
+    found = search.adaptive(spark, frame(spark, x, y), "XGBoost").collect()
+    assert [sum(r.step == s for r in found) for s in (1, 2)] == [20, 40]  # more than START in each, so densities propose
+    first, second = search.SPACES["XGBoost"]
+    assert (first["rounds"].at(0), first["rounds"].at(1), second["max_depth"].at(0), second["max_depth"].at(1)) == (50, 500, 6, 16)
+    assert max(json.loads(r.params)["rounds"] for r in found) > 350
+
+
 def test_all_classifiers_learn_from_one_split(spark, monkeypatch):
     calls, real = [], learning.statistics.stratified_split
     monkeypatch.setattr(learning.statistics, "stratified_split", lambda *a: calls.append(1) or real(*a))
